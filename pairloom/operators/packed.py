@@ -466,3 +466,20 @@ def unpack(tables: dict[str, DataFrame], fields: list[Field]) -> DataFrame:
     wide = T._parse_datatype_string("table_name string, field_name string, text string, side_no int, value_no int, part_value string")
     found = cuts.mapInArrow(lambda it: _split(it, parts, wide), wide)
     return rows.join(found, ["table_name", "field_name", "text"]).select([f.name for f in schema])
+
+
+def pair_columns(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``side_1`` and ``side_2`` of the PAIR field ``column`` (null where a side has no value)."""
+    schema = T.StructType([*df.schema, T.StructField("side_1", T.StringType()), T.StructField("side_2", T.StringType())])
+    at, names = df.columns.index(column), [*df.columns, "side_1", "side_2"]
+
+    def run(batches):
+        for batch in batches:
+            out: list[list[str | None]] = [[], []]
+            for text in batch.column(at).to_pylist():
+                got = {side: v for side, no, v in values(text, PAIR, lambda _: None) if no == 1}
+                out[0].append(got.get(1))
+                out[1].append(got.get(2))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.string()) for x in out)], names)
+
+    return df.mapInArrow(run, schema)
