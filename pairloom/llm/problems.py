@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import after_last, before_last, strip
 from pairloom.llm.components import assign_splits, components
+from pairloom.llm.parity import similar_pairs
 from pairloom.llm.survivors import Bundle, survivors
 from pairloom.operators.packed import pair_columns
+from pairloom.session import stage
 
 SQL: dict[str, str] = {}
 
@@ -131,8 +137,6 @@ SELECT id AS cluster_id, min(r) AS group_id FROM reach GROUP BY id
 
 def p5_splits(spark: SparkSession, sf: str) -> DataFrame:
     """(cluster_id, group_id, split): labels are the entities and the assemblies by dimer type."""
-    from pairloom.session import stage
-
     groups = stage(p5_found(spark, sf), "groups")
     entities = _clusters(spark, sf).groupBy("cluster_id").agg(F.count("*").alias("weight")).withColumn("label", F.lit("entity"))
     kind = F.coalesce(F.lower(strip(F.col("dimer_type"))), F.lit(""))
@@ -146,8 +150,6 @@ def p5_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_shares(spark: SparkSession, sf: str) -> DataFrame:
     """The shares reached: entities and assemblies by split."""
-    from pairloom.session import stage
-
     splits = stage(p5_splits(spark, sf), "splits").select("cluster_id", "split")
     entities = _clusters(spark, sf).groupBy("cluster_id").agg(F.count("*").alias("n")).withColumn("what", F.lit("entity"))
     pairs = _ties(spark, sf).select(F.coalesce("a", "b").alias("cluster_id")).where("cluster_id is not null").groupBy("cluster_id").agg(F.count("*").alias("n"))
@@ -156,4 +158,82 @@ def p5_shares(spark: SparkSession, sf: str) -> DataFrame:
     return both.join(whole, "what").select("what", "split", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p5_found, p5_splits, p5_shares)}
+# p3: clusters whose sequences are nearly the same
+
+WINDOW = 5
+
+
+def windows(rows: DataFrame) -> DataFrame:
+    """(id, tokens, alike) of (id, sequence, alike): the distinct runs of WINDOW residues without X, as numbers."""
+
+    def run(batches):
+        place = 26 ** np.arange(WINDOW - 1, -1, -1)
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                residues = np.frombuffer((text or "").encode(), np.uint8).astype(np.int64) - 65
+                if len(residues) < WINDOW:
+                    out.append(np.zeros(0, np.int64))
+                    continue
+                runs = np.lib.stride_tricks.sliding_window_view(residues, WINDOW)
+                out.append(np.unique((runs @ place)[(runs != 23).all(axis=1)]))
+            sizes = np.cumsum([0, *map(len, out)]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), tokens, batch.column(2)], ["id", "tokens", "alike"])
+
+    return rows.select("id", "sequence", "alike").mapInArrow(run, "id long, tokens array<long>, alike string")
+
+
+def residues(c: Column) -> Column:
+    return F.regexp_replace(F.upper(c), "[^A-Z]", "")
+
+
+def _sequences(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct sequences with an id and their only cluster, if there is one; (id, cluster_id) of all."""
+    rows = table(spark, sf, "entity_sequences").select("cluster_id", residues(F.col("sequence")).alias("sequence"))
+    rows = rows.where(f"cluster_id is not null and length(sequence) >= {WINDOW}").distinct()
+    only = F.when(F.min("cluster_id") == F.max("cluster_id"), F.min("cluster_id"))
+    distinct = stage(rows.groupBy("sequence").agg(only.alias("alike")).withColumn("id", F.monotonically_increasing_id()), "sequences")
+    return distinct, rows.join(distinct, "sequence").select("id", "cluster_id")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    distinct, members = _sequences(spark, sf)
+    members = stage(members, "members")
+    pairs = similar_pairs(windows(distinct), Fraction(1, 2), "alike").select("a", "b")
+    own = windows(distinct.where("alike is null")).where("size(tokens) > 0").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    sides = [members.select(F.col("id").alias(k), F.col("cluster_id").alias(f"cluster_{k}")) for k in "ab"]
+    found = pairs.unionByName(own).join(sides[0], "a").join(sides[1], "b").where("cluster_a <> cluster_b")
+    return found.select(F.least("cluster_a", "cluster_b").alias("cluster_a"), F.greatest("cluster_a", "cluster_b").alias("cluster_b")).distinct()
+
+
+def p3_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per row of the table: its class of equal sequences and how many other classes are similar to it."""
+    distinct, _ = _sequences(spark, sf)
+    pairs = stage(similar_pairs(windows(distinct), Fraction(1, 2)).select("a", "b"), "links")
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
+    rows = table(spark, sf, "entity_sequences").select("row_id", residues(F.col("sequence")).alias("sequence"))
+    classes = distinct.join(ends, "id", "left").select("sequence", F.sha2("sequence", 256).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return rows.join(classes, "sequence", "left").select("row_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+SQL["p3_found"] = r"""
+WITH s AS (
+  SELECT DISTINCT cluster_id, regexp_replace(upper(sequence), '[^A-Z]', '', 'g') AS q FROM entity_sequences WHERE cluster_id IS NOT NULL
+), w AS (
+  SELECT DISTINCT q, substr(q, i::int, 5) AS t FROM (SELECT DISTINCT q FROM s WHERE length(q) >= 5), range(1, length(q) - 3) r(i)
+), v AS (
+  SELECT * FROM w WHERE NOT contains(t, 'X')
+), n AS (
+  SELECT q, count(*) AS n FROM v GROUP BY q
+), pairs AS (
+  SELECT a.q AS x, b.q AS y, count(*) AS c FROM v a JOIN v b ON a.t = b.t GROUP BY 1, 2
+), near AS (
+  SELECT x, y FROM pairs JOIN n AS p ON p.q = x JOIN n AS r ON r.q = y WHERE 2 * c >= p.n + r.n - c
+)
+SELECT DISTINCT k.cluster_id AS cluster_a, l.cluster_id AS cluster_b
+FROM near JOIN s AS k ON k.q = x JOIN s AS l ON l.q = y WHERE k.cluster_id < l.cluster_id
+"""
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_sequences, p5_found, p5_splits, p5_shares)}
