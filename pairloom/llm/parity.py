@@ -31,6 +31,10 @@ from pairloom.session import stage
 
 E = 1 / 32
 BITS = 1024
+#: Offered cells that a pair must share: chance rarely gives several.
+MEET = 4
+#: Records sketched at a time.
+SLICE = 1000
 #: Sizes up to FIRST are one band; each further band reaches GROW times as far. A band has CELLS cells a token at its upper end.
 FIRST, GROW, CELLS = 1024, 16, 64
 
@@ -106,7 +110,7 @@ def similar_pairs(records: DataFrame, threshold: Fraction | float = Fraction(4,
     rows = records.select("id", F.array_compact(F.array_distinct("tokens")).alias("tokens"), far.alias("alike")).where("id is not null and size(tokens) > 0")
 
     def sketch(batches):
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             n_rows = batch.num_rows
             record, tokens = _lists(batch.column(1))
             hashes = mix(tokens.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
@@ -121,54 +125,59 @@ def similar_pairs(records: DataFrame, threshold: Fraction | float = Fraction(4,
             s_guest = np.where(upper, np.bincount(guest_record, minlength=n_rows), n)
             regular = (s >= (1 - E) * n) & (s_guest >= (1 - E) * n)
             floor = np.ceil(keep * n - 1e-9).astype(np.int64)
+            meet = np.minimum(MEET, floor)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(n.astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(np.arange(n_rows + 1, dtype=np.int32) * (BITS // 64)), pa.array(sketches(record, hashes, n_rows).ravel())),
-                    pa.array((s - floor + 1).astype(np.int32)),
+                    pa.array(meet.astype(np.int32)),
+                    pa.array((s - floor + meet).astype(np.int32)),
                     _list(n_rows, own_record, own.view(np.int64)),
-                    pa.array((s_guest - floor + 1).astype(np.int32)),
+                    pa.array((s_guest - floor + meet).astype(np.int32)),
                     _list(n_rows, guest_record, guest.view(np.int64)),
                     pa.array(regular),
                     batch.column(1),
                     batch.column(2),
                 ],
-                ["id", "n", "bits", "offer", "cells", "guest_offer", "guest_cells", "regular", "tokens", "alike"],
+                ["id", "n", "bits", "meet", "offer", "cells", "guest_offer", "guest_cells", "regular", "tokens", "alike"],
             )
 
     kind = rows.schema["alike"].dataType.simpleString()
-    schema = f"id long, n int, bits array<long>, offer int, cells array<long>, guest_offer int, guest_cells array<long>, regular boolean, tokens array<long>, alike {kind}"
+    schema = f"id long, n int, bits array<long>, meet int, offer int, cells array<long>, guest_offer int, guest_cells array<long>, regular boolean, tokens array<long>, alike {kind}"
     base = stage(rows.mapInArrow(sketch, schema), "sketches")
-    own = base.select("id", "n", "alike", F.lit(0).alias("role"), F.col("offer").alias("offer"), F.explode("cells").alias("cell"))
-    guests = base.where(F.size("guest_cells") > 0).select("id", "n", "alike", F.lit(1).alias("role"), F.col("guest_offer").alias("offer"), F.explode("guest_cells").alias("cell"))
+    own = base.select("id", F.lit(0).alias("role"), F.explode("cells").alias("cell"))
+    guests = base.where(F.size("guest_cells") > 0).select("id", F.lit(1).alias("role"), F.explode("guest_cells").alias("cell"))
     cells = own.unionByName(guests)
     total = base.agg(F.coalesce(F.sum(F.size("cells") + F.size("guest_cells")), F.lit(0))).first()[0]
     common = cells.groupBy("cell").agg(F.count("*").alias("df")).where("df > 1").withColumn("n", F.col("df"))
-    shared = join_heavy(cells.select("id", "role", "cell"), common, ["cell"], total)
+    shared = join_heavy(cells, common, ["cell"], total)
     # cells that no other record has come first in every order and so use up part of the offer
     ranked = shared.groupBy("id", "role").agg(F.sort_array(F.collect_list(F.struct("df", "cell"))).alias("in_order"))
-    sizes = base.select("id", "n", "alike", F.lit(0).alias("role"), "offer", F.size("cells").alias("s")).unionByName(
-        base.where(F.size("guest_cells") > 0).select("id", "n", "alike", F.lit(1).alias("role"), F.col("guest_offer").alias("offer"), F.size("guest_cells").alias("s"))
+    one = [F.col(x) for x in ("id", "n", "meet", "alike")]
+    sizes = base.select(*one, F.lit(0).alias("role"), "offer", F.size("cells").alias("s")).unionByName(
+        base.where(F.size("guest_cells") > 0).select(*one, F.lit(1).alias("role"), F.col("guest_offer").alias("offer"), F.size("guest_cells").alias("s"))
     )
     left = F.greatest(F.lit(0), F.col("offer") - (F.col("s") - F.size("in_order")))
-    offered = stage(ranked.join(sizes, ["id", "role"]).select("id", "n", "alike", F.explode(F.slice("in_order", F.lit(1), left)).alias("x")).select("id", "n", "alike", F.col("x.cell").alias("cell")), "offered")
-    pairs = _meet(offered, offered, "cell", t)
+    offered = ranked.join(sizes, ["id", "role"]).select(*one, F.explode(F.slice("in_order", F.lit(1), left)).alias("x")).select(*one, F.col("x.cell").alias("cell"))
+    offered = stage(offered, "offered")
+    pairs = _meet(offered, offered, t, True)
     odd = base.where(~F.col("regular"))
     if not odd.isEmpty():
-        plain = base.select("id", "n", "alike", F.explode("tokens").alias("cell"))
-        pairs = pairs.unionByName(_meet(odd.select("id", "n", "alike", F.explode("tokens").alias("cell")), plain, "cell", t, False))
-    pairs = pairs.distinct()
+        few = F.lit(1).alias("meet")
+        plain = [x.select("id", "n", few, "alike", F.explode("tokens").alias("cell")) for x in (odd, base)]
+        pairs = pairs.unionByName(_meet(*plain, t, False)).distinct()
     return _verify(pairs, base, t)
 
 
-def _meet(x: DataFrame, y: DataFrame, on: str, t: Fraction, ordered: bool = True) -> DataFrame:
-    """Candidate pairs (a, b) with a common value of ``on`` and sizes that allow the threshold."""
-    a = x.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("alike").alias("alike_a"), on)
-    b = y.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("alike").alias("alike_b"), on)
-    fit = (F.least("n_a", "n_b") * t.denominator >= F.greatest("n_a", "n_b") * t.numerator) & ~F.coalesce(F.col("alike_a") == F.col("alike_b"), F.lit(False))
-    met = a.join(b, on).where(fit & (F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b")))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def _meet(x: DataFrame, y: DataFrame, t: Fraction, ordered: bool) -> DataFrame:
+    """Candidate pairs (a, b): sizes that allow the threshold and enough common cells."""
+    a, b = (side.select(*[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "meet", "alike")], "cell") for side, k in ((x, "a"), (y, "b")))
+    fit = F.least("n_a", "n_b") * t.denominator >= F.greatest("n_a", "n_b") * t.numerator
+    order = F.col("id_a") < F.col("id_b") if ordered else F.col("id_a") != F.col("id_b")
+    met = a.join(b, "cell").where(fit & order & ~F.coalesce(F.col("alike_a") == F.col("alike_b"), F.lit(False)))
+    met = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), F.least("meet_a", "meet_b").alias("meet"))
+    return met.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("meet").alias("meet")).where("met >= meet").select("a", "b")
 
 
 def _verify(pairs: DataFrame, base: DataFrame, t: Fraction) -> DataFrame:
@@ -177,22 +186,7 @@ def _verify(pairs: DataFrame, base: DataFrame, t: Fraction) -> DataFrame:
     most = (F.col("n_a") + F.col("n_b")) * (t.denominator - t.numerator)  # of the symmetric difference, times (den + num)
     near = pairs.join(sides[0], "a").join(sides[1], "b").where(distance * (t.denominator + t.numerator) <= most).select("a", "b")
     near = stage(near, "near")
-    tokens = [base.select(F.col("id").alias(k), F.col("tokens").alias(f"tokens_{k}")) for k in "ab"]
-
-    def exact(batches):
-        for batch in batches:
-            _, (ra, ta), (rb, tb) = batch.num_rows, _lists(batch.column(2)), _lists(batch.column(3))
-            n = batch.num_rows
-            na, nb = np.bincount(ra, minlength=n), np.bincount(rb, minlength=n)
-            row, value = np.r_[ra, rb], np.r_[ta, tb]
-            order = np.lexsort((value, row))
-            row, value = row[order], value[order]
-            same = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
-            both = np.bincount(row[1:][same], minlength=n)
-            either = na + nb - both
-            ok = np.flatnonzero(both * t.denominator >= either * t.numerator)
-            took = batch.take(pa.array(ok))
-            yield pa.RecordBatch.from_arrays([took.column(0), took.column(1), pa.array(both[ok].astype(np.int32)), pa.array(either[ok].astype(np.int32))], ["a", "b", "shared", "either"])
-
-    wide = near.join(tokens[0], "a").join(tokens[1], "b").select("a", "b", "tokens_a", "tokens_b")
-    return wide.mapInArrow(exact, "a long, b long, shared int, either int")
+    tokens = [base.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("tokens").alias(f"tokens_{k}")) for k in "ab"]
+    wide = near.join(tokens[0], "a").join(tokens[1], "b").withColumn("shared", F.size(F.array_intersect("tokens_a", "tokens_b")))
+    wide = wide.withColumn("either", F.col("n_a") + F.col("n_b") - F.col("shared"))
+    return wide.where(F.col("shared") * t.denominator >= F.col("either") * t.numerator).select("a", "b", "shared", "either")
