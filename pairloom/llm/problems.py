@@ -6,12 +6,15 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import after_last, before_last, strip
 from pairloom.llm.components import assign_splits, components
+from pairloom.llm.leaks import leaks
+from pairloom.llm.mixing import measure, mix, source_name, targets_of
 from pairloom.llm.parity import similar_pairs
+from pairloom.llm.sentences import sentences
 from pairloom.llm.survivors import Bundle, survivors
 from pairloom.operators.packed import pair_columns
 from pairloom.session import stage
@@ -168,7 +171,7 @@ def windows(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         place = 26 ** np.arange(WINDOW - 1, -1, -1)
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             out = []
             for text in batch.column(1).to_pylist():
                 residues = np.frombuffer((text or "").encode(), np.uint8).astype(np.int64) - 65
@@ -236,4 +239,44 @@ FROM near JOIN s AS k ON k.q = x JOIN s AS l ON l.q = y WHERE k.cluster_id < l.c
 """
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_sequences, p5_found, p5_splits, p5_shares)}
+# p6: held-out items in documents
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+#: Runs in which renamed values count: long enough that a shared template alone is no accident.
+RENAMED, RENAMED_CJK = 24, 60
+
+
+def p6_renamed(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold an item's passage with other numbers and names in its slots."""
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), renamed=True, window=RENAMED, window_cjk=RENAMED_CJK)
+
+
+# p7: a mix of sources with target shares
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    measured = stage(measure(table(spark, sf, "documents"), "doc_id", "text", "source"), "measured")
+    return mix(measured, targets_of(table(spark, sf, "mix_targets"), "source", "target_share", "max_repeats"))
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The report: target and reached share of every source that has a target."""
+    targets = table(spark, sf, "mix_targets").where("target_share > 0").groupBy(source_name(F.col("source")).alias("source"))
+    targets = targets.agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
+    got = p7_mix(spark, sf).groupBy("source").agg(F.sum(F.col("uses") * F.col("tokens")).alias("tokens"), F.count("*").alias("texts"), F.max("uses").alias("most_uses"))
+    got = targets.join(got, "source", "left").na.fill(0, ["tokens", "texts", "most_uses"])
+    return got.withColumn("share", F.try_divide("tokens", F.sum("tokens").over(Window.partitionBy(F.lit(1)))))  # a row a source
+
+
+# p8: sentence units
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences(table(spark, sf, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_sequences, p5_found, p5_splits, p5_shares, p6_found, p6_renamed, p7_mix, p7_shares, p8_found)}
