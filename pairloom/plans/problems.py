@@ -40,6 +40,38 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return shredding.child_keys(nodes, CHILDREN).withColumnRenamed("doc", "landing_id")
 
 
+_ROOTS = """d AS (
+  SELECT landing_id, payload::json AS j FROM assembly WHERE json_valid(payload)
+), r AS (
+  SELECT landing_id, j FROM d WHERE json_extract(j, '$.data.assemblies') IS NULL
+  UNION ALL SELECT landing_id, unnest(json_extract(j, '$.data.assemblies[*]')) FROM d WHERE json_extract(j, '$.data.assemblies') IS NOT NULL
+)"""
+SQL: dict[str, str] = {}
+SQL["p1_found"] = f"""
+WITH {_ROOTS}, e AS (
+  SELECT landing_id, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT landing_id, json_extract(j, '$.entry.polymer_entities[*]') AS l FROM r)
+), m AS (
+  SELECT landing_id, pos, unnest(l) AS m, generate_subscripts(l, 1) - 1 AS k FROM (SELECT landing_id, pos, json_extract(e, '$.rcsb_polymer_entity_group_membership[*]') AS l FROM e)
+), o AS (
+  SELECT landing_id, pos, unnest(l) AS o, generate_subscripts(l, 1) - 1 AS k FROM (SELECT landing_id, pos, json_extract(e, '$.rcsb_entity_source_organism[*]') AS l FROM e)
+), t AS (
+  SELECT landing_id, pos, k, unnest(CASE json_type(o, '$.ncbi_taxonomy_id') WHEN 'ARRAY' THEN json_extract_string(o, '$.ncbi_taxonomy_id[*]') ELSE [json_extract_string(o, '$.ncbi_taxonomy_id')] END) AS x FROM o
+), g AS (
+  SELECT landing_id, unnest(l) AS g, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT landing_id, json_extract(j, '$.pdbx_struct_assembly_gen[*]') AS l FROM r)
+), a AS (
+  SELECT landing_id, pos, list_filter(list_transform(flatten(list_transform(list_filter(
+           CASE json_type(g, '$.asym_id_list') WHEN 'ARRAY' THEN json_extract_string(g, '$.asym_id_list[*]') ELSE [json_extract_string(g, '$.asym_id_list')] END,
+           lambda x: x IS NOT NULL), lambda x: string_split(x, ','))), lambda x: trim(x)), lambda x: x <> '') AS l
+  FROM g
+)
+SELECT landing_id, 'entity' AS child, 0 AS parent_pos, pos::int AS child_pos, json_extract_string(e, '$.rcsb_id') AS key_text FROM e WHERE trim(json_extract_string(e, '$.rcsb_id')) <> ''
+UNION ALL SELECT landing_id, 'membership', pos::int, k::int, json_extract_string(m, '$.group_id') FROM m WHERE trim(json_extract_string(m, '$.group_id')) <> ''
+UNION ALL SELECT landing_id, 'organism', pos::int, k::int, x FROM t WHERE trim(x) <> ''
+UNION ALL SELECT landing_id, 'gen', pos::int, (generate_subscripts(l, 1) - 1)::int, unnest(l) FROM a
+"""
+SQL["p1_unreadable"] = "SELECT landing_id FROM assembly WHERE payload IS NULL OR NOT json_valid(payload)"
+
+
 def p1_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """The whole adjacency table."""
     docs = table(spark, sf, "assembly")

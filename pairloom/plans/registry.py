@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairloom.plans import problems
+from pairloom.plans import analogues, domain, problems
 
-QUERIES = {**problems.QUERIES}
-SQL: dict[str, str] = {}
+QUERIES = {**problems.QUERIES, **domain.QUERIES, **analogues.QUERIES}
+SQL: dict[str, str] = {**problems.SQL, **domain.SQL, **analogues.SQL}
