@@ -5,9 +5,9 @@ from __future__ import annotations
 import json
 import os
 import time
-import urllib.error
-import urllib.request
 from collections.abc import Callable, Iterator
+from urllib import error as url_error
+from urllib import request as url_request
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +30,11 @@ def attempts(action: Callable[[], object], what: str, retries: int, also: tuple[
     for n in range(retries):
         try:
             return action()
-        except urllib.error.HTTPError as e:
+        except url_error.HTTPError as e:
             if 400 <= e.code < 500 and e.code not in RETRIED_STATUS:
                 raise Fatal(f"{what}: HTTP {e.code}") from e
             last = e
-        except (urllib.error.URLError, TimeoutError, *also) as e:
+        except (url_error.URLError, TimeoutError, *also) as e:
             last = e
         wait(2.0**n)
     raise RuntimeError(f"{what}: {last!r}") from last
@@ -42,10 +42,10 @@ def attempts(action: Callable[[], object], what: str, retries: int, also: tuple[
 
 def post_json(url: str, body: dict, *, timeout: int = 120, retries: int = 4, wait: Callable[[float], None] = time.sleep) -> dict:
     """The JSON answer of a POST; an empty answer is {}."""
-    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", "Accept": "application/json"}, method="POST")
+    request = url_request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", "Accept": "application/json"}, method="POST")
 
     def once() -> dict:
-        with urllib.request.urlopen(request, timeout=timeout) as answer:
+        with url_request.urlopen(request, timeout=timeout) as answer:
             data = answer.read()
         return json.loads(data) if data else {}
 
@@ -59,7 +59,7 @@ def fetch_file(url: str, path: str, *, timeout: int = 120, retries: int = 4, wai
 
     def once() -> None:
         try:
-            with urllib.request.urlopen(url, timeout=timeout) as answer, open(part, "wb") as out:
+            with url_request.urlopen(url, timeout=timeout) as answer, open(part, "wb") as out:
                 while data := answer.read(CHUNK):
                     out.write(data)
             os.replace(part, path)
