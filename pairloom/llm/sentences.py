@@ -27,9 +27,13 @@ NEVER = set(
 )
 #: Words whose full stop may also end the sentence, if the next word can open one.
 EITHER = set("usw etc إلخ al др пр д inc co corp ltd jr bros f ff a u ä o seq".split())
+#: Small letters that are parts of abbreviations.
+SINGLE = set("a b c d e f g h i j n o p s u v z т е к н э".split())
 #: Abbreviations only before a number.
 BEFORE_NUMBER = set("no nos nr núm n art abs § s z".split())
 MONTHS = set("januar februar märz april mai juni juli august september oktober november dezember jan feb mär mar apr jun jul aug sep sept okt oct nov dez dec jänner".split())
+#: Before a number with a full stop that counts things.
+BEFORE_ORDINAL = set("die der das den dem des am im zum zur beim vom ins jede jeder jedes dieser diese dieses".split())
 #: A single letter after one of these is a label, not an initial.
 LABELLED = set(
     """chain chains entry form site type group class strand subunit domain loop kette ketten gruppe typ form chaîne chaînes boucle groupe type forme cadena
@@ -37,11 +41,11 @@ LABELLED = set(
 )
 OPENING_MARKS = "([{“„«‹\"'¿¡「『（【《〈‘"
 #: After a closing bracket or quote of these scripts a particle goes on with the sentence.
-PARTICLES = "とはがをにでもへやのなか而的等这那"
+PARTICLES = "とはがをにでもへやのなか而"
 
 #: Scores in log odds.
 SURE, LIKELY, WEAK, NO, NEVER_SCORE = 8.0, 5.0, 2.0, -5.0, -9.0
-UNBALANCED, QUOTE_ONLY, LENGTH_WEIGHT = -12.0, -14.0, 0.1
+UNBALANCED, CARRIED, LENGTH_WEIGHT = -12.0, -14.0, 0.1
 #: The longest span, in places where it may end; a longer sentence is closed at its most likely place.
 SPAN = 64
 
@@ -93,6 +97,10 @@ def _full_stop(text: str, start: int, end: int, block: int) -> float:
     at = start
     while at > block and not text[at - 1].isspace():
         at -= 1
+    for i in range(start - 1, at - 1, -1):  # a stop before it that no white space follows
+        if text[i] in CASELESS_STOPS or text[i] in "!?…":
+            at = i + 1
+            break
     token = text[at:start].lstrip(OPENING_MARKS)
     closed = end > start + 1
     if gap == end:  # nothing between the stop and what follows
@@ -123,7 +131,7 @@ def _full_stop(text: str, start: int, end: int, block: int) -> float:
             return LIKELY if _labelled(text, at) else NEVER_SCORE
         if word in EITHER:
             return WEAK if opens and first != "(" else NEVER_SCORE
-        return NEVER_SCORE if word in NEVER or first.islower() or not _cased(word) else NO
+        return NEVER_SCORE if word in NEVER or word in SINGLE or first.islower() or not _cased(word) else WEAK
     if word in EITHER:
         return WEAK if opens and first != "(" else NEVER_SCORE
     if word in NEVER:
@@ -139,14 +147,17 @@ def _full_stop(text: str, start: int, end: int, block: int) -> float:
             return NEVER_SCORE
         if len(token) <= 2 and (m := _WORD.match(text, gap)) and m[0].lower() in MONTHS:
             return NEVER_SCORE
+        if len(token) <= 3 and (m := _BEFORE.search(text[max(block, at - 16) : at].rstrip())) and m[1].lower() in BEFORE_ORDINAL:
+            return NEVER_SCORE
         return LIKELY if opens else WEAK
     return LIKELY if opens else WEAK + 1
 
 
 def _labelled(text: str, at: int) -> bool:
-    """Whether the word before the letter at ``at`` says that the letter is a label."""
+    """Whether the word before the letter at ``at`` says that the letter is a label or, being a number, a unit."""
     m = _BEFORE.search(text[max(0, at - 40) : at].rstrip())
-    return bool(m) and m[1].strip("\"“(«„").lower() in LABELLED
+    word = m[1].strip("\"“(«„").lower() if m else ""
+    return word in LABELLED or word[-1:].isdigit() and word.replace(".", "").replace(",", "").isdigit()
 
 
 def _own_bracket(text: str, end: int, block: int) -> bool:
@@ -193,7 +204,7 @@ def closing(text: str, m: re.Match, block: int, last: int) -> float:
         if first in ",;:–—、，":
             return NEVER_SCORE
         if quoted and first.islower():
-            return NEVER_SCORE
+            return NO
         if quoted and gap == end and first in PARTICLES:
             return NEVER_SCORE
         if (m[2] or m[4]) and first.islower():
@@ -223,6 +234,15 @@ def split_block(text: str, start: int, end: int) -> list[tuple[int, int]]:
         depth = [bisect_left(opens, b) - bisect_left(ends, b) for b in bounds]
         depth[-1] = 0
         closes_at = {start + b: start + a for a, b in quotes}
+        fresh = {start, *(p for p, s, _ in places if s >= LIKELY)}
+        for k, (p, _, m) in enumerate(places, 1):
+            closed = next((i for i in range(p - 1, m.start() - 1, -1) if i in closes_at), None)
+            if closed is None:
+                continue
+            if _goes_on(text, p, closes_at[closed], closed, fresh):
+                close[k] += CARRIED
+            elif close[k] == NO and text[start : closes_at[closed]].rstrip()[-1:] in (":", ",", "，", "："):
+                close[k] = LIKELY  # the quotation ends the sentence that brought it
     else:
         depth = [0] * n
     if not quotes and all(s >= LIKELY or s <= NO for s in close[1:-1]):
@@ -235,8 +255,6 @@ def split_block(text: str, start: int, end: int) -> list[tuple[int, int]]:
                 s = best[i] + close[j] + _length(bounds[j] - bounds[i])
                 if depth[i] != depth[j] or depth[j]:
                     s += UNBALANCED
-                if quotes and j < n - 1 and _only_quote(text, bounds[i], bounds[j], closes_at):
-                    s += QUOTE_ONLY
                 if s > best[j]:
                     best[j], back[j] = s, i
         cuts, j = [], n - 1
@@ -258,20 +276,19 @@ def split_block(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return out
 
 
-def _only_quote(text: str, i: int, j: int, closes_at: dict[int, int]) -> bool:
-    """Whether the span is nothing but a quotation whose sentence may go on: in scripts without
-    case always, in others if a small letter follows."""
-    while i < j and text[i].isspace():
-        i += 1
-    k = j
-    while k > i and (text[k - 1].isspace()):
-        k -= 1
-    if closes_at.get(k - 1) != i:
+def _goes_on(text: str, end: int, i: int, closed: int, fresh: set[int]) -> bool:
+    """Whether a quotation from ``i`` to ``closed`` began a unit, so that its sentence may go on
+    (he asked): in scripts without case always, in others if a small letter follows."""
+    before = i
+    while before > 0 and text[before - 1].isspace() and before not in fresh:
+        before -= 1
+    if before not in fresh:
         return False
-    if any(_cased(c) for c in text[i:k]) and not any("֐" < c < "ﬀ" and c.isalpha() and not _cased(c) for c in text[i:k]):
-        while j < len(text) and text[j].isspace():
-            j += 1
-        return j < len(text) and text[j].islower()
+    inside = text[i : closed + 1]
+    if any(_cased(c) for c in inside) and not any("\u0590" < c < "\ufb00" and c.isalpha() and not _cased(c) for c in inside):
+        while end < len(text) and text[end].isspace():
+            end += 1
+        return end < len(text) and text[end].islower()
     return True
 
 
