@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,6 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
     own = tempfile.mkdtemp(prefix="pairloom-")
+    atexit.register(shutil.rmtree, own, True)
     spark.conf.set("pairloom.shared.dir", own)
     return own
 
@@ -30,10 +33,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     later readers prune columns, and the loss of an executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pairloom/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes the stages written so far; results that read them can't be used any more."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_rows(df: DataFrame, limit: int) -> list | None:
     """All rows if there are at most ``limit`` of them, else None (never a cut-off list)."""
     rows = df.limit(limit + 1).collect()
