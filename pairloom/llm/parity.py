@@ -34,7 +34,7 @@ BITS = 1024
 #: Offered cells that a pair must share: chance rarely gives several.
 MEET = 4
 #: Records sketched at a time.
-SLICE = 1000
+SLICE = 500
 #: Sizes up to FIRST are one band; each further band reaches GROW times as far. A band has CELLS cells a token at its upper end.
 FIRST, GROW, CELLS = 1024, 16, 64
 
@@ -78,11 +78,19 @@ def sketches(record: np.ndarray, hashes: np.ndarray, records: int) -> np.ndarray
     return np.packbits(odd.reshape(records, BITS), axis=1, bitorder="little").view(np.int64)
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, value) of a list column without nulls."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    sizes = np.diff(column.offsets.to_numpy())
-    return np.repeat(np.arange(len(column)), sizes), flat
+def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of a list column in order, each value once a row and without nulls."""
+    flat = column.flatten()
+    row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    if flat.null_count:
+        there = flat.is_valid().to_numpy(zero_copy_only=False)
+        row, flat = row[there], flat.drop_null()
+    value = flat.to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.lexsort((value, row))
+    row, value = row[order], value[order]
+    first = np.ones(len(row), bool)
+    first[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+    return row[first], value[first]
 
 
 def _list(rows: int, record: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -107,12 +115,12 @@ def similar_pairs(records: DataFrame, threshold: Fraction | float = Fraction(4,
     if keep <= 0:
         raise ValueError("the threshold is too close to 1/3")
     far = F.col(alike) if alike else F.lit(None).cast("string")
-    rows = records.select("id", F.array_compact(F.array_distinct("tokens")).alias("tokens"), far.alias("alike")).where("id is not null and size(tokens) > 0")
+    rows = records.select("id", "tokens", far.alias("alike")).where("id is not null and size(tokens) > 0")
 
     def sketch(batches):
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             n_rows = batch.num_rows
-            record, tokens = _lists(batch.column(1))
+            record, tokens = _sets(batch.column(1))
             hashes = mix(tokens.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
             n = np.bincount(record, minlength=n_rows)
             band = band_of(n)
@@ -137,7 +145,7 @@ def similar_pairs(records: DataFrame, threshold: Fraction | float = Fraction(4,
                     pa.array((s_guest - floor + meet).astype(np.int32)),
                     _list(n_rows, guest_record, guest.view(np.int64)),
                     pa.array(regular),
-                    batch.column(1),
+                    _list(n_rows, record, tokens),
                     batch.column(2),
                 ],
                 ["id", "n", "bits", "meet", "offer", "cells", "guest_offer", "guest_cells", "regular", "tokens", "alike"],
@@ -145,7 +153,7 @@ def similar_pairs(records: DataFrame, threshold: Fraction | float = Fraction(4,
 
     kind = rows.schema["alike"].dataType.simpleString()
     schema = f"id long, n int, bits array<long>, meet int, offer int, cells array<long>, guest_offer int, guest_cells array<long>, regular boolean, tokens array<long>, alike {kind}"
-    base = stage(rows.mapInArrow(sketch, schema), "sketches")
+    base = stage(rows.mapInArrow(sketch, schema).where("n > 0"), "sketches")
     own = base.select("id", F.lit(0).alias("role"), F.explode("cells").alias("cell"))
     guests = base.where(F.size("guest_cells") > 0).select("id", F.lit(1).alias("role"), F.explode("guest_cells").alias("cell"))
     cells = own.unionByName(guests)

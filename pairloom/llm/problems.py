@@ -17,7 +17,7 @@ from pairloom.llm.parity import similar_pairs
 from pairloom.llm.sentences import sentences
 from pairloom.llm.survivors import Bundle, survivors
 from pairloom.operators.packed import pair_columns
-from pairloom.session import stage
+from pairloom.session import bounded_rows, stage
 
 SQL: dict[str, str] = {}
 
@@ -147,7 +147,10 @@ def p5_splits(spark: SparkSession, sf: str) -> DataFrame:
     pairs = _ties(spark, sf).select(F.coalesce("a", "b").alias("cluster_id"), F.concat(F.lit("assembly "), kind).alias("label"))
     pairs = pairs.where("cluster_id is not null").groupBy("cluster_id", "label").agg(F.count("*").alias("weight"))
     weights = entities.unionByName(pairs).join(groups, "cluster_id").select("group_id", "label", "weight")
-    shares = [(r["split_name"], r["share"]) for r in table(spark, sf, "split_shares").orderBy(F.desc("share"), "split_name").limit(100).collect()]
+    rows = bounded_rows(table(spark, sf, "split_shares").orderBy(F.desc("share"), "split_name"), 100)
+    if rows is None:
+        raise ValueError("more than 100 splits")
+    shares = [(r["split_name"], r["share"]) for r in rows]
     return groups.join(assign_splits(groups, weights, shares), "group_id").select("cluster_id", "group_id", "split")
 
 
@@ -203,8 +206,9 @@ def _sequences(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     distinct, members = _sequences(spark, sf)
     members = stage(members, "members")
-    pairs = similar_pairs(windows(distinct), Fraction(1, 2), "alike").select("a", "b")
-    own = windows(distinct.where("alike is null")).where("size(tokens) > 0").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    tokens = stage(windows(distinct), "windows")  # so that no stage needs the workers of two Python functions
+    pairs = similar_pairs(tokens, Fraction(1, 2), "alike").select("a", "b")
+    own = tokens.where("alike is null and size(tokens) > 0").select(F.col("id").alias("a"), F.col("id").alias("b"))
     sides = [members.select(F.col("id").alias(k), F.col("cluster_id").alias(f"cluster_{k}")) for k in "ab"]
     found = pairs.unionByName(own).join(sides[0], "a").join(sides[1], "b").where("cluster_a <> cluster_b")
     return found.select(F.least("cluster_a", "cluster_b").alias("cluster_a"), F.greatest("cluster_a", "cluster_b").alias("cluster_b")).distinct()
@@ -213,7 +217,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 def p3_sequences(spark: SparkSession, sf: str) -> DataFrame:
     """One row per row of the table: its class of equal sequences and how many other classes are similar to it."""
     distinct, _ = _sequences(spark, sf)
-    pairs = stage(similar_pairs(windows(distinct), Fraction(1, 2)).select("a", "b"), "links")
+    pairs = stage(similar_pairs(stage(windows(distinct), "windows"), Fraction(1, 2)).select("a", "b"), "links")
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
     rows = table(spark, sf, "entity_sequences").select("row_id", residues(F.col("sequence")).alias("sequence"))
     classes = distinct.join(ends, "id", "left").select("sequence", F.sha2("sequence", 256).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
