@@ -21,10 +21,6 @@ def kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def is_object(v: Column) -> Column:
-    return F.coalesce(kind(v).startswith("OBJECT"), F.lit(False))
-
-
 def is_number(v: Column) -> Column:
     k = kind(v)
     return F.coalesce((k == "BIGINT") | (k == "DOUBLE") | (k == "FLOAT") | k.startswith("DECIMAL"), F.lit(False))

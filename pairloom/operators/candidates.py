@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import after_last, before_last
-from pairloom.functions.variants import ids, is_number, is_object, items, joined, truthy_text, truthy_texts
+from pairloom.functions.variants import ids, is_number, items, joined, truthy_text, truthy_texts
 from pairloom.schemas import BASE_COLUMNS, CANDIDATE_COLUMNS
+from pairloom.session import spread
 
 INFINITY = float("inf")
 
@@ -34,7 +35,7 @@ def method(doc: Column) -> Column:
 def cluster(entity: Column) -> Column:
     """The first sequence-identity group at a cutoff of 100, or ``singleton:`` and the entity's id; null without either."""
     groups = F.filter(
-        F.transform(items(entity, "$.rcsb_polymer_entity_group_membership"), lambda m: m),
+        items(entity, "$.rcsb_polymer_entity_group_membership"),
         lambda m: (F.try_variant_get(m, "$.aggregation_method", "string") == "sequence_identity")
         & (F.try_variant_get(m, "$.similarity_cutoff", "int") == 100)
         & truthy_text(m, "$.group_id").isNotNull(),
@@ -50,18 +51,17 @@ def accessions(entity: Column) -> Column:
         own = F.when((F.size(nested) > 0) | (F.size(listed) > 0), nested)  # a list of blanks still hides the object's own id
         return F.coalesce(own, truthy_texts(x, "$.rcsb_id"))
 
-    main = F.flatten(F.transform(F.filter(items(entity, "$.uniprots"), is_object), of))
+    main = F.flatten(F.transform(items(entity, "$.uniprots"), of))  # an element that is no object has none of the fields
     refs = F.filter(
         items(entity, "$.rcsb_polymer_entity_container_identifiers.reference_sequence_identifiers"),
-        lambda r: is_object(r) & (F.lower(F.try_variant_get(r, "$.database_name", "string")) == "uniprot"),
+        lambda r: F.lower(F.try_variant_get(r, "$.database_name", "string")) == "uniprot",
     )
     other = F.flatten(F.transform(refs, lambda r: truthy_texts(r, "$.database_accession")))
     return joined(F.when(F.size(main) > 0, main).otherwise(other))
 
 
 def organisms(entity: Column, label: str) -> Column:
-    found = F.filter(items(entity, "$.rcsb_entity_source_organism"), is_object)
-    return joined(F.flatten(F.transform(found, lambda o: truthy_texts(o, f"$.{label}"))))
+    return joined(F.flatten(F.transform(items(entity, "$.rcsb_entity_source_organism"), lambda o: truthy_texts(o, f"$.{label}"))))
 
 
 def _last(x: Column) -> Column:
@@ -75,7 +75,7 @@ def participants(doc: Column) -> Column:
     entities without id are left out.
     """
     proteins = F.filter(
-        F.filter(items(doc, "$.entry.polymer_entities"), is_object),
+        items(doc, "$.entry.polymer_entities"),
         lambda e: F.coalesce(F.try_variant_get(e, "$.entity_poly.rcsb_entity_polymer_type", "string").contains("Protein"), F.lit(False)),
     )
     claims = F.transform(
@@ -109,7 +109,9 @@ def derive(docs: DataFrame, payload: str = "payload", *, files_base: str = "") -
     """
     others = [c for c in docs.columns if c != payload and c not in {*CANDIDATE_COLUMNS, "entity_clusters", "rank_resolution", "reject"}]
     doc = F.col("_doc")
-    read = docs.select(*others, F.try_parse_json(F.col(payload).cast("string")).alias("_doc"))
+    text = F.col(payload).cast("string")
+    read = (docs if docs.isStreaming else spread(docs)).select(*others, F.try_parse_json(text).alias("_doc"), text.alias("_text"))
+    read = read.withColumn("_object", F.col("_doc").isNotNull() & F.col("_text").rlike(r"^\s*\{"))
     read = read.withColumn("assembly_id", F.coalesce(F.upper(truthy_text(doc, "$.rcsb_id")), F.lit("")))
     def two(label: str) -> Column:
         path = f"$.rcsb_assembly_info.{label}"
@@ -121,7 +123,7 @@ def derive(docs: DataFrame, payload: str = "payload", *, files_base: str = "") -
     e = F.col("_e")
     first, second = F.get(e, F.lit(0)), F.get(e, F.least(F.lit(1), F.size(e) - 1))
     reject = (
-        F.when(~is_object(doc), "unreadable")
+        F.when(~F.col("_object"), "unreadable")
         .when(~F.col("assembly_id").contains("-"), "no_id")
         .when(~F.col("_valid"), "instance_count")
         .when(~F.size(e).isin(1, 2), "entity_count")

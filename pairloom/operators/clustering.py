@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from pairloom.operators.joins import join_heavy
 from pairloom.operators.ordinals import with_ordinal
-from pairloom.session import stage
+from pairloom.session import spread, stage
 
 IDENTITY, WORD, SHORTEST = 0.9, 5, 11
+#: Rare words that a pair must share before more is fetched for it.
+MEET = 4
 
 
 def common_letters(a: str, b: str) -> int:
@@ -44,26 +46,27 @@ def similar(ranked: DataFrame, identity: float = IDENTITY, word: int = WORD) ->
     """(a, b), a before b: identical letters over the shorter length at least ``identity``, and enough common words.
 
     A pair must share at least D - word * e of the shorter one's D distinct words, e being the
-    letters that may differ; so each sequence offers its rarest word * e + 1 words (all, if it has fewer) and only these meet.
+    letters that may differ; so of its rarest word * e + MEET words (all, if it has fewer) MEET must be among the longer one's words, or as many as it must share at all.
     """
     if not 0 < identity <= 1:
         raise ValueError("identity must lie in (0, 1]")
     length = F.length("sequence")
     words = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(length - word + 1, F.lit(1))), lambda i: F.substring(F.col("sequence"), i, F.lit(word))))
-    base = stage(ranked.select("id", "sequence", length.alias("n"), F.transform(words, lambda w: F.xxhash64(w)).alias("words")), "words")
-    rows = base.select("id", "n", F.size("words").alias("d"), F.explode("words").alias("word"))
+    base = stage(spread(ranked).select("id", "sequence", length.alias("n"), F.transform(words, lambda w: F.xxhash64(w)).alias("words")), "words")
+    rows = spread(base).select("id", "n", F.size("words").alias("d"), F.explode("words").alias("word"))
     total = base.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     counts = rows.groupBy("word").agg(F.count("*").alias("df")).where("df > 1").withColumn("_n", F.col("df"))
     known = join_heavy(rows, counts, ["word"], total, "_n")
     edits = F.floor((1 - identity) * F.col("n") + 1e-9).cast("int")
-    offer = edits * word + 1  # of the rarest; words no other sequence has are rarer still
+    offer = edits * word + MEET  # of the rarest; words no other sequence has are rarer still
     order = known.groupBy("id", "n", "d").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("w"))
     offered = order.select("id", "n", "d", F.explode(F.slice("w", F.lit(1), F.greatest(F.lit(0), offer - (F.col("d") - F.size("w"))))).alias("x")).select("id", "n", "d", "x.word")
     offered = stage(offered, "offered")
     # the longer sequence may hold words the shorter lacks, so it offers all of its words
-    a = known.select(F.col("id").alias("a"), "word")
-    b = offered.select(F.col("id").alias("b"), "word")
-    pairs = a.join(b, "word").where("a < b").select("a", "b").distinct()
+    a = rows.select(F.col("id").alias("a"), "word")
+    must = F.greatest(F.lit(1), F.least(F.lit(MEET), F.col("d") - word * edits))
+    b = offered.select(F.col("id").alias("b"), "word", must.alias("must"))
+    pairs = a.join(b, "word").where("a < b").groupBy("a", "b").agg(F.count("*").alias("met"), F.min("must").alias("must")).where("met >= must").select("a", "b")
     sides = [base.select(F.col("id").alias(k), F.col("sequence").alias(f"s_{k}"), F.col("words").alias(f"w_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab"]
     wide = pairs.join(sides[0], "a").join(sides[1], "b")
     need = F.greatest(F.lit(1), F.size("w_b") - word * F.floor((1 - identity) * F.col("n_b") + 1e-9))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.session import bounded_rows, stage
+from pairloom.session import bounded_rows, spread, stage
 
 # Separators, quotes and brackets that are understood.
 BARS = "|¦｜∣│ǀ‖❘︱"
@@ -417,9 +417,9 @@ def unpack(tables: dict[str, DataFrame], fields: list[Field]) -> DataFrame:
             F.lit(f.table).alias("table_name"), F.col(f.key).cast("long").alias("row_id"), F.lit(f.column).alias("field_name"), F.lit(f.mode).alias("mode"), F.col(f.column).cast("string").alias("text")
         )
         rows = part if rows is None else rows.unionByName(part)
-    rows = rows.where(F.col("text").isNotNull())
+    rows = spread(rows.where(F.col("text").isNotNull()))
     texts = rows.groupBy("table_name", "field_name", "mode", "text").agg(F.count("*").alias("n"))
-    texts = stage(texts, "texts")
+    texts = spread(stage(texts, "texts"))
     counts = stage(column_values(texts), "values")
     contested = stage(contested_sides(texts, counts), "contested")
     decided = None if contested.isEmpty() else stage(learn(texts, counts, contested), "cuts")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairloom.functions.text import split_ids, strip
+from pairloom.session import spread
 
 OBJECT, ARRAY, STRING, NUMBER, BOOLEAN, NULL = "object", "array", "string", "number", "boolean", "null"
 
@@ -109,6 +110,7 @@ def shred(
     rows = df.select(F.col(key).alias("doc"), F.col(payload).cast("string").alias("payload")).where("doc is not null")
     if not unique:
         rows = rows.groupBy("doc").agg(F.min("payload").alias("payload"))
+    rows = spread(rows)
     schema = _node_schema(rows.schema["doc"].dataType)
     wanted = None if keep is None else frozenset(keep)
 

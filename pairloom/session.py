@@ -48,6 +48,12 @@ def clean(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores. Only an input of fewer partitions than cores, and so a small one, is moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def bounded_rows(df: DataFrame, limit: int) -> list | None:
     """All rows if there are at most ``limit`` of them, else None (never a cut-off list)."""
     rows = df.limit(limit + 1).collect()
