@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairloom.session import spread
+
 WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[[\p{L}\p{M}\p{Nd}]--[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]]+", regex.V1)
 UNITS = frozenset("å nm mm cm µm μm kda da mg ml µl k °c pt percent prozent percentage mol mm mhz kv".split())  # fixed values
 NUMBER, CODE, UNIT, NAME = "\x00number", "\x00code", "\x00unit", "\x00name"
@@ -219,7 +221,7 @@ def leaks(
     the tasks in blocks of at most BLOCK_ITEMS items or about BLOCK_CHARS characters, one pass each;
     the corpus is never shuffled, only what was found.
     """
-    rows = docs.select(doc, text).where(f"`{doc}` is not null and `{text}` is not null")
+    rows = spread(docs.select(doc, text).where(f"`{doc}` is not null and `{text}` is not null"))
     schema = T.StructType([rows.schema[doc], items.schema[item]])
     kind = items.schema[item].dataType
     found = None

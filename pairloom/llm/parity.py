@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.joins import join_heavy
-from pairloom.session import stage
+from pairloom.session import spread, stage
 
 E = 1 / 32
 BITS = 1024
@@ -153,8 +153,8 @@ def similar_pairs(records: DataFrame, threshold: Fraction | float = Fraction(4,
 
     kind = rows.schema["alike"].dataType.simpleString()
     schema = f"id long, n int, bits array<long>, meet int, offer int, cells array<long>, guest_offer int, guest_cells array<long>, regular boolean, tokens array<long>, alike {kind}"
-    base = stage(rows.mapInArrow(sketch, schema).where("n > 0"), "sketches")
-    own = base.select("id", F.lit(0).alias("role"), F.explode("cells").alias("cell"))
+    base = stage(spread(rows).mapInArrow(sketch, schema).where("n > 0"), "sketches")
+    own = spread(base.select("id", "cells")).select("id", F.lit(0).alias("role"), F.explode("cells").alias("cell"))
     guests = base.where(F.size("guest_cells") > 0).select("id", F.lit(1).alias("role"), F.explode("guest_cells").alias("cell"))
     cells = own.unionByName(guests)
     total = base.agg(F.coalesce(F.sum(F.size("cells") + F.size("guest_cells")), F.lit(0))).first()[0]

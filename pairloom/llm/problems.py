@@ -17,7 +17,7 @@ from pairloom.llm.parity import similar_pairs
 from pairloom.llm.sentences import sentences
 from pairloom.llm.survivors import Bundle, survivors
 from pairloom.operators.packed import pair_columns
-from pairloom.session import bounded_rows, stage
+from pairloom.session import bounded_rows, spread, stage
 
 SQL: dict[str, str] = {}
 
@@ -187,7 +187,7 @@ def windows(rows: DataFrame) -> DataFrame:
             tokens = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), tokens, batch.column(2)], ["id", "tokens", "alike"])
 
-    return rows.select("id", "sequence", "alike").mapInArrow(run, "id long, tokens array<long>, alike string")
+    return spread(rows.select("id", "sequence", "alike")).mapInArrow(run, "id long, tokens array<long>, alike string")
 
 
 def residues(c: Column) -> Column:

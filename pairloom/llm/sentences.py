@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from pairloom.session import spread
+
 # Stops, quotes and words that tell about sentence ends.
 CASELESS_STOPS = "。！？｡．。।॥؟۔"
 QUOTE_PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "", "「": "」", "『": "』", "‹": "›", "《": "》", "‚": "‘"}
@@ -316,7 +318,7 @@ def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     Null, empty and blank texts give no row; repeated rows give their units each; a null key
     stays null. Other columns are not read.
     """
-    rows = df.select(key, text)
+    rows = spread(df.select(key, text))
     schema = T.StructType([rows.schema[key], T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType())])
 
     def run(batches):
