@@ -23,7 +23,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.joins import join_heavy
@@ -33,6 +33,8 @@ E = 1 / 32
 BITS = 1024
 #: Offered cells that a pair must share: chance rarely gives several.
 MEET = 4
+#: Cells of more records than this are joined the other way (see ``_meet_heavy``).
+HEAVY = 500
 #: Records sketched at a time.
 SLICE = 500
 #: Sizes up to FIRST are one band; each further band reaches GROW times as far. A band has CELLS cells a token at its upper end.
@@ -167,25 +169,38 @@ def similar_pairs(records: DataFrame, threshold: Fraction | float = Fraction(4,
         base.where(F.size("guest_cells") > 0).select(*one, F.lit(1).alias("role"), F.col("guest_offer").alias("offer"), F.size("guest_cells").alias("s"))
     )
     left = F.greatest(F.lit(0), F.col("offer") - (F.col("s") - F.size("in_order")))
-    offered = ranked.join(sizes, ["id", "role"]).select(*one, F.explode(F.slice("in_order", F.lit(1), left)).alias("x")).select(*one, F.col("x.cell").alias("cell"))
+    offered = ranked.join(sizes, ["id", "role"]).select(*one, F.explode(F.slice("in_order", F.lit(1), left)).alias("x")).select(*one, "x.cell", "x.df")
     offered = stage(offered, "offered")
-    pairs = _meet(offered, offered, t, True)
+    met = _meet(*[offered.where(F.col("df") <= HEAVY)] * 2, t, F.col("id_a") < F.col("id_b"))
+    heavy = offered.where(F.col("df") > HEAVY)
+    if not heavy.isEmpty():
+        met = met.unionByName(_meet_heavy(heavy, t))
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("meet").alias("meet")).where("met >= meet").select("a", "b")
     odd = base.where(~F.col("regular"))
     if not odd.isEmpty():
         few = F.lit(1).alias("meet")
         plain = [x.select("id", "n", few, "alike", F.explode("tokens").alias("cell")) for x in (odd, base)]
-        pairs = pairs.unionByName(_meet(*plain, t, False)).distinct()
+        pairs = pairs.unionByName(_meet(*plain, t, F.col("id_a") != F.col("id_b")).select("a", "b")).distinct()
     return _verify(pairs, base, t)
 
 
-def _meet(x: DataFrame, y: DataFrame, t: Fraction, ordered: bool) -> DataFrame:
-    """Candidate pairs (a, b): sizes that allow the threshold and enough common cells."""
-    a, b = (side.select(*[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "meet", "alike")], "cell") for side, k in ((x, "a"), (y, "b")))
+def _meet(x: DataFrame, y: DataFrame, t: Fraction, order: Column) -> DataFrame:
+    """(a, b, meet) for every common cell of two records whose sizes allow the threshold."""
+    columns = [c for c in ("id", "n", "meet", "alike", "major") if c in x.columns]
+    a, b = (side.select(*[F.col(c).alias(f"{c}_{k}") for c in columns], "cell") for side, k in ((x, "a"), (y, "b")))
     fit = F.least("n_a", "n_b") * t.denominator >= F.greatest("n_a", "n_b") * t.numerator
-    order = F.col("id_a") < F.col("id_b") if ordered else F.col("id_a") != F.col("id_b")
     met = a.join(b, "cell").where(fit & order & ~F.coalesce(F.col("alike_a") == F.col("alike_b"), F.lit(False)))
-    met = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), F.least("meet_a", "meet_b").alias("meet"))
-    return met.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("meet").alias("meet")).where("met >= meet").select("a", "b")
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), F.least("meet_a", "meet_b").alias("meet"))
+
+
+def _meet_heavy(heavy: DataFrame, t: Fraction) -> DataFrame:
+    """As ``_meet``, for cells of many records. Records of the value of ``alike`` that is most common
+    in a cell aren't paired among themselves, so one of each pair is of another value: only those
+    are set against all."""
+    sizes = heavy.where("alike is not null").groupBy("cell", "alike").agg(F.count("*").alias("k"))
+    most = sizes.groupBy("cell").agg(F.max_by("alike", F.struct("k", "alike")).alias("most"))
+    marked = stage(heavy.join(most, "cell", "left").withColumn("major", F.coalesce(F.col("alike") == F.col("most"), F.lit(False))).drop("most"), "heavy")
+    return _meet(marked.where(~F.col("major")), marked, t, F.col("major_b") | (F.col("id_a") < F.col("id_b")))
 
 
 def _verify(pairs: DataFrame, base: DataFrame, t: Fraction) -> DataFrame:

@@ -73,6 +73,17 @@ def test_alike_nulls_repeats_empty_and_bounds(spark):
             similar_pairs(df, t)
 
 
+def test_heavy_cells(spark, monkeypatch):
+    """A large group of one kind is not paired in itself; all other pairs are found."""
+    monkeypatch.setattr(parity, "HEAVY", 3)
+    rng = random.Random(12)
+    rows = [(i, s, rng.choice(["hot", "hot", "hot", f"c{i}", None])) for i, s in enumerate(sets(rng, 150, 60, 20))]
+    kind = {i: k for i, _, k in rows}
+    want = {p: x for p, x in brute([r[:2] for r in rows], Fraction(1, 2)).items() if kind[p[0]] is None or kind[p[0]] != kind[p[1]]}
+    df = spark.createDataFrame([(i, list(s), k) for i, s, k in rows], SETS)
+    assert {(r["a"], r["b"]): (r["shared"], r["either"]) for r in similar_pairs(df, Fraction(1, 2), "alike").collect()} == want and want
+
+
 def test_long_sets(spark):
     a = set(range(30_000))
     b = set(range(3_000, 31_000))
