@@ -229,7 +229,7 @@ def leaks(
         prepared = prepare(block, window, window_cjk)
         if not prepared.windows:
             continue
-        part = rows.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(prepared), renamed, doc, item, kind), schema)
+        part = rows.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(vars(prepared)), renamed, doc, item, kind), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select(doc, F.lit(None).cast(kind).alias(item)).limit(0)
@@ -240,8 +240,8 @@ def _search(sent, renamed: bool, doc: str, item: str, kind: T.DataType):
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_type
 
-        reader = _Reader(sent.value)
-        items = reader.items
+        items = _Items(**sent.value)  # sent as plain values: broadcasts are pickled by reference
+        reader = _Reader(items)
         for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             texts = [words(t) for t in batch.column(1).to_pylist()]
             got: dict[tuple[int, int], bool] = {}
