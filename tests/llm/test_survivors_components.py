@@ -151,3 +151,16 @@ def test_p5_whole_tables(spark, sf):
     for g, s in split.values():
         by.setdefault(g, set()).add(s)
     assert all(len(s) == 1 for s in by.values()) and {r["cluster_id"] for r in problems.p5_found(spark, sf).collect()} == set(split)
+
+
+def test_p2_records_hold_the_values_of_their_rows(spark, sf):
+    rows = {r["candidate_id"]: r for r in problems.table(spark, sf, "candidate").collect()}
+    found = {(r["cluster_1"], r["cluster_2"]): r for r in problems.p2_found(spark, sf).collect()}
+    records = problems.p2_records(spark, sf).collect()
+    assert len(records) == len(found)
+    for r in records:
+        same = found[r["cluster_1"], r["cluster_2"]]
+        assert all(r[k] == same[k] for k in same.asDict())
+        for bundle, fields in (("resolution", ["resolution_best_angstrom"]), ("method", ["experimental_method"]), ("naming", ["entity_pair", "species_pair"]), ("place", ["download_url", "local_filename"])):
+            row = rows.get(r[f"{bundle}_row"])
+            assert row is None or (all(r[f] == row[f] for f in fields) and row["assembly_id"].upper() == r["assembly_id"])
