@@ -14,6 +14,7 @@ from pairloom.operators.clustering import IDENTITY
 from pairloom.operators.fasta import fasta_records, group_sequences, several_clusters, write_fasta
 from pairloom.plans import curation
 from pairloom.schemas import CANDIDATES, SEQUENCES
+from pairloom.session import stage
 from pairloom.sources import archive
 from pairloom.sources.mmcif import read_structures
 from pairloom.sources.tsv import read_tsv, write_tsv
@@ -60,7 +61,7 @@ def _extract(spark: SparkSession, o: argparse.Namespace) -> None:
 
 
 def _fasta(spark: SparkSession, o: argparse.Namespace) -> None:
-    rows = read_tsv(spark, o.sequences, SEQUENCES).withColumn("ord", F.monotonically_increasing_id())
+    rows = stage(read_tsv(spark, o.sequences, SEQUENCES).withColumn("ord", F.monotonically_increasing_id()), "sequences")
     groups = group_sequences(rows, "ord", drop_missing=o.drop_missing)
     log.warning("%d sequences stand in several clusters", several_clusters(groups).count())
     write_fasta(fasta_records(groups), o.out, one_file=o.one_file)

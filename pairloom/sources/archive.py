@@ -127,6 +127,37 @@ def limit_ids(ids: DataFrame, n: int, id: str = "assembly_id") -> DataFrame:
     return ids.orderBy(id).limit(n) if n else ids
 
 
+class _Search(DataSourceReader):
+    def __init__(self, options: dict):
+        self.url = options["url"]
+        self.no_ligands = str(options.get("no_ligands", "false")).lower() == "true"
+        self.retries = int(options.get("retries", 4))
+
+    def read(self, partition) -> Iterator[tuple]:
+        yield from ((i,) for i in hit_ids(post_json(self.url, search_body(self.no_ligands), retries=self.retries)))
+
+
+class ArchiveSearch(DataSource):
+    """``spark.read.format("archive_search")`` with options ``url`` and ``no_ligands``: one row an
+    assembly that meets the conditions (column ``assembly_id``), distinct, upper case, in order.
+    The conditions are evaluated by the archive; the answer comes in one piece, as one partition."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "archive_search"
+
+    def schema(self) -> T.StructType:
+        return T.StructType([T.StructField("assembly_id", T.StringType())])
+
+    def reader(self, schema: T.StructType) -> _Search:
+        return _Search(self.options)
+
+
+def search_ids(spark: SparkSession, url: str, no_ligands: bool = False) -> DataFrame:
+    spark.dataSource.register(ArchiveSearch)
+    return spark.read.format("archive_search").options(url=url, no_ligands=str(no_ligands).lower()).load()
+
+
 class _Batch(InputPartition):
     def __init__(self, ids: list[str]):
         super().__init__(ids)

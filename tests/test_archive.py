@@ -30,6 +30,9 @@ class Handler(BaseHTTPRequestHandler):
             return self.answer(b"")
         if self.path == "/errors":
             return self.answer(b'{"errors": ["no"]}')
+        if self.path == "/search":
+            few = len(data["query"]["nodes"]) == 4
+            return self.answer(json.dumps({"result_set": ["b-1", {"identifier": "a-2"}, "B-1"][: 1 if few else 3]}).encode())
         ids = data.get("variables", {}).get("ids", [])
         self.answer(json.dumps({"data": {"assemblies": [{"rcsb_id": i} for i in ids if i != "GONE"] + [None]}}).encode())
 
@@ -82,6 +85,11 @@ def test_s1_s2_f1_f2_f3_search():
     assert archive.hit_ids({"result_set": ["b-1", {"identifier": "a-1"}, {"x": 1}, None, "B-1"]}) == ["A-1", "B-1"] and archive.hit_ids({}) == []
 
 
+def test_s1_search_source(url, spark):
+    assert [r["assembly_id"] for r in archive.search_ids(spark, url + "/search").collect()] == ["A-2", "B-1"]
+    assert [r["assembly_id"] for r in archive.search_ids(spark, url + "/search", True).collect()] == ["B-1"]
+
+
 def test_s3_s4_documents(url, spark):
     query = archive.metadata_query()
     assert "resolution_combined" in query and "oper_expression" not in query
