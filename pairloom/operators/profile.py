@@ -15,8 +15,8 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def shares(df: DataFrame, column: str) -> DataFrame:
     """``value_counts`` with the share in percent, to one decimal."""
-    counts = value_counts(df, column)
-    return counts.withColumn("percent", F.round(F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 1))
+    whole = df.where(F.col(column).isNotNull()).count()
+    return value_counts(df, column).withColumn("percent", F.round(F.try_divide(F.lit(100.0) * F.col("n"), F.lit(whole)), 1))
 
 
 def duplicates(df: DataFrame, column: str, order: list[str]) -> DataFrame:
