@@ -19,9 +19,18 @@ def shares(df: DataFrame, column: str) -> DataFrame:
     return value_counts(df, column).withColumn("percent", F.round(F.try_divide(F.lit(100.0) * F.col("n"), F.lit(whole)), 1))
 
 
-def duplicates(df: DataFrame, column: str, order: list[str]) -> DataFrame:
-    """Every row whose value an earlier row has. Nulls are equal to each other."""
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(column).orderBy(*order))).where("_k > 1").drop("_k")
+def duplicates(df: DataFrame, column: str, order: list[str], salts: int = 32) -> DataFrame:
+    """Every row whose value an earlier row has. Nulls are equal to each other; of rows equal in
+    ``order`` any is the first.
+
+    A value's rows are ranked in ``salts`` parts, and only the first of each part meet, so that a
+    value that most rows have is not ranked in one task.
+    """
+    part = F.pmod(F.xxhash64(*order), F.lit(salts))
+    ranked = df.withColumn("_part", part).withColumn("_k", F.row_number().over(Window.partitionBy(column, "_part").orderBy(*order)))
+    later = ranked.where("_k > 1").drop("_part", "_k")
+    first = ranked.where("_k = 1").drop("_part", "_k").withColumn("_k", F.row_number().over(Window.partitionBy(column).orderBy(*order)))
+    return later.unionByName(first.where("_k > 1").drop("_k"))
 
 
 def describe(df: DataFrame, column: str | Column) -> DataFrame:

@@ -194,6 +194,8 @@ def test_counts_shares_cutoffs(spark):
     assert [r["percent"] for r in profile.shares(df, "v").collect()] == [66.7, 33.3]
     assert tuple(profile.cutoffs(df, "n", 2, 2).first()) == (2, 1)
     assert [r["n"] for r in profile.duplicates(df, "v", ["n"]).collect()] == [2]
+    many = spark.createDataFrame([("a" if i % 3 else None, i // 2) for i in range(600)], "v string, n int")
+    assert profile.duplicates(many, "v", ["n"], 4).count() == 598 and profile.duplicates(many.limit(0), "v", ["n"]).count() == 0
 
 
 def test_c1_greedy_against_sequential(spark):
