@@ -33,6 +33,9 @@ E = 1 / 32
 BITS = 1024
 #: Offered cells that a pair must share: chance rarely gives several.
 MEET = 4
+WHOLE = 12
+#: Bits of a cell's signature; the others of a word hold its number of records.
+CELL_BITS = 43
 #: Cells of more records than this are joined the other way (see ``_meet_heavy``).
 HEAVY = 500
 #: Records sketched at a time.
@@ -70,7 +73,7 @@ def cells_of(record: np.ndarray, hashes: np.ndarray, band: np.ndarray) -> tuple[
     with np.errstate(over="ignore"):
         signature = mix(parity ^ mix(cell * np.uint64(1 << 8) + band.astype(np.uint64) + np.uint64(1)))
     full = parity != 0
-    return record[full], signature[full]
+    return record[full], signature[full] >> np.uint64(64 - CELL_BITS)
 
 
 def sketches(record: np.ndarray, hashes: np.ndarray, records: int) -> np.ndarray:
@@ -116,8 +119,8 @@ def similar_pairs(records: DataFrame, threshold: Fraction | float = Fraction(4,
     keep = 1 - E - 2 * c
     if keep <= 0:
         raise ValueError("the threshold is too close to 1/3")
-    far = F.col(alike) if alike else F.lit(None).cast("string")
-    rows = records.select("id", "tokens", far.alias("alike")).where("id is not null and size(tokens) > 0")
+    kind = F.when(F.col(alike).isNotNull(), F.xxhash64(alike)) if alike else F.lit(None).cast("long")
+    rows = records.select("id", "tokens", kind.alias("alike")).where("id is not null and size(tokens) > 0")
 
     def sketch(batches):
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
@@ -153,29 +156,31 @@ def similar_pairs(records: DataFrame, threshold: Fraction | float = Fraction(4,
                 ["id", "n", "bits", "meet", "offer", "cells", "guest_offer", "guest_cells", "regular", "tokens", "alike"],
             )
 
-    kind = rows.schema["alike"].dataType.simpleString()
-    schema = f"id long, n int, bits array<long>, meet int, offer int, cells array<long>, guest_offer int, guest_cells array<long>, regular boolean, tokens array<long>, alike {kind}"
+    schema = "id long, n int, bits array<long>, meet int, offer int, cells array<long>, guest_offer int, guest_cells array<long>, regular boolean, tokens array<long>, alike long"
     base = stage(spread(rows).mapInArrow(sketch, schema).where("n > 0"), "sketches")
     own = spread(base.select("id", "cells")).select("id", F.lit(0).alias("role"), F.explode("cells").alias("cell"))
     guests = base.where(F.size("guest_cells") > 0).select("id", F.lit(1).alias("role"), F.explode("guest_cells").alias("cell"))
     cells = own.unionByName(guests)
     total = base.agg(F.coalesce(F.sum(F.size("cells") + F.size("guest_cells")), F.lit(0))).first()[0]
     common = cells.groupBy("cell").agg(F.count("*").alias("df")).where("df > 1").withColumn("n", F.col("df"))
-    shared = join_heavy(cells, common, ["cell"], total)
-    # cells that no other record has come first in every order and so use up part of the offer
-    ranked = shared.groupBy("id", "role").agg(F.sort_array(F.collect_list(F.struct("df", "cell"))).alias("in_order"))
+    most = (1 << 63 - CELL_BITS) - 1
+    ranked = F.shiftleft(F.least("df", F.lit(most)), CELL_BITS).bitwiseOR(F.col("cell"))  # rare cells first, and one word a cell
+    shared = join_heavy(cells, common, ["cell"], total).select("id", "role", ranked.alias("ranked"))
+    ranked = shared.groupBy("id", "role").agg(F.sort_array(F.collect_list("ranked")).alias("in_order"))
     one = [F.col(x) for x in ("id", "n", "meet", "alike")]
     sizes = base.select(*one, F.lit(0).alias("role"), "offer", F.size("cells").alias("s")).unionByName(
         base.where(F.size("guest_cells") > 0).select(*one, F.lit(1).alias("role"), F.col("guest_offer").alias("offer"), F.size("guest_cells").alias("s"))
     )
+    # cells that no other record has come first in every order and so use up part of the offer
     left = F.greatest(F.lit(0), F.col("offer") - (F.col("s") - F.size("in_order")))
-    offered = ranked.join(sizes, ["id", "role"]).select(*one, F.explode(F.slice("in_order", F.lit(1), left)).alias("x")).select(*one, "x.cell", "x.df")
+    offered = ranked.join(sizes, ["id", "role"]).select(*one, F.explode(F.slice("in_order", F.lit(1), left)).alias("x"))
+    offered = offered.select(*one, F.col("x").bitwiseAND((1 << CELL_BITS) - 1).alias("cell"), F.shiftright("x", CELL_BITS).alias("df"))
     offered = stage(offered, "offered")
     met = _meet(*[offered.where(F.col("df") <= HEAVY)] * 2, t, F.col("id_a") < F.col("id_b"))
     heavy = offered.where(F.col("df") > HEAVY)
     if not heavy.isEmpty():
         met = met.unionByName(_meet_heavy(heavy, t))
-    pairs = met.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("meet").alias("meet")).where("met >= meet").select("a", "b")
+    pairs = met.groupBy("a", "b").agg(F.sum("part").alias("met")).where(F.col("met") >= WHOLE).select("a", "b")
     odd = base.where(~F.col("regular"))
     if not odd.isEmpty():
         few = F.lit(1).alias("meet")
@@ -185,12 +190,12 @@ def similar_pairs(records: DataFrame, threshold: Fraction | float = Fraction(4,
 
 
 def _meet(x: DataFrame, y: DataFrame, t: Fraction, order: Column) -> DataFrame:
-    """(a, b, meet) for every common cell of two records whose sizes allow the threshold."""
+    """(a, b, part) for every common cell of two records whose sizes allow the threshold; enough cells make up WHOLE parts."""
     columns = [c for c in ("id", "n", "meet", "alike", "major") if c in x.columns]
     a, b = (side.select(*[F.col(c).alias(f"{c}_{k}") for c in columns], "cell") for side, k in ((x, "a"), (y, "b")))
     fit = F.least("n_a", "n_b") * t.denominator >= F.greatest("n_a", "n_b") * t.numerator
     met = a.join(b, "cell").where(fit & order & ~F.coalesce(F.col("alike_a") == F.col("alike_b"), F.lit(False)))
-    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), F.least("meet_a", "meet_b").alias("meet"))
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), (WHOLE / F.least("meet_a", "meet_b")).cast("int").alias("part"))
 
 
 def _meet_heavy(heavy: DataFrame, t: Fraction) -> DataFrame:
