@@ -126,6 +126,8 @@ def _full_stop(text: str, start: int, end: int, block: int) -> float:
                 return WEAK if _own_bracket(text, end, block) or "[" in inner else NO
             return NO
         return LIKELY
+    if token[-1:] in ")]}»”\"’）":  # a bracket or quotation that ended before the stop
+        return LIKELY
     word = token.lower()
     opens = first.isupper() or first.isdigit() or first in OPENING_MARKS or not _cased(first)
     if len(token) == 1 and token.isalpha():

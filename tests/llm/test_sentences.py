@@ -15,7 +15,7 @@ SPACED = {
         '"Is the mask real?" asked Dr. Dosvel during the open session.', "velsigen binds hinralase, see Sec. 6.5 for details (ref. 3).", 'The log reads: "Chain B was rebuilt. Nothing else changed."', "We thank Mr. Tavash Jr. for 486 plates.",
         "The map ... was closed, or so it seemed.", "“It is open,” wrote E. Velmoor, “and it stays so.”", "(The hinge was left out.)", "Wait... is it closed?!", "No. 7 of the series lacks it.", "It failed in vol. 1, pp. 533–537.", "The strand closes. [4]", "On 2 Jan. the group met.",
     ],
-    "de": ["Am 5. Mai wurde klar, dass es z. B. bei 9,1 % liegt.", "Der Wert lag bei 1.152 Einheiten.", "„Ist die Kette echt?“, fragte Fr. Dr. Yorvanne.", "Im Protokoll steht: „Kette D fehlt. Sonst nichts.“", "Es bildet sich usw.", "Die 3. Probe war bzgl. tarnerin-7 leer.", "So vermuteten es S. Velmoor u. a. zuerst (vgl. Tab. 8)!"],
+    "de": ["Am 5. Mai wurde klar, dass es z. B. bei 9,1 % liegt.", "Der Wert lag bei 1.152 Einheiten.", "„Ist die Kette echt?“, fragte Fr. Dr. Yorvanne.", "Im Protokoll steht: „Kette D fehlt. Sonst nichts.“", "Es bildet sich usw.", "Die 3. Probe war bzgl. tarnerin-7 leer.", "Es gilt, bevor die Tasche schließt (S. 936 f.).", "So vermuteten es S. Velmoor u. a. zuerst (vgl. Tab. 8)!"],
     "fr": ["La poche, p. ex. celle de 4EDAMR, atteint 4,34 Å !", "« La chaîne est-elle vraie ? » demanda le Dr Wexaldy.", "La note dit : « Chaîne H refaite. Rien d'autre. »", "Seuls 270 résidus sur 653 sont visibles, c.-à-d. sans gersinin…"],
     "es": ["«¿Es real la hélice?», preguntó el Sr. Quessary.", "La región, p. ej. la de 88AGLS, llega a 2,70 Å.", "Según la Dra. Yorvanne, es visible.", "¡La lámina no existe!"],
     "ru": ["«Настоящая ли это цепь?» — спросил г. Murvane.", "Они имеют общую часть, т. е. одна цепь меняет другую (см. табл. 4).", "По данным проф. Velmoor, маска доходит до 1,77 Å и т. д.", "В журнале написано: «Цепь F исправлена. Больше ничего.»"],
