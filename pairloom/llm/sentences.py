@@ -53,7 +53,7 @@ SPAN = 64
 
 _BLANK_LINE = re.compile(r"(?:\r\n|\r|\n)(?:[^\S\r\n]*(?:\r\n|\r|\n))+")
 _MARK = r"(?:\s?\[\d{1,4}(?:\s?[,;–-]\s?\d{1,4})*\])"
-_CLOSER = r"(?:[\"”’')\]}」』）】》〉›»]|“(?=[\s,;:.!?…)\]]|$)|[   ]{1,2}[»›])"
+_CLOSER = r"(?:[”’')\]}」』）】》〉›»]|\"(?![^\W\d_])|“(?=[\s,;:.!?…)\]]|$)|[   ]{1,2}[»›])"
 _PLACE = re.compile(rf"([.!?…‥{CASELESS_STOPS}]+)({_CLOSER}*)({_MARK}*)({_CLOSER}*)|(?<=[ก-๛])[^\S\r\n]+(?=[ก-๛])")
 _BEFORE = re.compile(r"(\S*)$")
 _WORD = re.compile(r"[^\W_]+[^\s.]*", re.UNICODE)
@@ -113,7 +113,9 @@ def _full_stop(text: str, start: int, end: int, block: int) -> float:
         if first.isupper():
             if len(token) == 1:
                 return LIKELY if _labelled(text, at) and text[gap + 1 : gap + 2].islower() else NEVER_SCORE
-            return NEVER_SCORE if "." in token or not (text[gap + 1 : gap + 2].islower() or text[gap + 1 : gap + 2].isspace()) else LIKELY
+            after = text[gap + 1 : gap + 2]
+            starts = after.islower() or after.isspace() or after.isupper() and len(token) > 2 and token[-1].islower()
+            return LIKELY if starts and "." not in token and token.lower() not in NEVER else NEVER_SCORE
         if first.islower():
             return NEVER_SCORE
         return WEAK if len(token) > 1 and "." not in token else NO
@@ -134,10 +136,10 @@ def _full_stop(text: str, start: int, end: int, block: int) -> float:
         if token.isupper():
             return LIKELY if _labelled(text, at) else NEVER_SCORE
         if word in EITHER:
-            return WEAK if opens and first != "(" else NEVER_SCORE
+            return WEAK if opens and _opens_bracket(text, gap, word) else NEVER_SCORE
         return NEVER_SCORE if word in NEVER or word in SINGLE or first.islower() or not _cased(word) else WEAK
     if word in EITHER:
-        return WEAK if opens and first != "(" else NEVER_SCORE
+        return WEAK if opens and _opens_bracket(text, gap, word) else NEVER_SCORE
     if word in NEVER:
         return NEVER_SCORE
     if word in MONTHS and (m := _BEFORE.search(text[max(block, at - 12) : at].rstrip())) and m[1].isdigit():
@@ -157,6 +159,11 @@ def _full_stop(text: str, start: int, end: int, block: int) -> float:
     return LIKELY if opens else WEAK + 1
 
 
+def _opens_bracket(text: str, gap: int, word: str) -> bool:
+    """Whether what follows an abbreviation is no bracket, or one with a sentence of its own."""
+    return text[gap] != "(" or word != "al" and text[gap + 1 : gap + 2].isupper()
+
+
 def _labelled(text: str, at: int) -> bool:
     """Whether the word before the letter at ``at`` says that the letter is a label or, being a number, a unit."""
     m = _BEFORE.search(text[max(0, at - 40) : at].rstrip())

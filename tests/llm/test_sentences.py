@@ -48,6 +48,8 @@ def test_p8_headings_cuts_and_joins():
 
     assert cut("7. Results\n\nIt is so") == ["7. Results", "It is so"]
     assert cut("the end.The start of chain D.Compared") == ["the end.", "The start of chain D.", "Compared"]
+    assert cut("it is visible.FOR CHAIN F. See Dr.Orlinde etc. (The rest was left out.)") == ["it is visible.", "FOR CHAIN F.", "See Dr.Orlinde etc.", "(The rest was left out.)"]
+    assert cut('保持刚性的状态。"Is it real?" asked Dr. Dosvel.') == ["保持刚性的状态。", '"Is it real?" asked Dr. Dosvel.']
     assert cut('The log reads: "Chain B was rebuilt. Noth') == ['The log reads: "Chain B was rebuilt. Noth']
     assert cut("wrapped roughly\nhere. Next.") == ["wrapped roughly\nhere.", "Next."]
     assert cut("Unlike it, e.g. in D. voridula, the U.S.-style chain A. Both") == ["Unlike it, e.g. in D. voridula, the U.S.-style chain A.", "Both"]
