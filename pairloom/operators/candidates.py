@@ -11,6 +11,8 @@ from pairloom.schemas import BASE_COLUMNS, CANDIDATE_COLUMNS
 from pairloom.session import spread
 
 INFINITY = float("inf")
+#: The response envelope that may be left around a document, or around a list of them.
+ENVELOPE = "$.data.assemblies"
 
 
 def resolution(doc: Column) -> Column:
@@ -99,6 +101,12 @@ def _took_part(claims: Column, chains: Column) -> Column:
     return F.transform(names, lambda n: _last(F.filter(owners, lambda p: p["id"] == n)))
 
 
+def _documents(payload: Column) -> Column:
+    """The documents of a payload, by the rule of ``shredding.roots``: itself, or what lies in the envelope left around it."""
+    inner = F.try_variant_get(payload, ENVELOPE, "variant")
+    return F.when(inner.isNull(), F.array(payload)).otherwise(F.coalesce(F.try_variant_get(payload, ENVELOPE, "array<variant>"), F.array(inner)))
+
+
 def derive(docs: DataFrame, payload: str = "payload", *, files_base: str = "") -> DataFrame:
     """The 21 candidate columns, ``entity_clusters`` (clusters in the order of ``entity_pair``),
     ``rank_resolution`` (infinity for none) and ``reject``: why the document gives no candidate, or null.
@@ -106,12 +114,17 @@ def derive(docs: DataFrame, payload: str = "payload", *, files_base: str = "") -
     Reasons: unreadable, no_id, instance_count, entity_count, missing_cluster. The texts may be
     null; other columns of ``docs`` are kept under their names unless they clash, in which case
     the candidate's column stands. Null elements of lists are skipped.
+
+    There is a row for each document of a payload: an envelope gives as many as it holds. What is
+    no object in it is unreadable; an empty envelope gives one row, unreadable too, so that every payload is counted.
     """
     others = [c for c in docs.columns if c != payload and c not in {*CANDIDATE_COLUMNS, "entity_clusters", "rank_resolution", "reject"}]
     doc = F.col("_doc")
     text = F.col(payload).cast("string")
-    read = (docs if docs.isStreaming else spread(docs)).select(*others, F.try_parse_json(text).alias("_doc"), text.alias("_text"))
-    read = read.withColumn("_object", F.col("_doc").isNotNull() & F.col("_text").rlike(r"^\s*\{"))
+    read = (docs if docs.isStreaming else spread(docs)).select(*others, F.try_parse_json(text).alias("_payload"), text.alias("_text"))
+    opened = F.try_variant_get("_payload", ENVELOPE, "variant").isNotNull()
+    read = read.select(*others, opened.alias("_opened"), (F.col("_payload").isNotNull() & F.col("_text").rlike(r"^\s*\{")).alias("_plain"), F.explode_outer(_documents(F.col("_payload"))).alias("_doc"))
+    read = read.withColumn("_object", F.when(F.col("_opened"), F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))).otherwise(F.col("_plain")))
     read = read.withColumn("assembly_id", F.coalesce(F.upper(truthy_text(doc, "$.rcsb_id")), F.lit("")))
     def two(label: str) -> Column:
         path = f"$.rcsb_assembly_info.{label}"
