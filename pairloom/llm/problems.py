@@ -215,11 +215,16 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_sequences(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per row of the table: its class of equal sequences and how many other classes are similar to it."""
-    distinct, _ = _sequences(spark, sf)
+    """One row per row of the table: its class of equal sequences and how many other classes are similar to it.
+
+    The cluster plays no part. Sequences without a window have a class and no links; a row in
+    which no residue is left has neither.
+    """
+    rows = table(spark, sf, "entity_sequences").select("row_id", residues(F.col("sequence")).alias("sequence"))
+    distinct = rows.where("sequence <> ''").select("sequence", F.lit(None).cast("string").alias("alike")).distinct()
+    distinct = stage(distinct.withColumn("id", F.monotonically_increasing_id()), "sequences")
     pairs = stage(similar_pairs(stage(windows(distinct), "windows"), Fraction(1, 2)).select("a", "b"), "links")
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
-    rows = table(spark, sf, "entity_sequences").select("row_id", residues(F.col("sequence")).alias("sequence"))
     classes = distinct.join(ends, "id", "left").select("sequence", F.sha2("sequence", 256).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     return rows.join(classes, "sequence", "left").select("row_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
