@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left, bisect_right
+from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,7 +49,7 @@ PARTICLES = "とはがをにでもへやのなか而"
 #: Scores in log odds.
 SURE, LIKELY, WEAK, NO, NEVER_SCORE = 8.0, 5.0, 2.0, -5.0, -9.0
 UNBALANCED, CARRIED, LENGTH_WEIGHT = -12.0, -14.0, 0.1
-#: The longest span, in places where it may end; a longer sentence is closed at its most likely place.
+#: The longest span, in places where it may end, those within quotations not counted; a longer sentence is closed at its most likely place.
 SPAN = 64
 
 _BLANK_LINE = re.compile(r"(?:\r\n|\r|\n)(?:[^\S\r\n]*(?:\r\n|\r|\n))+")
@@ -63,8 +64,8 @@ def _cased(c: str) -> bool:
     return c.lower() != c.upper()
 
 
-def quotations(text: str) -> list[tuple[int, int]]:
-    """(opening, closing) places of the quotations; unclosed ones reach the end if that is near."""
+def quotations(text: str, cut_off: bool = False) -> list[tuple[int, int]]:
+    """(opening, closing) places of the quotations; unclosed ones reach the end if that is near or the text is cut off there."""
     found: list[tuple[int, int]] = []
     stack: list[tuple[str, int]] = []
     straight: int | None = None
@@ -82,7 +83,7 @@ def quotations(text: str) -> list[tuple[int, int]]:
         elif QUOTE_PAIRS.get(c):
             stack.append((c, i))
     rest = [i for _, i in stack] + ([straight] if straight is not None else [])
-    found += [(i, len(text)) for i in rest if len(text) - i <= 160]
+    found += [(i, len(text)) for i in rest if cut_off or len(text) - i <= 160]
     found.sort()
     return found
 
@@ -229,13 +230,18 @@ def _length(n: int) -> float:
     return -LENGTH_WEIGHT * abs(math.log(max(n, 1) / 100.0))
 
 
+def _cut_off(text: str, start: int, end: int) -> bool:
+    """Whether ``text[start:end]`` is the last of the text and ends in the middle of a sentence."""
+    return not text[end:].strip() and not any(m.end() == end for m in _PLACE.finditer(text, start, end))
+
+
 def split_block(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """The units of ``text[start:end]``, a stretch without blank lines and without white space at its ends."""
     places = [(m.end(), s, m) for m in _PLACE.finditer(text, start, end) if (s := closing(text, m, start, end)) > NEVER_SCORE and m.end() < end]
     if not places:
         return [(start, end)]
     part = text[start:end]
-    quotes = quotations(part) if _QUOTE.search(part) else []
+    quotes = quotations(part, _cut_off(text, start, end)) if _QUOTE.search(part) else []
     bounds = [start, *(p for p, _, _ in places), end]
     close = [0.0, *(s for _, s, _ in places), 0.0]
     n = len(bounds)
@@ -261,13 +267,18 @@ def split_block(text: str, start: int, end: int) -> list[tuple[int, int]]:
     else:
         best = [0.0] + [-math.inf] * (n - 1)
         back = [0] * n
+        outside: deque[int] = deque([0], SPAN)  # the last places before j that lie in no quotation
         for j in range(1, n):
-            for i in range(max(0, j - SPAN), j):
+            near = max(0, j - SPAN)
+            far = [] if depth[j] else [i for i in outside if i < near]  # a quotation does not count towards the span around it
+            for i in (*far, *range(near, j)):
                 s = best[i] + close[j] + _length(bounds[j] - bounds[i])
                 if depth[i] != depth[j] or depth[j]:
                     s += UNBALANCED
                 if s > best[j]:
                     best[j], back[j] = s, i
+            if not depth[j]:
+                outside.append(j)
         cuts, j = [], n - 1
         while j:
             j = back[j]
