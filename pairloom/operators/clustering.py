@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from pairloom.operators.joins import join_heavy
 from pairloom.operators.ordinals import with_ordinal
-from pairloom.session import spread, stage
+from pairloom.session import bounded_rows, spread, stage
 
 IDENTITY, WORD, SHORTEST = 0.9, 5, 11
 #: Rare words that a pair must share before more is fetched for it.
 MEET = 4
+#: So many open pairs are settled by the driver, once the rounds have become many.
+REST = 100_000
 
 
 def common_letters(a: str, b: str) -> int:
@@ -75,21 +77,39 @@ def similar(ranked: DataFrame, identity: float = IDENTITY, word: int = WORD) ->
     return wide.withColumn("same", same("s_a", "s_b")).where(F.col("same") >= F.col("n_b") * F.lit(identity) - 1e-9).select("a", "b")
 
 
+def _in_order(pairs: list) -> list:
+    """The further representatives among open pairs (a, b), of which an ``a`` that is no ``b`` is one already."""
+    before: dict = {}
+    for a, b in pairs:
+        before.setdefault(b, []).append(a)
+    covered, found = set(), []
+    for b in sorted(before):
+        if all(a in covered for a in before[b]):
+            found.append(b)
+        else:
+            covered.add(b)
+    return found
+
+
 def greedy(nodes: DataFrame, pairs: DataFrame, rounds: int = 200) -> DataFrame:
     """(id, representative) of every node; ``pairs`` (a, b) has a before b.
 
     Rounds go on until nothing is open; each is written to the shared folder. A chain of n
-    similar neighbours needs n rounds, and over ``rounds`` of them an error is raised rather
-    than a wrong result given.
+    similar neighbours needs n rounds, so after ``rounds`` of them what is left is settled in
+    order by the driver as soon as it is no more than ``REST`` pairs, with the same result.
     """
     open_pairs = stage(pairs.select("a", "b").where("a < b").distinct(), "pairs")
     all_pairs = open_pairs
     blocked = nodes.join(open_pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id")
     chosen = stage(blocked, "chosen")  # nothing earlier is similar
     fresh = chosen
-    for _ in range(rounds):
-        if open_pairs.isEmpty():
+    done = 0
+    while not open_pairs.isEmpty():
+        if done >= rounds and (rest := bounded_rows(open_pairs, REST)) is not None:
+            late = nodes.sparkSession.createDataFrame([(x,) for x in _in_order(rest)], chosen.schema)
+            chosen = stage(chosen.unionByName(late), "chosen")
             break
+        done += 1
         covered = open_pairs.join(fresh.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
         covered = stage(covered, "covered")
         rest = open_pairs.join(covered.withColumnRenamed("id", "b"), "b", "left_anti")  # a covered node needs no more
@@ -99,9 +119,6 @@ def greedy(nodes: DataFrame, pairs: DataFrame, rounds: int = 200) -> DataFrame:
         fresh = stage(free, "fresh")
         chosen = stage(chosen.unionByName(fresh), "chosen")
         open_pairs = rest
-    else:
-        if not open_pairs.isEmpty():
-            raise RuntimeError(f"not settled after {rounds} rounds")
     nearest = all_pairs.join(chosen.withColumnRenamed("id", "a"), "a", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("first"))
     mine = chosen.withColumn("own", F.lit(True))
     return nodes.select("id").join(mine, "id", "left").join(nearest, "id", "left").select("id", F.when(F.col("own"), F.col("id")).otherwise(F.col("first")).alias("representative"))
