@@ -1,25 +1,35 @@
 """Sentence units in many languages by a semi-Markov dynamic programme.
 
 Stops, and in Thai the spaces between letters, give the places where a unit may end. Every span
-between two such places is a possible sentence; its score sums how well its closing word lets it
-end, how well the next one opens, how likely its length is and whether its quotations balance.
-The best chain of spans is found from left to right. Lines of white space part the text first.
+between two such places is a possible sentence. Its score is the sum of how well its first word
+opens a sentence, how well its last word and stop close one, how likely its length is in its
+script, and a penalty where it cuts a quotation. The chain of spans with the largest sum is found
+from left to right over all spans, starts that can never win again being left out.
+
+The weights of words come from the corpus (``learn``): a word opens well if it stands after sure
+ends more often than the words of its letter case do; a word before a full stop closes as often
+as what follows it opens (expectation maximisation over both, the fixed lists being priors); a
+single letter is a label if it stands without a stop after the word before it.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left, bisect_right
-from collections import deque
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.session import spread
+from pairloom.session import bounded_rows, spread, stage
 
-# Stops, quotes and words that tell about sentence ends.
+# Stops, quotes and words that tell about sentence ends before the corpus does.
 CASELESS_STOPS = "。！？｡．。।॥؟۔"
 QUOTE_PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "", "「": "」", "『": "』", "‹": "›", "《": "》", "‚": "‘"}
 #: Words whose full stop does not end a sentence.
@@ -38,34 +48,61 @@ MONTHS = set("januar februar märz april mai juni juli august september oktober
 #: Before a number with a full stop that counts things.
 BEFORE_ORDINAL = set("die der das den dem des am im zum zur beim vom ins jede jeder jedes dieser diese dieses".split())
 #: A single letter after one of these is a label, not an initial.
-LABELLED = set(
-    """chain chains entry form site type group class strand subunit domain loop kette ketten gruppe typ form chaîne chaînes boucle groupe type forme cadena
-    cadenas grupo tipo forma цепь цепи цепью цепей цепях группа группы тип форма शृंखला السلسلة plan case vitamin figure table part""".split()
-)
+LABELLED = set("chain form site type group class form plan case vitamin figure table part kette gruppe typ chaîne groupe cadena grupo tipo цепь группа тип".split())
 OPENING_MARKS = "([{“„«‹\"'¿¡「『（【《〈‘"
 #: After a closing bracket or quote of these scripts a particle goes on with the sentence.
 PARTICLES = "とはがをにでもへやのなか而"
 
-#: Scores in log odds.
-SURE, LIKELY, WEAK, NO, NEVER_SCORE = 8.0, 5.0, 2.0, -5.0, -9.0
-UNBALANCED, CARRIED, LENGTH_WEIGHT = -12.0, -14.0, 0.1
-#: The longest span, in places where it may end, those within quotations not counted; a longer sentence is closed at its most likely place.
-SPAN = 64
+#: Log odds that a unit ends with a word and its stop, before the corpus is asked.
+SURE, WORD, WORD_OR_QUOTE, MAYBE, DOTTED, ABBREVIATION = 9.0, 7.5, 2.0, 2.0, -6.0, -8.0
+#: Log odds of the first letter of what follows.
+CAPITAL, SMALL, BRACKET = 1.0, -4.0, -2.0
+#: Cutting a quotation, from each side; a quotation alone as a span where its sentence seems to go on; a quotation mark without its partner.
+UNBALANCED, CARRIED, STRAY = -12.0, -14.0, -20.0
+#: What one unit of log length, in spreads of its script, counts.
+LENGTH_WEIGHT = 0.4
+#: (log of the usual length, mean deviation from it) before the corpus is asked.
+LENGTHS = {"cased": (math.log(100), 0.5), "han": (math.log(30), 0.5), "thai": (math.log(40), 0.5), "other": (math.log(70), 0.5)}
 
 _BLANK_LINE = re.compile(r"(?:\r\n|\r|\n)(?:[^\S\r\n]*(?:\r\n|\r|\n))+")
 _MARK = r"(?:\s?\[\d{1,4}(?:\s?[,;–-]\s?\d{1,4})*\])"
-_CLOSER = r"(?:[”’')\]}」』）】》〉›»]|\"(?![^\W\d_])|“(?=[\s,;:.!?…)\]]|$)|[   ]{1,2}[»›])"
+_CLOSER = r"(?:[”’')\]}」』）】》〉›»]|\"(?![^\W\d_])|“(?=[\s,;:.!?…)\]]|$)|[   ]{1,2}[»›])"
 _PLACE = re.compile(rf"([.!?…‥{CASELESS_STOPS}]+)({_CLOSER}*)({_MARK}*)({_CLOSER}*)|(?<=[ก-๛])[^\S\r\n]+(?=[ก-๛])")
-_BEFORE = re.compile(r"(\S*)$")
-_WORD = re.compile(r"[^\W_]+[^\s.]*", re.UNICODE)
+_QUOTE = re.compile("[\"“”„«»「」『』‹›《》‚‘]")
+_BRACKET = re.compile(r"[()（）\[\]]")
+_CLOSE_SCRIPTS = r"\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+_OPENER = re.compile(rf"[^\W\d_{_CLOSE_SCRIPTS}][^\s!-/:-@\[-`{{-~“”„«»।॥…،؛؟\u3001-\u3011\uff00-\uff65{_CLOSE_SCRIPTS}]*")
+
+
+@dataclass
+class Lexicon:
+    """What the corpus says: log odds by word, and (log of the usual length, mean deviation) by script."""
+
+    opens: dict[str, float] = field(default_factory=dict)
+    closes: dict[str, float] = field(default_factory=dict)
+    labels: dict[str, float] = field(default_factory=dict)
+    lengths: dict[str, tuple[float, float]] = field(default_factory=lambda: dict(LENGTHS))
+
+
+NOTHING = Lexicon()
 
 
 def _cased(c: str) -> bool:
     return c.lower() != c.upper()
 
 
-def quotations(text: str, cut_off: bool = False) -> list[tuple[int, int]]:
-    """(opening, closing) places of the quotations; unclosed ones reach the end if that is near or the text is cut off there."""
+def script(text: str) -> str:
+    """The kind of script of the first letter."""
+    for c in text:
+        if c.isalpha():
+            if "\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff":
+                return "han"
+            return "thai" if "\u0e00" <= c <= "\u0e7f" else "cased" if _cased(c) else "other"
+    return "cased"
+
+
+def quotations(text: str) -> tuple[list[tuple[int, int]], list[int]]:
+    """(opening, closing) places of the quotations, and the openings that nothing closes."""
     found: list[tuple[int, int]] = []
     stack: list[tuple[str, int]] = []
     straight: int | None = None
@@ -82,211 +119,257 @@ def quotations(text: str, cut_off: bool = False) -> list[tuple[int, int]]:
             found.append((stack.pop()[1], i))
         elif QUOTE_PAIRS.get(c):
             stack.append((c, i))
-    rest = [i for _, i in stack] + ([straight] if straight is not None else [])
-    found += [(i, len(text)) for i in rest if cut_off or len(text) - i <= 160]
     found.sort()
-    return found
-
-
-_QUOTE = re.compile("[\"“”„«»「」『』‹›《》‚‘]")
-
-
-def _full_stop(text: str, start: int, end: int, block: int) -> float:
-    """How well a sentence may end with the full stop at ``start``; it goes on at ``end``."""
-    gap = end
-    while gap < len(text) and text[gap].isspace():
-        gap += 1
-    first = text[gap]
-    at = start
-    while at > block and not text[at - 1].isspace():
-        at -= 1
-    for i in range(start - 1, at - 1, -1):  # a stop before it that no white space follows
-        if text[i] in CASELESS_STOPS or text[i] in "!?…":
-            at = i + 1
-            break
-    token = text[at:start].lstrip(OPENING_MARKS)
-    closed = end > start + 1
-    if gap == end:  # nothing between the stop and what follows
-        if first in ".,;:!?…)]}-–—/'’" or first.isdigit() and token[-1:].isdigit():
-            return NEVER_SCORE
+    return found, sorted([i for _, i in stack] + ([straight] if straight is not None else []))
+
+
+def _word_before(text: str, at: int, block: int) -> str:
+    """The word that ends before ``at``, white space between them aside."""
+    b = at
+    while b > block and text[b - 1].isspace():
+        b -= 1
+    a = b
+    while a > block and not text[a - 1].isspace():
+        a -= 1
+    return text[a:b]
+
+
+class _Block:
+    """A stretch of text without blank lines, and where its brackets open."""
+
+    def __init__(self, text: str, start: int, end: int, lexicon: Lexicon):
+        self.text, self.start, self.end, self.lexicon = text, start, end, lexicon
+        self._brackets: dict[int, int] | None = None
+
+    def own_bracket(self, end: int) -> bool:
+        """Whether the bracket that closes last before ``end`` holds a sentence of its own."""
+        text = self.text
+        if self._brackets is None:
+            self._brackets, stack = {}, []
+            for m in _BRACKET.finditer(text, self.start, self.end):
+                if m[0] in "(（[":
+                    stack.append(m.start())
+                elif stack:
+                    self._brackets[m.start()] = stack.pop()
+        i = end - 1
+        while i > self.start and text[i] not in ")）]":
+            i -= 1
+        at = self._brackets.get(i)
+        if at is None:
+            return False
+        while at > self.start and text[at - 1].isspace():
+            at -= 1
+        return at == self.start or text[at - 1] in ".!?…\"”»)]" + CASELESS_STOPS
+
+    def opening(self, at: int) -> float:
+        """How well what stands at ``at`` opens a sentence."""
+        c = self.text[at]
+        if c.isalpha():
+            m = _OPENER.match(self.text, at)
+            learned = self.lexicon.opens.get(m[0], 0.0) if m else 0.0
+            return (SMALL if c.islower() else CAPITAL) + learned
+        if c == "(" and not self.text[at + 1 : at + 2].isupper():
+            return BRACKET
+        return CAPITAL if c.isdigit() or c in OPENING_MARKS or not c.isascii() else SMALL
+
+    def label(self, at: int) -> float:
+        """Whether the word before the single letter at ``at`` says that it is a label or, being a number, a unit."""
+        word = _word_before(self.text, at, self.start).strip("\"“(«„").lower()
+        if word[-1:].isdigit() and word.replace(".", "").replace(",", "").isdigit():
+            return WORD
+        return self.lexicon.labels.get(word, WORD if word in LABELLED else ABBREVIATION)
+
+    def place(self, m: re.Match) -> tuple[float, float] | None:
+        """(closing, opening) scores of a cut after ``m``, or None where no unit can end."""
+        text = self.text
+        if m[1] is None:  # a space in Thai
+            return SURE, 0.0
+        end, stops = m.end(), m[1]
+        gap = end
+        while text[gap].isspace():
+            gap += 1
+        first = text[gap]
+        closers = m[2] + m[4]
+        quoted = any(c in "\"”’'」』›»“" for c in closers)
+        if any(c in CASELESS_STOPS for c in stops):
+            if stops == "．" and first.isdigit() or first in "，、；：,;:)）」』”" or quoted and gap == end and first in PARTICLES:
+                return None
+            return WORD_OR_QUOTE if quoted else SURE, self.opening(gap)
+        if "…" in stops or "‥" in stops or ".." in stops:
+            return None if first.islower() or first in ",;:)）」』”" else (WORD - 1, self.opening(gap))
+        if "!" in stops or "?" in stops:
+            if first in ",;:–—、，" or quoted and gap == end and first in PARTICLES:
+                return None
+            split = quoted or closers and not self.own_bracket(end)
+            return WORD_OR_QUOTE if split else WORD, self.opening(gap)
+        return self._full_stop(m.start(), end, gap)
+
+    def _full_stop(self, at_stop: int, end: int, gap: int) -> tuple[float, float] | None:
+        text, first = self.text, self.text[gap]
+        joined = gap == end  # nothing between the stop and what follows
+        if first in ",;:)]}–—" or joined and (first in ".!?…-/'’" or first.isdigit() and text[at_stop - 1 : at_stop].isdigit()):
+            return None
+        closed = end > at_stop + 1
         if closed:
-            return LIKELY if first.isupper() or not _cased(first) else NO
-        if first.isupper():
-            if len(token) == 1:
-                return LIKELY if _labelled(text, at) and text[gap + 1 : gap + 2].islower() else NEVER_SCORE
+            inner = text[at_stop + 1 : end]
+            own = not joined and ("[" in inner or any(c in inner for c in ")）]") and self.own_bracket(end))
+            return WORD if own else WORD_OR_QUOTE, self.opening(gap)
+        if joined and first.islower():
+            return None
+        at = at_stop
+        while at > self.start and not text[at - 1].isspace() and text[at - 1] not in "!?…" and text[at - 1] not in CASELESS_STOPS:
+            at -= 1
+        token = text[at:at_stop].lstrip(OPENING_MARKS)
+        word = token.lower()
+        if joined:
             after = text[gap + 1 : gap + 2]
-            starts = after.islower() or after.isspace() or after.isupper() and len(token) > 2 and token[-1].islower()
-            return LIKELY if starts and "." not in token and token.lower() not in NEVER else NEVER_SCORE
-        if first.islower():
-            return NEVER_SCORE
-        return WEAK if len(token) > 1 and "." not in token else NO
-    if first in ",;:)]}–—":
-        return NEVER_SCORE
-    if closed:
-        if first.islower():
-            inner = text[start + 1 : end].strip()
-            if any(c in inner for c in ")）]"):
-                return WEAK if _own_bracket(text, end, block) or "[" in inner else NO
-            return NO
-        return LIKELY
-    if token[-1:] in ")]}»”\"’）":  # a bracket or quotation that ended before the stop
-        return LIKELY
-    word = token.lower()
-    opens = first.isupper() or first.isdigit() or first in OPENING_MARKS or not _cased(first)
-    if len(token) == 1 and token.isalpha():
-        if token.isupper():
-            return LIKELY if _labelled(text, at) else NEVER_SCORE
-        if word in EITHER:
-            return WEAK if opens and _opens_bracket(text, gap, word) else NEVER_SCORE
-        return NEVER_SCORE if word in NEVER or word in SINGLE or first.islower() or not _cased(word) else WEAK
+            if len(token) == 1:
+                return (self.label(at), self.opening(gap)) if first.isupper() and after.islower() else None
+            if "." in token or word in NEVER:
+                return None
+            if first.isupper():
+                starts = after.islower() or after.isspace() or after.isupper() and len(token) > 2 and token[-1].islower()
+                return (WORD, self.opening(gap)) if starts else None
+            return MAYBE, self.opening(gap)
+        if token[-1:] in ")]}»”\"’）":  # a bracket or quotation that ended before the stop
+            return WORD, self.opening(gap)
+        opens = self.opening(gap)
+        if len(token) == 1 and token.isalpha():
+            if token.isupper():
+                return self.label(at), opens
+            if not _cased(word) or word not in EITHER and (word in NEVER or word in SINGLE):
+                return ABBREVIATION, opens
+            return MAYBE, opens
+        if word == "al" and first == "(":
+            return ABBREVIATION, opens
+        if word in BEFORE_NUMBER and (first.isdigit() or first in "IVX"):
+            return ABBREVIATION, opens
+        if word in MONTHS and _word_before(text, at, self.start)[-1:].isdigit():
+            return ABBREVIATION, opens
+        if token.isdigit():
+            counted = len(token) <= 2 and (m := _OPENER.match(text, gap)) and m[0].lower() in MONTHS
+            if at == self.start or counted or len(token) <= 3 and _word_before(text, at, self.start).lower() in BEFORE_ORDINAL:
+                return ABBREVIATION, opens
+            return WORD, opens
+        return self.lexicon.closes.get(word, prior(word)[0]), opens
+
+
+def prior(word: str) -> tuple[float, float]:
+    """(log odds, strength in occurrences) that a full stop after ``word`` ends a unit."""
     if word in EITHER:
-        return WEAK if opens and _opens_bracket(text, gap, word) else NEVER_SCORE
+        return MAYBE, 20.0
     if word in NEVER:
-        return NEVER_SCORE
-    if word in MONTHS and (m := _BEFORE.search(text[max(block, at - 12) : at].rstrip())) and m[1].isdigit():
-        return NEVER_SCORE
-    if word in BEFORE_NUMBER and (first.isdigit() or first in "IVX"):
-        return NEVER_SCORE
-    if "." in token and any(c.isalpha() for c in token) and not any(c.isdigit() for c in token):
-        return NO
-    if token.isdigit():
-        if at == block or not text[block:at].strip():
-            return NEVER_SCORE
-        if len(token) <= 2 and (m := _WORD.match(text, gap)) and m[0].lower() in MONTHS:
-            return NEVER_SCORE
-        if len(token) <= 3 and (m := _BEFORE.search(text[max(block, at - 16) : at].rstrip())) and m[1].lower() in BEFORE_ORDINAL:
-            return NEVER_SCORE
-        return LIKELY if opens else WEAK
-    return LIKELY if opens else WEAK + 1
-
-
-def _opens_bracket(text: str, gap: int, word: str) -> bool:
-    """Whether what follows an abbreviation is no bracket, or one with a sentence of its own."""
-    return text[gap] != "(" or word != "al" and text[gap + 1 : gap + 2].isupper()
-
-
-def _labelled(text: str, at: int) -> bool:
-    """Whether the word before the letter at ``at`` says that the letter is a label or, being a number, a unit."""
-    m = _BEFORE.search(text[max(0, at - 40) : at].rstrip())
-    word = m[1].strip("\"“(«„").lower() if m else ""
-    return word in LABELLED or word[-1:].isdigit() and word.replace(".", "").replace(",", "").isdigit()
-
-
-def _own_bracket(text: str, end: int, block: int) -> bool:
-    """Whether the bracket that closes before ``end`` holds a sentence of its own."""
-    depth = 0
-    for i in range(end - 1, max(block, end - 400) - 1, -1):
-        if text[i] in ")）]":
-            depth += 1
-        elif text[i] in "(（[":
-            depth -= 1
-            if depth == 0:
-                before = text[block:i].rstrip()
-                return not before or before[-1] in ".!?…\"”»)]" + CASELESS_STOPS
-    return False
-
-
-def closing(text: str, m: re.Match, block: int, last: int) -> float:
-    """The score of ending a unit after the place ``m`` of ``text[block:last]``."""
-    if m[1] is None:  # a space in Thai
-        return SURE
-    end, stops = m.end(), m[1]
-    gap = end
-    while gap < last and text[gap].isspace():
-        gap += 1
-    if gap >= last:
-        return SURE
-    first = text[gap]
-    quoted = any(c in "\"”’'」』›»“" for c in m[2] + m[4])
-    if stops[-1] in CASELESS_STOPS or any(c in CASELESS_STOPS for c in stops):
-        if stops == "．" and first.isdigit():
-            return NEVER_SCORE
-        if first in "，、；：,;:)）」』”":
-            return NEVER_SCORE
-        if quoted and gap == end and first in PARTICLES:
-            return NEVER_SCORE
-        return SURE
-    if "…" in stops or "‥" in stops or ".." in stops:
-        if first.islower():
-            return NEVER_SCORE
-        if first in ",;:)）」』”":
-            return NEVER_SCORE
-        return LIKELY
-    if "!" in stops or "?" in stops:
-        if first in ",;:–—、，":
-            return NEVER_SCORE
-        if quoted and first.islower():
-            return NO
-        if quoted and gap == end and first in PARTICLES:
-            return NEVER_SCORE
-        if (m[2] or m[4]) and first.islower():
-            return WEAK if _own_bracket(text, end, block) else NO
-        return LIKELY
-    return _full_stop(text, m.start(), end, block)
-
-
-def _length(n: int) -> float:
-    """Log odds of a unit's length, mildest near a hundred characters."""
-    return -LENGTH_WEIGHT * abs(math.log(max(n, 1) / 100.0))
-
-
-def _cut_off(text: str, start: int, end: int) -> bool:
-    """Whether ``text[start:end]`` is the last of the text and ends in the middle of a sentence."""
-    return not text[end:].strip() and not any(m.end() == end for m in _PLACE.finditer(text, start, end))
-
-
-def split_block(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """The units of ``text[start:end]``, a stretch without blank lines and without white space at its ends."""
-    places = [(m.end(), s, m) for m in _PLACE.finditer(text, start, end) if (s := closing(text, m, start, end)) > NEVER_SCORE and m.end() < end]
-    if not places:
+        return ABBREVIATION, 50.0
+    if "." in word and any(c.isalpha() for c in word) and not any(c.isdigit() for c in word):
+        return DOTTED, 20.0
+    return WORD, 25.0
+
+
+def best_chain(
+    at: list[int], close: list[float], opens: list[float], inside: list[bool], alone: dict[int, int], usual: float, slope: float, open_end: bool
+) -> tuple[float, list[int]]:
+    """(score, cuts) of the best chain of spans over the places ``at``, first and last included.
+
+    A span from i to j scores opens[i] + close[j], less ``slope`` for each unit of log length
+    away from ``usual``, UNBALANCED if either end lies inside a quotation and CARRIED if
+    ``alone[j]`` is i; a last span that the text's end cuts off (``open_end``) isn't held to be
+    short. Beyond the usual length a start loses for good against a later one with a better sum,
+    and against an earlier one that is as good now, as the lengths grow alike: such starts are
+    left out, and nothing else is. A start that CARRIED still waits for defeats no other.
+    """
+    n = len(at)
+    reach = math.exp(usual)
+    total, back = [0.0] * n, [0] * n
+    worth = [0.0] * n  # of the best chain to a place and the opening there
+    near: list[int] = [0]
+    far: tuple[list[int], list[int]] = ([], [])
+    log = math.log
+    worth[0] = opens[0]
+    until = {i: j for j, i in alone.items()}
+    for j in range(1, n):
+        here = at[j]
+        k = 0
+        while k < len(near) and here - at[near[k]] >= reach:
+            i = near[k]
+            k += 1
+            held = far[inside[i]]
+            while held and worth[held[-1]] <= worth[i] and until.get(i, 0) < j:
+                held.pop()
+            held.append(i)
+        if k:
+            del near[:k]
+        best, by = -math.inf, 0
+        marked = alone.get(j, -1)
+        for i in near:
+            s = worth[i]
+            if not (open_end and j == n - 1):
+                s -= slope * abs(log(here - at[i]) - usual)
+            if inside[i] or inside[j]:
+                s += UNBALANCED
+            if i == marked:
+                s += CARRIED
+            if s > best:
+                best, by = s, i
+        for held in far:
+            top, kept = -math.inf, 0
+            for i in held:
+                s = worth[i] - slope * (log(here - at[i]) - usual)
+                if s > top:
+                    if until.get(i, 0) < j:
+                        top = s
+                    held[kept] = i
+                    kept += 1
+                    if inside[i] or inside[j]:
+                        s += UNBALANCED
+                    if i == marked:
+                        s += CARRIED
+                    if s > best:
+                        best, by = s, i
+            del held[kept:]
+        total[j], back[j] = best + close[j], by
+        worth[j] = total[j] + opens[j]
+        near.append(j)
+    cuts, j = [], n - 1
+    while j:
+        j = back[j]
+        if j:
+            cuts.append(j)
+    cuts.reverse()
+    return total[n - 1], cuts
+
+
+def split_block(text: str, start: int, end: int, lexicon: Lexicon = NOTHING, last: bool = False) -> list[tuple[int, int]]:
+    """The units of ``text[start:end]``, a stretch without blank lines and without white space at its ends; ``last``: nothing follows it."""
+    block = _Block(text, start, end, lexicon)
+    matches, close, opens = [], [0.0], [0.0]
+    final = -1
+    for m in _PLACE.finditer(text, start, end):
+        final = m.end()
+        if final < end and (scores := block.place(m)):
+            matches.append(m)
+            close.append(scores[0])
+            opens.append(scores[1])
+    if not matches:
         return [(start, end)]
-    part = text[start:end]
-    quotes = quotations(part, _cut_off(text, start, end)) if _QUOTE.search(part) else []
-    bounds = [start, *(p for p, _, _ in places), end]
-    close = [0.0, *(s for _, s, _ in places), 0.0]
-    n = len(bounds)
-    if quotes:
-        opens = [start + a for a, _ in quotes]
-        ends = sorted(start + b for _, b in quotes)
-        depth = [bisect_left(opens, b) - bisect_left(ends, b) for b in bounds]
-        depth[-1] = 0
-        closes_at = {start + b: start + a for a, b in quotes}
-        fresh = {start, *(p for p, s, _ in places if s >= LIKELY)}
-        for k, (p, _, m) in enumerate(places, 1):
-            closed = next((i for i in range(p - 1, m.start() - 1, -1) if i in closes_at), None)
-            if closed is None:
-                continue
-            if _goes_on(text, p, closes_at[closed], closed, fresh):
-                close[k] += CARRIED
-            elif close[k] == NO and text[start : closes_at[closed]].rstrip()[-1:] in (":", ",", "，", "："):
-                close[k] = LIKELY  # the quotation ends the sentence that brought it
-    else:
-        depth = [0] * n
-    if not quotes and all(s >= LIKELY or s <= NO for s in close[1:-1]):
-        cuts = [k for k in range(1, n - 1) if close[k] >= LIKELY]  # every cut decides for itself
-    else:
-        best = [0.0] + [-math.inf] * (n - 1)
-        back = [0] * n
-        outside: deque[int] = deque([0], SPAN)  # the last places before j that lie in no quotation
-        for j in range(1, n):
-            near = max(0, j - SPAN)
-            far = [] if depth[j] else [i for i in outside if i < near]  # a quotation does not count towards the span around it
-            for i in (*far, *range(near, j)):
-                s = best[i] + close[j] + _length(bounds[j] - bounds[i])
-                if depth[i] != depth[j] or depth[j]:
-                    s += UNBALANCED
-                if s > best[j]:
-                    best[j], back[j] = s, i
-            if not depth[j]:
-                outside.append(j)
-        cuts, j = [], n - 1
-        while j:
-            j = back[j]
-            if j:
-                cuts.append(j)
-        cuts.reverse()
+    bounds = [start, *(m.end() for m in matches), end]
+    close.append(0.0)
+    opens.append(0.0)
+    cut_off = last and final != end
+    usual, deviation = lexicon.lengths[script(text[start:end])]
+    slope = LENGTH_WEIGHT / deviation
+    quotes, unclosed = quotations(text[start:end]) if _QUOTE.search(text, start, end) else ([], [])
+    quotes = [(start + a, start + b) for a, b in quotes]
+    choices = [quotes] if not unclosed else [quotes + [(start + a, end) for a in unclosed]]
+    if unclosed and not cut_off:
+        choices.append(quotes)
+    best = None
+    for k, own in enumerate(choices):
+        score, cuts = best_chain(bounds, *_balanced(block, bounds, matches, close, opens, own), usual, slope, cut_off)
+        score += STRAY * k * len(unclosed)
+        if best is None or score > best[0]:
+            best = score, cuts
     out, at = [], start
-    for p in [*(bounds[k] for k in cuts), end]:
+    for p in [*(bounds[k] for k in best[1]), end]:
         a, b = at, p
         while a < b and text[a].isspace():
             a += 1
@@ -298,14 +381,37 @@ def split_block(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return out
 
 
-def _goes_on(text: str, end: int, i: int, closed: int, fresh: set[int]) -> bool:
-    """Whether a quotation from ``i`` to ``closed`` began a unit, so that its sentence may go on
-    (he asked): in scripts without case always, in others if a small letter follows."""
-    before = i
-    while before > 0 and text[before - 1].isspace() and before not in fresh:
-        before -= 1
-    if before not in fresh:
-        return False
+def _balanced(block: _Block, bounds: list[int], matches: list, close: list[float], opens: list[float], quotes: list[tuple[int, int]]) -> tuple:
+    """(close, opens, inside, alone): the scores; which places lie inside a quotation; by the place
+    after a quotation whose sentence seems to go on, the place before it."""
+    if not quotes:
+        return close, opens, [False] * len(bounds), {}
+    text, start = block.text, block.start
+    close, alone = list(close), {}
+    starts, ends = sorted(a for a, _ in quotes), sorted(b for _, b in quotes)
+    inside = [bisect_left(starts, b) > bisect_left(ends, b) for b in bounds]
+    inside[0] = inside[-1] = False
+    closes_at = {b: a for a, b in quotes}
+    place_at = {b: k for k, b in enumerate(bounds)}
+    for k, m in enumerate(matches, 1):
+        p = m.end()
+        closed = next((i for i in range(p - 1, m.start() - 1, -1) if i in closes_at), None)
+        if closed is None:
+            continue
+        before = opened = closes_at[closed]
+        while before > start and text[before - 1].isspace() and before not in place_at:
+            before -= 1
+        if before in place_at:
+            if _goes_on(text, p, opened, closed):
+                alone[k] = place_at[before]
+        elif close[k] == WORD_OR_QUOTE and _word_before(text, opened, start)[-1:] in (":", ",", "，", "："):
+            close[k] = WORD  # the quotation ends the sentence that brought it
+    return close, opens, inside, alone
+
+
+def _goes_on(text: str, end: int, i: int, closed: int) -> bool:
+    """Whether the sentence of a quotation from ``i`` to ``closed`` seems to go on (he asked): in
+    scripts without case always, in others if a small letter follows."""
     inside = text[i : closed + 1]
     if any(_cased(c) for c in inside) and not any("\u0590" < c < "\ufb00" and c.isalpha() and not _cased(c) for c in inside):
         while end < len(text) and text[end].isspace():
@@ -314,11 +420,8 @@ def _goes_on(text: str, end: int, i: int, closed: int, fresh: set[int]) -> bool:
     return True
 
 
-def units(text: str | None) -> list[tuple[int, int]]:
-    """(start, end) of the sentence units of a text; together they cover all but white space."""
-    out: list[tuple[int, int]] = []
-    if not text:
-        return out
+def blocks(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the stretches between blank lines, without white space at their ends."""
     at = 0
     for m in [*_BLANK_LINE.finditer(text), None]:
         a, b = at, len(text) if m is None else m.start()
@@ -328,30 +431,203 @@ def units(text: str | None) -> list[tuple[int, int]]:
         while b > a and text[b - 1].isspace():
             b -= 1
         if b > a:
-            out.extend(split_block(text, a, b))
-    return out
+            yield a, b
 
 
-def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
+def units(text: str | None, lexicon: Lexicon = NOTHING) -> list[tuple[int, int]]:
+    """(start, end) of the sentence units of a text; together they cover all but white space."""
+    if not text:
+        return []
+    own = list(blocks(text))
+    return [u for k, (a, b) in enumerate(own, 1) for u in split_block(text, a, b, lexicon, k == len(own))]
+
+
+# What the corpus says
+
+_START = re.compile(rf"(?:\A|\n[^\S\n]*\n|[!?؟।])\s*({_OPENER.pattern})")
+_MIDDLE = re.compile(rf"(?<=[^\s.!?…।؟:;\"“„«»()\[\]][ \n]){_OPENER.pattern}")
+_PAIR = re.compile(rf"(\S+)\.\s+(?=({_OPENER.pattern}))")
+_LABEL = re.compile(rf"(?<!\S)[(“„«\"]?({_OPENER.pattern})[ \n](?=[A-ZА-Я](\.|[\s,;:)]))")
+_SURE = re.compile(rf"[!?{CASELESS_STOPS}]+\s*|(?<=\w\w\w\w)\.\s+(?=[^\W\d_a-z])|\n\s*\n|(?<=[ก-๛])[^\S\r\n]+(?=[ก-๛])")
+START, MIDDLE, PAIR, LABEL, LENGTH = range(5)
+COUNTS = "kind int, a string, b string, n long"
+#: Occurrences that the habit of a word's letter case counts as; the most that a word's opening is moved; less is not kept; steps of a log length.
+HABIT, MOST, LEAST, STEPS = 10.0, 2.0, 0.25, 10
+#: A word whose stops end so often is no abbreviation: what goes on in small letters is carelessness.
+ORDINARY = 0.9
+#: So many words are sent to every task; with more, each text meets its own by a join.
+BROADCAST_WORDS = 200_000
+
+
+def count(texts: list[str | None]) -> Counter:
+    """(kind, a, b) of what ``learn`` needs, counted."""
+    found: Counter = Counter()
+    for text in texts:
+        if not text:
+            continue
+        found.update((START, w, "") for w in _START.findall(text))
+        found.update((MIDDLE, w, "") for w in _MIDDLE.findall(text))
+        found.update((PAIR, w.lstrip(OPENING_MARKS).lower(), v) for w, v in _PAIR.findall(text))
+        found.update((LABEL, w.lower(), "." if stop == "." else "") for w, stop in _LABEL.findall(text))
+        for part in _SURE.split(text):
+            if part and (part := part.strip()):
+                found[LENGTH, script(part), str(int(math.log(len(part)) * STEPS))] += 1
+    return found
+
+
+def _posterior(words: pd.Series, counts: pd.DataFrame) -> pd.Series:
+    """Log odds that a stop after each word ends, by EM: an occurrence ends as likely as the word's stops do and what follows opens. Null if they stay near the prior's."""
+    out = []
+    for word, row in zip(words, counts.itertuples(index=False)):
+        odds, strength = prior(word)
+        share = 1 / (1 + math.exp(-odds))
+        kept, total = share * strength, strength + sum(row)
+        for _ in range(30):
+            odds = math.log(share / (1 - share))
+            share = (kept + sum(n / (1 + math.exp(-odds - x)) for x, n in zip(_OPENING_BINS, row) if n)) / total
+            share = min(max(share, 1e-4), 1 - 1e-4)
+        odds, before = math.log(share / (1 - share)), prior(word)[0]
+        out.append(odds if abs(odds - before) > LEAST and (before != WORD or share < ORDINARY) else None)
+    return pd.Series(out, dtype="float64")
+
+
+_OPENING_BINS = list(range(-6, 3))
+WORDS = "kind int, word string, x double"
+
+
+def learn(docs: DataFrame, text: str) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+    """((kind, word, x), lengths): the log odds of the words that the corpus moves, over all texts.
+
+    ``kind`` is START (opens), PAIR (closes) or LABEL. Counting is combined in each task before
+    anything is shuffled; of every word only nine numbers meet. The lengths have a few rows.
+    """
+
+    def run(batches):
+        for batch in batches:
+            found = count(batch.column(0).to_pylist())
+            kinds, a, b = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(kinds, pa.int32()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(list(found.values()), pa.int64())], ["kind", "a", "b", "n"]
+            )
+
+    counts = spread(docs.select(text).where(F.col(text).isNotNull())).mapInArrow(run, COUNTS)
+    counts = stage(counts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")), "counts")
+
+    def of(kind: int) -> DataFrame:
+        return counts.where(F.col("kind") == kind)
+
+    def case(c: str) -> Column:
+        first = F.substring(c, 1, 1)
+        return F.when(F.lower(first) != first, "upper").when(F.upper(first) != first, "lower").otherwise("other")
+
+    words = counts.where(F.col("kind").isin(START, MIDDLE, PAIR)).groupBy(F.when(F.col("kind") == PAIR, F.col("b")).otherwise(F.col("a")).alias("a"))
+    words = words.agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(x) for k, x in ((START, "s"), (MIDDLE, "m"), (PAIR, "p"))])
+    words = words.withColumn("case", case("a"))
+    habits = words.groupBy("case").agg(((F.sum("s") + 1) / (F.sum("m") + 1)).alias("r"))  # three rows
+    moved = F.log((F.col("s") + HABIT * F.col("r")) / (F.col("m") + HABIT) / F.col("r"))
+    opens = words.where("s + p > 0").join(F.broadcast(habits), "case").select("a", F.greatest(F.lit(-MOST), F.least(F.lit(MOST), moved)).alias("x"))
+    base = F.when(case("b") == "lower", SMALL).otherwise(0.0)  # a capital says nothing by itself: names follow abbreviations
+    pairs = of(PAIR).select(F.col("a").alias("word"), F.col("b").alias("a"), "n", base.alias("base"))
+    bins = F.round(F.col("base") + F.coalesce("x", F.lit(0.0))).cast("int")
+    pairs = pairs.join(opens, "a", "left").select("word", "n", F.greatest(F.lit(_OPENING_BINS[0]), F.least(F.lit(_OPENING_BINS[-1]), bins)).alias("bin"))
+    per = pairs.groupBy("word").agg(*[F.sum(F.when(F.col("bin") == k, F.col("n")).otherwise(0)).alias(f"n{i}") for i, k in enumerate(_OPENING_BINS)])
+    solve = F.pandas_udf(_posterior, "double")
+    closes = per.select("word", solve("word", F.struct(*[c for c in per.columns if c != "word"])).alias("x")).where("x is not null")
+    known = F.lower(F.col("a")).isin(sorted(LABELLED))
+    labels = of(LABEL).groupBy("a").agg(F.sum(F.when(F.col("b") == "", F.col("n")).otherwise(0)).alias("bare"), F.sum(F.when(F.col("b") == ".", F.col("n")).otherwise(0)).alias("stop"))
+    odds = F.log((F.col("bare") + F.when(known, 10.0).otherwise(0.1)) / (F.col("stop") * 0.1 + F.when(known, 0.1).otherwise(1.0))) * 2
+    labels = labels.select(F.col("a").alias("word"), F.greatest(F.lit(ABBREVIATION), F.least(F.lit(WORD), odds)).alias("x"), F.when(known, WORD).otherwise(ABBREVIATION).alias("usual"))
+    labels = labels.where(F.abs(F.col("x") - F.col("usual")) > LEAST)
+    out = None
+    for kind, part in ((START, opens.select(F.col("a").alias("word"), "x").where(f"abs(x) > {LEAST}")), (PAIR, closes), (LABEL, labels)):
+        part = part.select(F.lit(kind).alias("kind"), "word", F.col("x").cast("double"))
+        out = part if out is None else out.unionByName(part)
+    lengths = dict(LENGTHS)
+    step = F.col("b").cast("double")
+    sums = of(LENGTH).groupBy("a").agg((F.sum(step * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
+    spreads = of(LENGTH).join(F.broadcast(sums.select("a", "mean")), "a").groupBy("a").agg(F.first("mean").alias("mean"), F.sum("n").alias("n"), F.sum(F.abs(step - F.col("mean")) * F.col("n")).alias("d"))
+    for r in spreads.collect():  # a row a script
+        usual, deviation = LENGTHS[r["a"]]
+        k = 100.0  # units that the prior counts as
+        lengths[r["a"]] = ((r["mean"] + 0.5) / STEPS * r["n"] + usual * k) / (r["n"] + k), max(0.2, (r["d"] / STEPS + deviation * k) / (r["n"] + k))
+    return stage(out, "lexicon"), lengths
+
+
+def lexicon_of(rows: list, lengths: dict[str, tuple[float, float]]) -> Lexicon:
+    parts: dict[int, dict[str, float]] = {START: {}, PAIR: {}, LABEL: {}}
+    for kind, word, x in rows:
+        parts[kind][word] = x
+    return Lexicon(parts[START], parts[PAIR], parts[LABEL], lengths)
+
+
+class _Asked(dict):
+    """A dictionary that only notes what it is asked for."""
+
+    def get(self, key, default=None):
+        self[key] = True
+        return default
+
+
+def asked(text: str) -> list[tuple[int, str]]:
+    """(kind, word): what the units of ``text`` depend on."""
+    notes = Lexicon(_Asked(), _Asked(), _Asked())
+    units(text, notes)
+    return [(k, w) for k, part in ((START, notes.opens), (PAIR, notes.closes), (LABEL, notes.labels)) for w in part]
+
+
+def sentences(df: DataFrame, key: str, text: str, *, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """(key, start_pos, end_pos): the units of every text, offsets in code points, end exclusive.
 
     Null, empty and blank texts give no row; repeated rows give their units each; a null key
-    stays null. Other columns are not read.
+    stays null. Other columns are not read. The weights of words are learned from all texts of
+    ``df`` first. Up to ``broadcast_words`` of them are sent to every task; with more, every
+    distinct text meets its own words by a join, with the same result.
     """
-    rows = spread(df.select(key, text))
+    words, lengths = learn(df, text)
+    rows = df.select(F.col(key), F.col(text))
     schema = T.StructType([rows.schema[key], T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType())])
+    few = bounded_rows(words, broadcast_words)
+    if few is not None:
+        whole = df.sparkSession.sparkContext.broadcast([tuple(r) for r in few])
+    else:
+        whole = None
+        rows = _with_words(rows, key, text, words)
 
     def run(batches):
+        held = lexicon_of(whole.value, lengths) if whole is not None else None
         for batch in batches:
             at: list[int] = []
             found: list[tuple[int, int]] = []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                own = units(t)
-                found.extend(own)
-                at.extend([i] * len(own))
+            texts = batch.column(1).to_pylist()
+            own = [None] * len(texts) if held else batch.column(2).to_pylist()
+            for i, (t, ws) in enumerate(zip(texts, own)):
+                got = units(t, held or lexicon_of([tuple(w.values()) for w in ws or ()], lengths))
+                found.extend(got)
+                at.extend([i] * len(got))
             starts, ends = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], [key, "start_pos", "end_pos"]
             )
 
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)
+
+
+def _with_words(rows: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
+    """``rows`` with the weights of each text's own words."""
+    from pairloom.operators.joins import join_heavy
+
+    keyed = rows.where(F.col(text) != "").select(F.col(key), F.col(text), F.sha2(text, 256).alias("_text"))
+
+    def run(batches):
+        for batch in batches:
+            notes = [asked(t) for t in batch.column(1).to_pylist()]
+            at = pa.array([i for i, ws in enumerate(notes) for _ in ws], pa.int64())
+            kinds, names = [k for ws in notes for k, _ in ws], [w for ws in notes for _, w in ws]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(kinds, pa.int32()), pa.array(names, pa.string())], ["_text", "kind", "word"])
+
+    texts = keyed.groupBy("_text").agg(F.first(text).alias("t"))
+    wanted = stage(texts.mapInArrow(run, "_text string, kind int, word string"), "asked")
+    uses = wanted.groupBy("kind", "word").agg(F.count("*").alias("n"))
+    met = join_heavy(wanted, words.join(uses, ["kind", "word"]), ["kind", "word"], wanted.count())
+    own = met.groupBy("_text").agg(F.collect_list(F.struct("kind", "word", "x")).alias("_words"))  # a text's own words
+    return keyed.join(own, "_text", "left").select(F.col(key), F.col(text), "_words")

@@ -1,15 +1,15 @@
-"""Quotations of more sentences than a span has places, closed and cut off."""
+"""Quotations of many sentences, closed and cut off."""
 
 import pytest
 
-from pairloom.llm.sentences import SPAN, units
+from pairloom.llm.sentences import units
 
 
 def cut(text):
     return [text[a:b] for a, b in units(text)]
 
 
-@pytest.mark.parametrize("n", [3, SPAN - 1, SPAN + 1, 5 * SPAN])
+@pytest.mark.parametrize("n", [3, 63, 65, 320])
 @pytest.mark.parametrize(("left", "right"), ['""', "“”", "«»"])
 def test_a_long_quotation_stays_whole(n, left, right):
     said = "The log reads: " + left + " ".join(f"Chain {k} was rebuilt." for k in range(n)) + right
@@ -17,9 +17,13 @@ def test_a_long_quotation_stays_whole(n, left, right):
 
 
 def test_a_long_quotation_that_is_cut_off():
-    said = "The log reads: “" + " ".join(f"Chain {k} was rebuilt." for k in range(5 * SPAN)) + " Noth"
+    said = "The log reads: “" + " ".join(f"Chain {k} was rebuilt." for k in range(320)) + " Noth"
     assert cut(f"First. {said}") == ["First.", said]
-    assert len(cut(f"{said}ing else.\n\nIt is so. And so")) > 5 * SPAN  # not the last block: an unclosed quotation far from its end counts for nothing
+    assert len(cut(f"{said}ing else.\n\nIt is so. And so")) > 320  # not the last block: a quotation nothing closes over so many sentences is a stray mark
+
+
+def test_a_short_quotation_that_nothing_closes():
+    assert cut("First. The log reads: “It is so. Nothing else.") == ["First.", "The log reads: “It is so. Nothing else."]
 
 
 def test_many_places_in_and_out_of_quotations():
