@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.joins import join_heavy
+from pairloom.operators.ordinals import with_ordinal
 from pairloom.session import bounded_rows, stage
 
 
@@ -53,62 +53,114 @@ def _small(edges: DataFrame, total: int) -> DataFrame:
     return near.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-#: A component with more than 1/LARGE of any label is placed by itself; there are fewer than LARGE of them a label.
-LARGE = 400
-#: Small components of one class are placed by hash bucket.
-BUCKETS = 64
 MAX_LABELS = 40
+#: So many different label vectors are handled by the driver; more are refused.
+MAX_VECTORS = 1_000_000
 
 
-@dataclass
-class _Part:
-    key: tuple
-    weight: list[float]
+def share_out(need: list[list[float]], k: int, vector: Sequence[float], count: int, totals: Sequence[float]) -> list[int]:
+    """How many of ``count`` components of one label vector each split gets; ``need`` (by split and label) is lowered.
 
-
-def stratify(parts: Sequence[_Part], shares: Sequence[tuple[str, float]], labels: int) -> dict[tuple, str]:
-    """Iterative stratification: of the label with least outstanding weight the largest part goes
-    to the split that it overfills least, of these to the one that lacks most of that label, then
-    most over all, then the earlier one. A part's size is its largest share of any label."""
-    totals = [sum(p.weight[k] for p in parts) for k in range(labels)]
+    Each goes to the split that needs most of label ``k``. Splits that need less by no more than this component
+    brings are as good: of these it goes to the one with the greatest share of all labels outstanding, the
+    earlier one of equals. All but a few are placed at once, which sinks the needs to one level.
+    """
+    taken = [0] * len(need)
+    weight, bulk = vector[k], count - 4 * len(need)
+    if bulk > 0:
+        order = sorted(range(len(need)), key=lambda s: -need[s][k])
+        for n in range(len(order), 0, -1):
+            level = (sum(need[s][k] for s in order[:n]) - bulk * weight) / n
+            if n == 1 or need[order[n - 1]][k] > level:
+                for s in order[:n]:
+                    taken[s] = max(0, int((need[s][k] - level) / weight - 1e-9))
+                break
+        for s, x in enumerate(taken):
+            for j, w in enumerate(vector):
+                need[s][j] -= w * x
+    for _ in range(count - sum(taken)):
+        most = max(n[k] for n in need) - weight
+        s = max((s for s in range(len(need)) if need[s][k] >= most), key=lambda s: (sum(x / t for x, t in zip(need[s], totals) if t > 0), -s))
+        taken[s] += 1
+        for j, w in enumerate(vector):
+            need[s][j] -= w
+    return taken
+
+
+def stratify(vectors: Sequence[tuple[float, ...]], counts: Sequence[int], shares: Sequence[tuple[str, float]]) -> list[list[int]]:
+    """Iterative stratification of components with label vectors ``vectors``, ``counts`` of each: how many of them each split gets.
+
+    The label with least outstanding weight is served first, by the largest component that has
+    it: it goes to the split that needs most of that label (see ``share_out``). A component's size is its largest share of any
+    label. Components without labels go to the first split. At last ``settle`` evens out what the
+    order of the labels left uneven.
+    """
+    labels = len(vectors[0]) if vectors else 0
+    totals = [sum(v[k] * c for v, c in zip(vectors, counts)) for k in range(labels)]
     need = [[share * t for t in totals] for _, share in shares]
     left = list(totals)
-    size = {p.key: max(w / t for w, t in zip(p.weight, totals) if t > 0) for p in parts if any(p.weight)}
-    by_label = [sorted((p for p in parts if p.weight[k] > 0), key=lambda p: (-size[p.key], p.key)) for k in range(labels)]
+    size = [max((w / t for w, t in zip(v, totals) if t > 0), default=0.0) for v in vectors]
+    by_label = [sorted((i for i, v in enumerate(vectors) if v[k] > 0), key=lambda i: (-size[i], vectors[i])) for k in range(labels)]
     at = [0] * labels
-    placed: dict[tuple, str] = {}
+    placed: list[list[int] | None] = [None] * len(vectors)
     while True:
-        open_labels = []
+        waiting = []
         for k in range(labels):
-            while at[k] < len(by_label[k]) and by_label[k][at[k]].key in placed:
+            while at[k] < len(by_label[k]) and placed[by_label[k][at[k]]] is not None:
                 at[k] += 1
             if at[k] < len(by_label[k]):
-                open_labels.append(k)
-        if not open_labels:
+                waiting.append(k)
+        if not waiting:
             break
-        k = min(open_labels, key=lambda x: (left[x], x))
-        part = by_label[k][at[k]]
-        over = [max(max(0.0, w - need[s][j]) / totals[j] for j, w in enumerate(part.weight) if totals[j] > 0) for s in range(len(shares))]
-        lack = [(-round(over[s], 9), need[s][k], sum(need[s][j] / totals[j] for j in range(labels) if totals[j] > 0), -s) for s in range(len(shares))]
-        s = max(range(len(shares)), key=lambda x: lack[x])
-        placed[part.key] = shares[s][0]
+        k = min(waiting, key=lambda x: (left[x], x))
+        i = by_label[k][at[k]]
+        placed[i] = share_out(need, k, vectors[i], counts[i], totals)
         for j in range(labels):
-            need[s][j] -= part.weight[j]
-            left[j] -= part.weight[j]
-    for p in parts:  # without any label
-        placed.setdefault(p.key, shares[0][0])
-    return placed
+            left[j] -= vectors[i][j] * counts[i]
+    settled = [p if p is not None else [c] + [0] * (len(shares) - 1) for p, c in zip(placed, counts)]
+    settle(settled, need, vectors, totals)
+    return settled
+
+
+#: At most so often is every vector looked at again.
+SWEEPS = 10
+
+
+def settle(placed: list[list[int]], need: list[list[float]], vectors: Sequence[tuple[float, ...]], totals: Sequence[float]) -> None:
+    """Moves components between splits while that lowers the squared shares that are still outstanding, as many of a vector at once as lower them most."""
+    scale = [1 / t if t > 0 else 0.0 for t in totals]
+    for _ in range(SWEEPS):
+        moved = False
+        for v, taken in zip(vectors, placed):
+            unit = [w * x for w, x in zip(v, scale)]
+            if not (norm := sum(x * x for x in unit)):
+                continue
+            for s in range(len(taken)):
+                for t in range(len(taken)):
+                    if s == t or not taken[s]:
+                        continue
+                    x = min(taken[s], round(sum(u * (need[t][j] - need[s][j]) * scale[j] for j, u in enumerate(unit)) / (2 * norm) - 1e-9))
+                    if x > 0:
+                        moved = True
+                        taken[s] -= x
+                        taken[t] += x
+                        for j, w in enumerate(v):
+                            need[s][j] += w * x
+                            need[t][j] -= w * x
+        if not moved:
+            return
 
 
 def assign_splits(groups: DataFrame, weights: DataFrame, shares: Sequence[tuple[str, float]], seed: int = 17) -> DataFrame:
     """(group_id, split) for every row of ``groups`` (column group_id).
 
     ``weights`` has (group_id, label, weight). Grouped iterative stratification: label vectors
-    are summed by component; large components are placed one by one, small ones in hash buckets
-    of their class (rarest label and size), so that the driver handles a bounded number of
-    parts however many components there are. At most MAX_LABELS labels. Groups without weight
-    go to the first split; null groups give no row; shares are scaled to add up to 1, and
-    without any share that is above 0 a ValueError is raised.
+    are summed by component, and every component is placed. Components with the same vector
+    are alike to the method, so the driver handles each vector once with its number of components, and
+    which of them go where is decided by their order after a seeded hash. At most MAX_LABELS labels and
+    MAX_VECTORS different vectors, else a ValueError. Groups without weight go to the first
+    split; null groups give no row; shares are scaled to add up to 1, and without any share
+    that is above 0 a ValueError is raised.
     """
     shares = [(n, s) for n, s in shares if s and s > 0]
     if not shares:
@@ -123,24 +175,25 @@ def assign_splits(groups: DataFrame, weights: DataFrame, shares: Sequence[tuple[
     groups = groups.select("group_id").where("group_id is not null").distinct()
     if not labels:
         return groups.withColumn("split", F.lit(shares[0][0]))
-    sums = [F.coalesce(F.sum(F.when(F.col("label") == x, F.col("weight"))), F.lit(0)).cast("double").alias(f"w{i}") for i, x in enumerate(labels)]
+    names = [f"w{i}" for i in range(len(labels))]
+    sums = [F.coalesce(F.sum(F.when(F.col("label") == x, F.col("weight"))), F.lit(0)).cast("double").alias(w) for w, x in zip(names, labels)]
     vectors = groups.join(weights.where("weight > 0").groupBy("group_id").agg(*sums), "group_id", "left").na.fill(0.0)
-    order = sorted(range(len(labels)), key=lambda i: (totals[labels[i]], i))
-    large = F.lit(False)
-    for i, x in enumerate(labels):
-        large = large | (F.col(f"w{i}") > totals[x] / LARGE)
-    rarest = F.coalesce(*[F.when(F.col(f"w{i}") > 0, F.lit(i)) for i in order], F.lit(-1))
-    size = sum((F.col(f"w{i}") for i in range(len(labels))), F.lit(0.0))
-    part = F.when(large, F.struct(F.lit(1).alias("big"), F.lit(-1).alias("rare"), F.lit(-1).alias("size"), F.lit(-1).alias("bucket"), F.col("group_id").alias("id"))).otherwise(
-        F.struct(
-            F.lit(0).alias("big"), rarest.alias("rare"), F.floor(F.log2(size + 1)).cast("int").alias("size"), F.pmod(F.xxhash64(F.lit(seed), "group_id"), F.lit(BUCKETS)).cast("int").alias("bucket"), F.lit("").alias("id")
-        )
-    )
-    vectors = stage(vectors.withColumn("part", part), "vectors")
-    rows = vectors.groupBy("part").agg(*[F.sum(f"w{i}").alias(f"w{i}") for i in range(len(labels))]).collect()  # < LARGE a label, and BUCKETS a class
-    parts = [_Part(tuple(r["part"]), [r[f"w{i}"] for i in range(len(labels))]) for r in rows]
-    placed = stratify(parts, shares, len(labels))
+    numbered = stage(with_ordinal(vectors.withColumn("_h", F.xxhash64(F.lit(seed), "group_id")), [*names, "_h", "group_id"], "ordinal"), "vectors")
+    alike = numbered.groupBy(*names).agg(F.count("*").alias("n"), F.min("ordinal").alias("first"))
+    rows = bounded_rows(alike, MAX_VECTORS)
+    if rows is None:
+        raise ValueError(f"more than {MAX_VECTORS} different label vectors")
+    rows.sort(key=lambda r: r["first"])
+    placed = stratify([tuple(r[w] for w in names) for r in rows], [r["n"] for r in rows], shares)
+    lines = []
+    for r, taken in zip(rows, placed):
+        upto, ends = r["first"], []
+        for x in taken:
+            upto += x
+            ends.append(upto)
+        lines.append((*(r[w] for w in names), r["n"], ends))
     spark = groups.sparkSession
-    schema = "big int, rare int, size int, bucket int, id string, split string"
-    chosen = spark.createDataFrame([(*k, s) for k, s in placed.items()], schema).select(F.struct("big", "rare", "size", "bucket", "id").alias("part"), "split")
-    return vectors.select("group_id", "part").join(F.broadcast(chosen), "part").select("group_id", "split")
+    chosen = spark.createDataFrame(lines, ", ".join(f"{w} double" for w in names) + ", n long, ends array<long>") if lines else alike.select(*names, "n", F.array("first").alias("ends"))
+    met = join_heavy(numbered, chosen, names, sum(r["n"] for r in rows))
+    split = F.get(F.array(*[F.lit(n) for n, _ in shares]), F.size(F.filter("ends", lambda e: e <= F.col("ordinal"))))
+    return met.select("group_id", split.alias("split"))

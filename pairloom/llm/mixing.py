@@ -9,7 +9,6 @@ flows are then turned into documents in a seeded order.
 from __future__ import annotations
 
 import base64
-from collections import deque
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -25,8 +24,8 @@ from pairloom.session import bounded_rows, spread, stage
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 MAX_SOURCES = 60
-#: Beyond so many patterns each text counts for the first of its sources only.
-MAX_PATTERNS = 512
+#: More patterns (sets of sources that a text stands in) are refused.
+MAX_PATTERNS = 20_000
 #: Texts of a pattern that are put in order together.
 BUCKET_TEXTS = 50_000
 #: Longer texts are encoded in parts of about this many characters, cut before white space.
@@ -38,11 +37,14 @@ def source_name(c: Column) -> Column:
     return F.regexp_replace(F.lower(strip(c)), "[ -]", "_")
 
 
-def encoder(path: str):
+def encoder(vocabulary: str | bytes):
+    """The tokenizer of a rank file, given by its path or content."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if isinstance(vocabulary, str):
+        with open(vocabulary, "rb") as f:
+            vocabulary = f.read()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -63,14 +65,18 @@ def parts(text: str) -> list[str]:
 def measure(docs: DataFrame, doc: str, text: str, source: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, key, tokens): the size of every text and a 128-bit key of equal texts.
 
-    Rows with a null id, null or blank source or empty text give no row.
+    Rows with a null id, null or blank source or empty text give no row. The rank file is read
+    by the driver and sent to the tasks, so it need not exist elsewhere.
     """
     rows = docs.select(F.col(doc).alias("doc_id"), source_name(F.col(source)).alias("source"), F.col(text).alias("text"))
     rows = spread(rows.where("doc_id is not null and source <> '' and text <> ''"))
     schema = T.StructType([rows.schema["doc_id"], rows.schema["source"], T.StructField("key", T.BinaryType()), T.StructField("tokens", T.LongType())])
 
+    with open(tokenizer, "rb") as f:
+        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+
     def run(batches):
-        encode = encoder(tokenizer).encode_ordinary
+        encode = encoder(sent.value).encode_ordinary
         for batch in batches:
             texts = batch.column(2).to_pylist()
             keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
@@ -89,71 +95,107 @@ class Plan:
 
 
 class _Flow:
-    """A network of arcs with capacities and costs; shortest augmenting paths."""
-
-    def __init__(self, nodes: int):
-        self.out: list[list[int]] = [[] for _ in range(nodes)]
-        self.to: list[int] = []
-        self.room: list[int] = []
-        self.cost: list[int] = []
-
-    def arc(self, a: int, b: int, room: int, cost: int = 0) -> int:
-        self.out[a].append(len(self.to))
-        self.out[b].append(len(self.to) + 1)
-        self.to += [b, a]
-        self.room += [room, 0]
-        self.cost += [cost, -cost]
-        return len(self.to) - 2
-
-    def run(self, a: int, b: int) -> int:
-        sent = 0
+    """Greatest flow from patterns to the quotas of their sources, by shortest augmenting paths in
+    layers. Rooms only grow, so a flow stays where it is and more is sent on top of it."""
+
+    def __init__(self, patterns: list[tuple[int, ...]], quotas: list[int]):
+        self.patterns, self.left = patterns, list(quotas)
+        self.sent: list[dict[int, int]] = [dict.fromkeys(p, 0) for p in patterns]  # to each source
+        self.used, self.room = [0] * len(patterns), [0] * len(patterns)
+        self.into: list[list[int]] = [[] for _ in quotas]  # the patterns of a source
+        for i, p in enumerate(patterns):
+            for s in p:
+                self.into[s].append(i)
+
+    def grow(self) -> int:
+        """Sends what the rooms allow; returns how much is sent in all. Afterwards ``blocked`` tells
+        which sources no spare room can reach."""
+        while True:
+            layer = [-1] * len(self.patterns)
+            depth = [-1] * len(self.left)
+            front = [i for i in range(len(self.patterns)) if self.room[i] > self.used[i]]
+            for i in front:
+                layer[i] = 0
+            at, met = 0, False
+            while front and not met:
+                at += 1
+                sources = []
+                for i in front:
+                    for s in self.patterns[i]:
+                        if depth[s] < 0:
+                            depth[s] = at
+                            sources.append(s)
+                            met |= self.left[s] > 0
+                at += 1
+                front = []
+                if not met:
+                    for s in sources:  # what a pattern sends there may be sent elsewhere
+                        for i in self.into[s]:
+                            if layer[i] < 0 and self.sent[i][s] > 0:
+                                layer[i] = at
+                                front.append(i)
+            if not met:
+                self.blocked = [d < 0 for d in depth]
+                return sum(self.used)
+            tried = [0] * len(self.patterns), [0] * len(self.left)
+            for i in range(len(self.patterns)):
+                if layer[i] == 0:
+                    while self.room[i] > self.used[i] and (moved := self._push(i, self.room[i] - self.used[i], layer, depth, tried)):
+                        self.used[i] += moved
+
+    def _push(self, i: int, most: int, layer: list[int], depth: list[int], tried: tuple[list[int], list[int]]) -> int:
+        """Moves up to ``most`` from pattern ``i`` along one path of the layers (at most two steps for each source)."""
+        path: list[tuple[int, int]] = []  # (pattern, source)
         while True:
-            far = [None] * len(self.out)
-            by = [-1] * len(self.out)
-            far[a], queue, queued = 0, deque([a]), [False] * len(self.out)
-            while queue:
-                x = queue.popleft()
-                queued[x] = False
-                for e in self.out[x]:
-                    y = self.to[e]
-                    if self.room[e] > 0 and (far[y] is None or far[x] + self.cost[e] < far[y]):
-                        far[y], by[y] = far[x] + self.cost[e], e
-                        if not queued[y]:
-                            queued[y] = True
-                            queue.append(y)
-            if far[b] is None:
-                return sent
-            room, x = None, b
-            while x != a:
-                room = self.room[by[x]] if room is None else min(room, self.room[by[x]])
-                x = self.to[by[x] ^ 1]
-            x = b
-            while x != a:
-                self.room[by[x]] -= room
-                self.room[by[x] ^ 1] += room
-                x = self.to[by[x] ^ 1]
-            sent += room
-
-
-def _network(capacity: dict[tuple[int, ...], int], repeats: list[int], quotas: list[int], costs: bool) -> tuple[int, dict]:
-    patterns = sorted(capacity)
-    n = len(patterns)
-    net = _Flow(n + len(quotas) + 2)
-    a, b = n + len(quotas), n + len(quotas) + 1
-    links = {}
-    for i, p in enumerate(patterns):
-        most = min(repeats[s] for s in p)
-        if costs:
-            for r in range(most):
-                net.arc(a, i, capacity[p], r)
-        else:
-            net.arc(a, i, capacity[p] * most)
-        for s in p:
-            links[p, s] = net.arc(i, n + s, capacity[p] * most)
-    for s, q in enumerate(quotas):
-        net.arc(n + s, b, q)
-    sent = net.run(a, b)
-    return sent, {k: net.room[e ^ 1] for k, e in links.items()}
+            own = self.patterns[i]
+            while tried[0][i] < len(own) and depth[own[tried[0][i]]] != layer[i] + 1:
+                tried[0][i] += 1
+            if tried[0][i] == len(own):
+                if not path:
+                    return 0
+                i, s = path.pop()
+                tried[1][s] += 1
+                s_done = self._next(s, depth, layer, tried)
+                if s_done is None:
+                    tried[0][i] += 1
+                else:
+                    path.append((i, s))
+                    i = s_done
+                continue
+            s = own[tried[0][i]]
+            if self.left[s] > 0:
+                path.append((i, s))
+                break
+            onward = self._next(s, depth, layer, tried)
+            if onward is None:
+                tried[0][i] += 1
+            else:
+                path.append((i, s))
+                i = onward
+        moved = min([most, self.left[path[-1][1]], *(self.sent[path[k + 1][0]][path[k][1]] for k in range(len(path) - 1))])
+        for k, (x, s) in enumerate(path):
+            self.sent[x][s] += moved
+            if k + 1 < len(path):
+                self.sent[path[k + 1][0]][s] -= moved
+        self.left[path[-1][1]] -= moved
+        return moved
+
+    def _next(self, s: int, depth: list[int], layer: list[int], tried: tuple[list[int], list[int]]) -> int | None:
+        """The next pattern that can take back what it sends to ``s``."""
+        into = self.into[s]
+        while tried[1][s] < len(into):
+            i = into[tried[1][s]]
+            if layer[i] == depth[s] + 1 and self.sent[i][s] > 0 and tried[0][i] < len(self.patterns[i]):
+                return i
+            tried[1][s] += 1
+        return None
+
+
+def _feasible(patterns: list[tuple[int, ...]], rooms: list[int], quotas: list[int]) -> tuple[bool, list[bool]]:
+    """Whether all quotas can be met; else the sources whose patterns have too little for them."""
+    flow = _Flow(patterns, quotas)
+    flow.room = list(rooms)
+    return flow.grow() == sum(quotas), flow.blocked
 
 
 def solve(capacity: dict[tuple[int, ...], int], shares: list[float], repeats: list[int], total: int | None = None) -> Plan:
@@ -162,6 +204,11 @@ def solve(capacity: dict[tuple[int, ...], int], shares: list[float], repeats: li
     ``capacity``: tokens of the distinct texts of each pattern (a tuple of source numbers). A
     text counts at most as often as the smallest ``repeats`` of its sources allows. Sources
     without tokens get nothing, and the shares of the others are scaled up.
+
+    The largest total is found from above: a set of sources that can't have their quotas bounds
+    the total by the tokens of its patterns. The k-th use of a text costs k - 1, the same for
+    all, so the cheapest flow is the greatest one with first uses, enlarged by second uses where
+    those don't suffice, and so on: a later use never makes an earlier one dearer.
     """
     can = {s for p in capacity for s in p if capacity[p] > 0 and shares[s] > 0 and repeats[s] > 0}
     shrunk: dict[tuple[int, ...], int] = {}
@@ -173,19 +220,31 @@ def solve(capacity: dict[tuple[int, ...], int], shares: list[float], repeats: li
         return Plan({}, 0)
     whole = sum(shares[s] for s in can)
     part = [shares[s] / whole if s in can else 0.0 for s in range(len(shares))]
-    low, high = 0, sum(t * min(repeats[s] for s in p) for p, t in shrunk.items())
+    patterns = sorted(shrunk)
+    most = [min(repeats[s] for s in p) for p in patterns]
+    rooms = [shrunk[p] * m for p, m in zip(patterns, most)]
+    low, high = 0, sum(rooms)
     if total is not None:
         high = min(high, total)
-    while low < high:  # the largest total whose quotas can all be met
-        middle = (low + high + 1) // 2
-        quotas = [int(x * middle) for x in part]
-        if _network(shrunk, repeats, quotas, False)[0] == sum(quotas):
+    down = True
+    while low < high:
+        middle = high if down else (low + high + 1) // 2
+        good, lacking = _feasible(patterns, rooms, [int(x * middle) for x in part])
+        if good:
             low = middle
-        else:
-            high = middle - 1
-    quotas = [int(x * low) for x in part]
-    _, flows = _network(shrunk, repeats, quotas, True)
-    return Plan({k: f for k, f in flows.items() if f > 0}, sum(quotas))
+            continue
+        held = sum(r for p, r in zip(patterns, rooms) if any(lacking[s] for s in p))
+        share = sum(part[s] for s, x in enumerate(lacking) if x)
+        bound = int((held + sum(lacking)) / share) + 1 if share > 0 else middle - 1  # quotas are cut to whole tokens
+        down = bound < middle - 1
+        high = min(middle - 1, bound)
+    flow = _Flow(patterns, [int(x * low) for x in part])
+    for use in range(max(most)):
+        for i, p in enumerate(patterns):
+            if use < most[i]:
+                flow.room[i] += shrunk[p]
+        flow.grow()
+    return Plan({(p, s): f for p, own in zip(patterns, flow.sent) for s, f in own.items() if f > 0}, sum(flow.used))
 
 
 def targets_of(targets: DataFrame, source: str, share: str, repeats: str) -> list[tuple[str, float, int]]:
@@ -205,7 +264,8 @@ def mix(measured: DataFrame, targets: list[tuple[str, float, int]], total: int |
 
     ``measured`` comes from ``measure`` and is read twice, so it should be stored. Which texts
     are taken depends on ``seed`` and the texts alone. Sources without a target are left out. Quotas
-    are met up to the text that crosses a boundary.
+    are met up to the text that crosses a boundary. Every set of sources takes part in the flow;
+    more than MAX_PATTERNS of them are refused with a ValueError.
     """
     spark = measured.sparkSession
     schema = f"doc_id {measured.schema['doc_id'].dataType.simpleString()}, source string, uses int, tokens long"
@@ -220,8 +280,7 @@ def mix(measured: DataFrame, targets: list[tuple[str, float, int]], total: int |
     sums = texts.groupBy("pattern").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
     rows = bounded_rows(sums, MAX_PATTERNS)
     if rows is None:
-        texts = stage(texts.withColumn("docs", F.slice("docs", 1, 1)).withColumn("pattern", F.col("docs")[0]["s"].cast("string")), "texts")
-        rows = texts.groupBy("pattern").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()  # a row a source
+        raise ValueError(f"texts stand in more than {MAX_PATTERNS} sets of sources")
     capacity = {tuple(map(int, r["pattern"].split(","))): r["tokens"] for r in rows}
     repeats = [r for _, _, r in targets]
     plan = solve(capacity, [s for _, s, _ in targets], repeats, total)

@@ -101,11 +101,71 @@ def test_mix_edges(spark):
     assert [(r["doc_id"], r["uses"]) for r in got] == [(4, 2)]
 
 
-def test_many_patterns_fall_back_to_first_source(spark, monkeypatch):
-    monkeypatch.setattr("pairloom.llm.mixing.MAX_PATTERNS", 2)
+def test_too_many_patterns_are_refused(spark, monkeypatch):
     docs = [(i, f"text {i % 50}", s, None) for i, s in enumerate(["a", "b", "c"] * 100)] + [(900 + i, f"own {s} {i}", s, None) for i, s in enumerate(["a", "b", "c"] * 30)]
-    got = mixed(spark, docs, [("a", 0.3, 1), ("b", 0.3, 1), ("c", 0.4, 1)]).collect()
-    assert got and max(r["uses"] for r in got) == 1
+    targets = [("a", 0.3, 1), ("b", 0.3, 1), ("c", 0.4, 1)]
+    assert len({r["source"] for r in mixed(spark, docs, targets).collect()}) == 3
+    monkeypatch.setattr("pairloom.llm.mixing.MAX_PATTERNS", 2)
+    with pytest.raises(ValueError):
+        mixed(spark, docs, targets)
+
+
+@pytest.mark.parametrize("k", [3, 6, 10])
+def test_flow_against_the_cuts(k):
+    """Total and cost by the theorem of greatest flow and least cut, over all sets of sources; 1,023 patterns with ten sources."""
+    rng = random.Random(k)
+    for _ in range(4):
+        chosen = [m for m in range(1, 1 << k) if k > 6 or rng.random() < 0.7] or [1]
+        capacity = {tuple(s for s in range(k) if m >> s & 1): rng.randint(1, 400) for m in chosen}
+        capacity[(0,)] = 1  # a source that binds
+        repeats = [rng.randint(1, 4) for _ in range(k)]
+        usable = sorted({s for p in capacity for s in p})
+        raw = [rng.random() + 0.05 for _ in range(k)]
+        raw[0] *= 20
+        whole = sum(raw[s] for s in usable)
+        plan = solve(capacity, raw, repeats)
+        masks = {p: sum(1 << s for s in p) for p in capacity}
+        held = [[0] * (1 << k) for _ in range(max(repeats) + 1)]  # by uses: tokens of the patterns within a set
+        for p, t in capacity.items():
+            for uses in range(max(repeats) + 1):
+                held[uses][masks[p]] += t * min(uses, *(repeats[s] for s in p))
+        for row in held:
+            for s in range(k):
+                for m in range(1 << k):
+                    if m >> s & 1:
+                        row[m] += row[m ^ 1 << s]
+        everything = (1 << k) - 1
+
+        def flow(uses, quotas):
+            sums = [0] * (1 << k)
+            for m in range(1, 1 << k):
+                low = m & -m
+                sums[m] = sums[m ^ low] + quotas[low.bit_length() - 1]
+            return min(sums[m] + held[uses][everything] - held[uses][m] for m in range(1 << k))
+
+        def quotas(total):
+            return [int(raw[s] / whole * total) if s in usable else 0 for s in range(k)]
+
+        low, high = 0, sum(t * min(repeats[s] for s in p) for p, t in capacity.items())
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if flow(-1, quotas(middle)) == sum(quotas(middle)) else (low, middle - 1)
+        assert plan.total == sum(quotas(low)) > 0
+        assert [sum(f for (_, s), f in plan.flows.items() if s == x) for x in range(k)] == quotas(low)
+        by_use = [flow(uses, quotas(low)) for uses in range(max(repeats) + 1)]
+        cost = 0
+        for p, t in capacity.items():
+            sent = sum(f for (q, _), f in plan.flows.items() if q == p)
+            assert sent <= t * min(repeats[s] for s in p)
+            cost += sum(use * max(0, min(t, sent - use * t)) for use in range(max(repeats)))
+        assert cost == sum(use * (by_use[use + 1] - by_use[use]) for use in range(max(repeats)))
+
+
+def test_flow_of_many_patterns_ends_soon():
+    rng = random.Random(1)
+    capacity = {tuple(sorted(rng.sample(range(40), rng.randint(1, 6)))): rng.randint(1, 10**9) for _ in range(15_000)}
+    plan = solve(capacity, [rng.random() + 0.01 for _ in range(40)], [rng.randint(1, 8) for _ in range(40)])
+    assert plan.total > 0
 
 
 def test_targets(spark):

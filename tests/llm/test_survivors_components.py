@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.llm import problems
-from pairloom.llm.components import _Part, assign_splits, components, stratify
+from pairloom.llm.components import assign_splits, components, share_out, stratify
 from pairloom.llm.survivors import Bundle, bound, survivors
 
 CANDIDATES = "candidate_id long, pair string, assembly string, res double, n int, method string, at timestamp, other string"
@@ -121,14 +121,31 @@ def test_p5_hub_stays_in_place(spark, monkeypatch):
     assert set(got.values()) == {"hub"} and len(got) == 4001
 
 
+def test_p5_equal_components_at_once_as_one_by_one():
+    rng = random.Random(3)
+    for _ in range(500):
+        need = [[float(rng.randint(-20, 200)), 50.0] for _ in range(rng.randint(1, 4))]
+        weight, count = float(rng.randint(1, 9)), rng.randint(0, 150)
+        lowered = [list(n) for n in need]
+        taken = share_out(lowered, 0, (weight, 1.0), count, (300.0, 100.0))
+        assert sum(taken) == count and lowered == [[a - weight * t, b - t] for (a, b), t in zip(need, taken)]
+        now = [n[0] for n in need]
+        for _ in range(count):
+            now[now.index(max(now))] -= weight
+        assert all(abs(a - b[0]) <= 2 * weight for a, b in zip(now, lowered))  # no need is further from the greedy level than two components
+
+
 def test_p5_stratify_reaches_shares():
     rng = random.Random(4)
-    parts = [_Part((i,), [float(rng.randint(0, 9)), float(rng.random() < 0.1), float(rng.randint(1, 3))]) for i in range(800)] + [_Part((9999,), [300.0, 1.0, 100.0])]
-    placed = stratify(parts, [("train", 0.8), ("validation", 0.1), ("test", 0.1)], 3)
+    vectors = [tuple(v) for v in {(float(rng.randint(0, 9)), float(rng.random() < 0.1), float(rng.randint(1, 3))) for _ in range(800)}] + [(300.0, 1.0, 100.0)]
+    counts = [rng.choice([1, 2, 40]) for _ in vectors[:-1]] + [1]
+    shares = [("train", 0.8), ("validation", 0.1), ("test", 0.1)]
+    placed = stratify(vectors, counts, shares)
+    assert [sum(p) for p in placed] == counts
     for k in range(3):
-        whole = sum(p.weight[k] for p in parts)
-        for name, share in (("train", 0.8), ("validation", 0.1), ("test", 0.1)):
-            assert abs(sum(p.weight[k] for p in parts if placed[p.key] == name) / whole - share) < 0.02
+        whole = sum(v[k] * c for v, c in zip(vectors, counts))
+        for s, (_, share) in enumerate(shares):
+            assert abs(sum(v[k] * p[s] for v, p in zip(vectors, placed)) / whole - share) < 0.01, (k, s)
 
 
 def test_p5_assign(spark):
