@@ -14,7 +14,7 @@ from pairloom.operators.clustering import IDENTITY
 from pairloom.operators.fasta import fasta_records, group_sequences, several_clusters, write_fasta
 from pairloom.plans import curation
 from pairloom.schemas import CANDIDATES, SEQUENCES
-from pairloom.session import stage
+from pairloom.session import clean, stage
 from pairloom.sources import archive
 from pairloom.sources.mmcif import read_structures
 from pairloom.sources.tsv import read_tsv, write_tsv
@@ -106,7 +106,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         x.add_argument("--one-file", action="store_true", help="a single part; for small tables")
     o = p.parse_args(args)
     own = spark or SparkSession.builder.appName("pairloom").config(map=o.conf).getOrCreate()
-    o.run(own, o)
+    try:
+        o.run(own, o)
+    finally:
+        clean(own)
     return 0
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators.joins import join_heavy
 from pairloom.operators.ordinals import with_ordinal
-from pairloom.session import bounded_rows, spread, stage
+from pairloom.session import bounded_rows, spread, stage, unstage
 
 IDENTITY, WORD, SHORTEST = 0.9, 5, 11
 #: Rare words that a pair must share before more is fetched for it.
@@ -116,8 +116,10 @@ def greedy(nodes: DataFrame, pairs: DataFrame, rounds: int = 200) -> DataFrame:
         waiting = rest.select(F.col("b").alias("id")).distinct()
         rest = stage(rest.join(covered.withColumnRenamed("id", "a"), "a", "left_anti"), "open")
         free = waiting.join(rest.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+        before = covered, fresh, chosen, open_pairs
         fresh = stage(free, "fresh")
         chosen = stage(chosen.unionByName(fresh), "chosen")
+        unstage(*(x for x in before if x is not all_pairs))
         open_pairs = rest
     nearest = all_pairs.join(chosen.withColumnRenamed("id", "a"), "a", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("first"))
     mine = chosen.withColumn("own", F.lit(True))

@@ -30,28 +30,57 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here,
-    later readers prune columns, and the loss of an executor costs nothing."""
+    later readers prune columns, and the loss of an executor costs nothing.
+
+    The files stay until ``unstage`` or ``clean``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pairloom/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+#: The stages of each application that still exist.
+_written: dict[str, list[str]] = {}
+
 
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
-_written: list[str] = []
+
+def unstage(*stages: DataFrame | None) -> None:
+    """Removes stages that nothing reads any more, as the earlier rounds of a loop."""
+    for df in stages:
+        path = getattr(df, "_staged", None)
+        own = _written.get(df.sparkSession.sparkContext.applicationId, []) if path else []
+        if path in own:
+            own.remove(path)
+            _delete(df.sparkSession, path)
 
 
 def clean(spark: SparkSession) -> None:
-    """Removes the stages written so far; results that read them can't be used any more."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Removes all stages of this application; results that read them can't be used any more."""
+    own = _written.pop(spark.sparkContext.applicationId, [])
+    for path in own:
+        _delete(spark, path)
+
+
+#: Inputs of fewer bytes a core are small.
+SMALL = 32 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores. Only an input of fewer partitions than cores, and so a small one, is moved."""
+    """``df`` over all cores, if by the sizes of its files it is small and may lie in few partitions.
+
+    Nothing is run to find out: the size is the optimizer's estimate.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL * cores else df
 
 
 def bounded_rows(df: DataFrame, limit: int) -> list | None:
