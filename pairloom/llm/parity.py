@@ -2,23 +2,25 @@
 
 A record's tokens are hashed into the cells of its size band; a cell holds the XOR of its
 tokens' hashes, so a token that only one of two records has changes one cell, and the number of
-cells that differ is at most the symmetric difference. Records that are similar enough must
-therefore agree in some non-empty cells, and by the pigeonhole principle in one of a record's
-rarest ones: only these are joined. A short sketch with one parity bit a token then bounds the
-symmetric difference of each candidate pair from below by its Hamming distance; what passes is
-verified on the tokens themselves.
-
-Bounds. Let c = (1-t)/(1+t): sets of sizes n <= m with Jaccard similarity of at least t differ
-in at most c(n+m) tokens. A band has so many cells that few tokens share one; a record is
-regular if its s non-empty cells are at least (1-E)n. Two regular records then agree in at
-least (1-E)max(n,m) - c(n+m) >= (1-E-2c)n cells, so each need only offer its rarest
-s - ceil((1-E-2c)n) + 1 cells. That is exact for thresholds over 1/3. Records that are not
-regular (the hash put too many tokens in one cell) meet all others on their plain tokens.
+cells that differ is at most the symmetric difference. Records that are similar enough therefore
+agree in some non-empty cells, and by the pigeonhole principle in one of their rarest ones: only
+these are joined. A short sketch with one parity bit a token then bounds the symmetric difference
+of each candidate pair from below by its Hamming distance; what passes is verified on the tokens.
+
+Bounds. Sets of sizes n <= m with a Jaccard similarity of at least t = p/q share at least
+p(n+m)/(p+q) tokens and differ in at most (q-p)(n+m)/(q+p); m is at most n q/p. The smaller
+record need only offer for its nearest partner, the larger one for its smallest, so the two roles
+offer different numbers of cells and meet in one join. With s non-empty cells, g of which must
+agree, the rarest s - g + k hold k cells of every partner.
+
+Where t is at least SEVERAL, a cell holds up to PER tokens, which makes cells of common tokens
+rare. A record whose tokens fell together so that no cell must agree meets all others in one-token
+cells. Below SEVERAL differences may touch every such cell, and all cells hold one token.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -26,22 +28,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.operators.joins import join_heavy
 from pairloom.session import spread, stage
 
-E = 1 / 32
 BITS = 1024
 #: Offered cells that a pair must share: chance rarely gives several.
 MEET = 4
 WHOLE = 12
-#: Bits of a cell's signature; the others of a word hold its number of records.
-CELL_BITS = 43
-#: Cells of more records than this are joined the other way (see ``_meet_heavy``).
-HEAVY = 500
-#: Records sketched at a time.
-SLICE = 500
-#: Sizes up to FIRST are one band; each further band reaches GROW times as far. A band has CELLS cells a token at its upper end.
-FIRST, GROW, CELLS = 1024, 16, 64
+#: From this threshold on cells hold several tokens, at most about PER.
+SEVERAL, PER = Fraction(4, 5), 2
+#: Sizes up to FIRST are one band; each further band reaches twice as far.
+FIRST = 32
+#: Cells are counted in so many buckets, whatever the number of records; counts only put cells in order.
+BUCKETS, PARTS = 1 << 21, 64
+#: Cells that so many records or more share (by their bucket) are joined in SALTS parts (see ``_meet_heavy``).
+HEAVY, SALTS = 500, 16
+#: Records worked on at a time.
+SLICE = 2000
+#: Up to so many candidates are sent to the records; more are joined.
+BROADCAST_PAIRS = 1_000_000
+SMALLER, LARGER = 0, 1
+
+Reader = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,13 +64,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def band_of(n: np.ndarray) -> np.ndarray:
-    """The size band: 0 up to FIRST, then one for each factor GROW."""
-    return np.ceil(np.maximum(0.0, np.log(np.maximum(n, 1) / FIRST) / math.log(GROW)) - 1e-12).astype(np.int64)
+    """The size band: 0 up to FIRST, then one for each doubling."""
+    return np.ceil(np.maximum(0.0, np.log2(np.maximum(n, 1) / FIRST)) - 1e-12).astype(np.int64)
 
 
-def cells_of(record: np.ndarray, hashes: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(record, signature) of every non-empty cell; ``band`` is each token's record's band."""
-    count = (np.uint64(FIRST * CELLS) * np.power(np.uint64(GROW), band.astype(np.uint64))).astype(np.uint64)
+def cells_of(record: np.ndarray, hashes: np.ndarray, band: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(record, signature) of every non-empty cell; ``band`` is each token's record's band, or None for one-token cells."""
+    if band is None:
+        return record, hashes
+    count = (np.uint64(max(1, FIRST // PER)) << band.astype(np.uint64)).astype(np.uint64)
     cell = hashes % count
     order = np.lexsort((cell, record))
     record, cell, hashes, band = record[order], cell[order], hashes[order], band[order]
@@ -73,7 +82,7 @@ def cells_of(record: np.ndarray, hashes: np.ndarray, band: np.ndarray) -> tuple[
     with np.errstate(over="ignore"):
         signature = mix(parity ^ mix(cell * np.uint64(1 << 8) + band.astype(np.uint64) + np.uint64(1)))
     full = parity != 0
-    return record[full], signature[full] >> np.uint64(64 - CELL_BITS)
+    return record[full], signature[full]
 
 
 def sketches(record: np.ndarray, hashes: np.ndarray, records: int) -> np.ndarray:
@@ -83,10 +92,13 @@ def sketches(record: np.ndarray, hashes: np.ndarray, records: int) -> np.ndarray
     return np.packbits(odd.reshape(records, BITS), axis=1, bitorder="little").view(np.int64)
 
 
-def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def token_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, value) of a list column in order, each value once a row and without nulls."""
     flat = column.flatten()
-    row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    sizes = np.diff(column.offsets.to_numpy())
+    if column.null_count:
+        sizes = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, sizes)
+    row = np.repeat(np.arange(len(column)), sizes)
     if flat.null_count:
         there = flat.is_valid().to_numpy(zero_copy_only=False)
         row, flat = row[there], flat.drop_null()
@@ -104,117 +116,231 @@ def _list(rows: int, record: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def similar_pairs(records: DataFrame, threshold: Fraction | float = Fraction(4, 5), alike: str | None = None) -> DataFrame:
+class _Cells:
+    """The cells of a slice of records, and how many of them must agree."""
+
+    def __init__(self, column: pa.Array, read: Reader, t: Fraction, several: bool):
+        self.rows = len(column)
+        self.record, tokens = read(column)
+        with np.errstate(over="ignore"):
+            self.hashes = mix(tokens.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        self.n = np.bincount(self.record, minlength=self.rows)
+        p, q, n = t.numerator, t.denominator, self.n
+        if several:
+            band = band_of(n)
+            largest = n * q // p  # a partner may lie a band up, or more where bands are narrow
+            self.bands = [band]
+            while (more := band_of(largest) > self.bands[-1]).any():
+                self.bands.append(np.where(more, self.bands[-1] + 1, self.bands[-1]))
+            self.differ = [(q - p) * (n + largest) // (q + p), (q - p) * 2 * n // (q + p)]
+        else:
+            self.bands = [None]
+            self.agree = [-(-2 * p * n // (p + q)), -(-p * n // q)]
+        self.several = several
+
+    def role(self, role: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(record, signature, cells of each record that must agree with any partner of that role) by band."""
+        for k, band in enumerate(self.bands[: 1 if role == LARGER else None]):
+            if band is None:
+                yield self.record, self.hashes, self.agree[role]
+                continue
+            own = band[self.record]
+            take = np.ones(len(own), bool) if k == 0 else (own > self.bands[k - 1][self.record])
+            record, signature = cells_of(self.record[take], self.hashes[take], own[take])
+            there = np.ones(self.rows, bool) if k == 0 else band > self.bands[k - 1]
+            yield record, signature, np.where(there, np.bincount(record, minlength=self.rows) - self.differ[role], 1)
+
+    def regular(self) -> np.ndarray:
+        """Whether some cell must agree in every band and role."""
+        good = np.ones(self.rows, bool)
+        for role in (SMALLER, LARGER):
+            for _, _, agree in self.role(role):
+                good &= agree > 0
+        return good | (self.n == 0)
+
+
+def _slices(batches) -> Iterator[pa.RecordBatch]:
+    return (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE))
+
+
+def cell_counts(records: DataFrame, column: str, read: Reader, t: Fraction, several: bool) -> np.ndarray:
+    """In how many cells each of BUCKETS buckets occurs, over all records.
+
+    Every task counts its own and sends its table, packed; the tables are summed part by part.
+    """
+
+    def count(batches):
+        table = np.zeros(BUCKETS, np.int64)
+        for batch in _slices(batches):
+            cells = _Cells(batch.column(0), read, t, several)
+            for _, signature, _ in cells.role(SMALLER):
+                table += np.bincount((signature % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        table = np.minimum(table, 2**32 - 1).astype(np.uint32)
+        if table.any():
+            parts = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in table.reshape(PARTS, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                got = np.frombuffer(pa.decompress(data, BUCKETS // PARTS * 4, "zstd", asbytes=True), np.uint32).astype(np.int64)
+                sums[part] = sums[part] + got if part in sums else got
+        packed = [np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], ["part", "counts"])
+
+    schema = "part int, counts binary"
+    table = np.zeros((PARTS, BUCKETS // PARTS), np.uint32)
+    for r in spread(records.select(column)).mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():  # PARTS rows
+        table[r["part"]] = np.frombuffer(r["counts"], np.uint32)
+    return table.ravel()
+
+
+#: n_meet holds a record's size and, in the lowest three bits, how many offered cells a pair must share.
+_OFFERS = "cell long, id long, n_meet int, heavy boolean, irregular boolean, alike long"
+
+
+def _offers(records: DataFrame, column: str, read: Reader, t: Fraction, several: bool, sent, role: int) -> DataFrame:
+    """The cells that each record offers in a role: of those that others have too the rarest, as many as it must."""
+
+    def offer(batches):
+        table = sent.value
+        for batch in _slices(batches):
+            cells = _Cells(batch.column(1), read, t, several)
+            regular = cells.regular()
+            for record, signature, agree in cells.role(role):
+                meet = np.clip(agree, 1, MEET)
+                many = np.bincount(record, minlength=cells.rows) - np.maximum(agree, 0) + meet
+                count = table[(signature % np.uint64(BUCKETS)).astype(np.int64)]
+                order = np.lexsort((signature, count, record))
+                record, signature, count = record[order], signature[order], count[order]
+                first = np.searchsorted(record, np.arange(cells.rows))
+                kept = (np.arange(len(record)) - first[record] < many[record]) & (count > 1)
+                record, signature, count = record[kept], signature[kept], count[kept]
+                at = pa.array(record)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(signature.view(np.int64)),
+                        batch.column(0).take(at),
+                        pa.array((cells.n[record] * 8 + meet[record]).astype(np.int32)),
+                        pa.array(count > HEAVY),
+                        pa.array(~regular[record]),
+                        batch.column(2).take(at),
+                    ],
+                    ["cell", "id", "n_meet", "heavy", "irregular", "alike"],
+                )
+
+    return spread(records.select("id", column, "alike")).mapInArrow(offer, _OFFERS)
+
+
+def similar_pairs(
+    records: DataFrame, threshold: Fraction | float = Fraction(4, 5), alike: str | None = None, *, column: str = "tokens", read: Reader = token_sets
+) -> DataFrame:
     """(a, b, shared, either): all pairs of records, a < b, whose token sets have a Jaccard similarity of at least ``threshold``.
 
-    ``records`` has ``id`` (long, unique) and ``tokens`` (array of long). Repeated tokens count
-    once; records without tokens, null tokens and null ids take no part. Records should be
-    distinct: equal ones are pairs too. Pairs whose column ``alike`` holds the same value that
-    isn't null are not wanted and not made. The threshold must lie in (1/3, 1].
+    ``records`` has ``id`` (long, unique) and ``tokens`` (array of long), or another ``column``
+    from which ``read`` gets the tokens: (row, token) arrays in order of the rows, each token
+    once a row. It is read several times, so it should be stored. Repeated tokens count once;
+    records without tokens, null tokens and null ids take no part. Records should be distinct: equal
+    ones are pairs too. Pairs whose column ``alike`` holds the same value that isn't null are not
+    wanted and not made. The threshold must lie in (1/3, 1].
     """
     t = Fraction(threshold).limit_denominator(10_000)
     if not Fraction(1, 3) < t <= 1:
         raise ValueError("the threshold must lie in (1/3, 1]")
-    c = float((1 - t) / (1 + t))
-    keep = 1 - E - 2 * c
-    if keep <= 0:
-        raise ValueError("the threshold is too close to 1/3")
     kind = F.when(F.col(alike).isNotNull(), F.xxhash64(alike)) if alike else F.lit(None).cast("long")
-    rows = records.select("id", "tokens", kind.alias("alike")).where("id is not null and size(tokens) > 0")
-
-    def sketch(batches):
-        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-            n_rows = batch.num_rows
-            record, tokens = _sets(batch.column(1))
-            hashes = mix(tokens.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-            n = np.bincount(record, minlength=n_rows)
-            band = band_of(n)
-            own_record, own = cells_of(record, hashes, band[record])
-            # a partner of up to n/t tokens may lie one band up
-            upper = np.floor(n / float(t)) > FIRST * np.power(float(GROW), band)
-            guest_of = upper[record]
-            guest_record, guest = cells_of(record[guest_of], hashes[guest_of], band[record[guest_of]] + 1)
-            s = np.bincount(own_record, minlength=n_rows)
-            s_guest = np.where(upper, np.bincount(guest_record, minlength=n_rows), n)
-            regular = (s >= (1 - E) * n) & (s_guest >= (1 - E) * n)
-            floor = np.ceil(keep * n - 1e-9).astype(np.int64)
-            meet = np.minimum(MEET, floor)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(n.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(n_rows + 1, dtype=np.int32) * (BITS // 64)), pa.array(sketches(record, hashes, n_rows).ravel())),
-                    pa.array(meet.astype(np.int32)),
-                    pa.array((s - floor + meet).astype(np.int32)),
-                    _list(n_rows, own_record, own.view(np.int64)),
-                    pa.array((s_guest - floor + meet).astype(np.int32)),
-                    _list(n_rows, guest_record, guest.view(np.int64)),
-                    pa.array(regular),
-                    _list(n_rows, record, tokens),
-                    batch.column(2),
-                ],
-                ["id", "n", "bits", "meet", "offer", "cells", "guest_offer", "guest_cells", "regular", "tokens", "alike"],
-            )
-
-    schema = "id long, n int, bits array<long>, meet int, offer int, cells array<long>, guest_offer int, guest_cells array<long>, regular boolean, tokens array<long>, alike long"
-    base = stage(spread(rows).mapInArrow(sketch, schema).where("n > 0"), "sketches")
-    own = spread(base.select("id", "cells")).select("id", F.lit(0).alias("role"), F.explode("cells").alias("cell"))
-    guests = base.where(F.size("guest_cells") > 0).select("id", F.lit(1).alias("role"), F.explode("guest_cells").alias("cell"))
-    cells = own.unionByName(guests)
-    total = base.agg(F.coalesce(F.sum(F.size("cells") + F.size("guest_cells")), F.lit(0))).first()[0]
-    common = cells.groupBy("cell").agg(F.count("*").alias("df")).where("df > 1").withColumn("n", F.col("df"))
-    most = (1 << 63 - CELL_BITS) - 1
-    ranked = F.shiftleft(F.least("df", F.lit(most)), CELL_BITS).bitwiseOR(F.col("cell"))  # rare cells first, and one word a cell
-    shared = join_heavy(cells, common, ["cell"], total).select("id", "role", ranked.alias("ranked"))
-    ranked = shared.groupBy("id", "role").agg(F.sort_array(F.collect_list("ranked")).alias("in_order"))
-    one = [F.col(x) for x in ("id", "n", "meet", "alike")]
-    sizes = base.select(*one, F.lit(0).alias("role"), "offer", F.size("cells").alias("s")).unionByName(
-        base.where(F.size("guest_cells") > 0).select(*one, F.lit(1).alias("role"), F.col("guest_offer").alias("offer"), F.size("guest_cells").alias("s"))
-    )
-    # cells that no other record has come first in every order and so use up part of the offer
-    left = F.greatest(F.lit(0), F.col("offer") - (F.col("s") - F.size("in_order")))
-    offered = ranked.join(sizes, ["id", "role"]).select(*one, F.explode(F.slice("in_order", F.lit(1), left)).alias("x"))
-    offered = offered.select(*one, F.col("x").bitwiseAND((1 << CELL_BITS) - 1).alias("cell"), F.shiftright("x", CELL_BITS).alias("df"))
-    offered = stage(offered, "offered")
-    met = _meet(*[offered.where(F.col("df") <= HEAVY)] * 2, t, F.col("id_a") < F.col("id_b"))
-    heavy = offered.where(F.col("df") > HEAVY)
-    if not heavy.isEmpty():
-        met = met.unionByName(_meet_heavy(heavy, t))
-    pairs = met.groupBy("a", "b").agg(F.sum("part").alias("met")).where(F.col("met") >= WHOLE).select("a", "b")
-    odd = base.where(~F.col("regular"))
-    if not odd.isEmpty():
-        few = F.lit(1).alias("meet")
-        plain = [x.select("id", "n", few, "alike", F.explode("tokens").alias("cell")) for x in (odd, base)]
-        pairs = pairs.unionByName(_meet(*plain, t, F.col("id_a") != F.col("id_b")).select("a", "b")).distinct()
-    return _verify(pairs, base, t)
-
-
-def _meet(x: DataFrame, y: DataFrame, t: Fraction, order: Column) -> DataFrame:
-    """(a, b, part) for every common cell of two records whose sizes allow the threshold; enough cells make up WHOLE parts."""
-    columns = [c for c in ("id", "n", "meet", "alike", "major") if c in x.columns]
-    a, b = (side.select(*[F.col(c).alias(f"{c}_{k}") for c in columns], "cell") for side, k in ((x, "a"), (y, "b")))
-    fit = F.least("n_a", "n_b") * t.denominator >= F.greatest("n_a", "n_b") * t.numerator
-    met = a.join(b, "cell").where(fit & order & ~F.coalesce(F.col("alike_a") == F.col("alike_b"), F.lit(False)))
-    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), (WHOLE / F.least("meet_a", "meet_b")).cast("int").alias("part"))
-
-
-def _meet_heavy(heavy: DataFrame, t: Fraction) -> DataFrame:
+    base = records.select("id", column, kind.alias("alike")).where(F.col("id").isNotNull() & F.col(column).isNotNull())
+    several = t >= SEVERAL
+    pairs = _candidates(base, column, read, t, several)
+    if several:  # records in which no cell must agree meet all others in one-token cells
+        irregular = stage(_irregular(base, column, read, t), "irregular")
+        if not irregular.isEmpty():
+            odd = irregular.withColumn("odd", F.lit(True))
+            pairs = pairs.unionByName(_candidates(base, column, read, t, False, odd))
+    return _verify(stage(pairs.distinct() if several else pairs, "candidates"), base, column, read, t)
+
+
+def _irregular(base: DataFrame, column: str, read: Reader, t: Fraction) -> DataFrame:
+    def run(batches):
+        for batch in _slices(batches):
+            there = np.flatnonzero(~_Cells(batch.column(1), read, t, True).regular())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(there))], ["id"])
+
+    return spread(base.select("id", column)).mapInArrow(run, "id long")
+
+
+def _candidates(base: DataFrame, column: str, read: Reader, t: Fraction, several: bool, odd: DataFrame | None = None) -> DataFrame:
+    """(a, b) of the records that share enough offered cells; with ``odd`` one of them at least is among these."""
+    sent = base.sparkSession.sparkContext.broadcast(cell_counts(base, column, read, t, several))
+    smaller, larger = (_offers(base, column, read, t, several, sent, role) for role in (SMALLER, LARGER))
+    if several:
+        smaller, larger = (x.where("not irregular") for x in (smaller, larger))
+    sides = [x.drop("irregular") for x in (smaller, larger)]
+    if odd is None:
+        met = _meet(*[x.where("not heavy") for x in sides], t)
+        heavy = [x.where("heavy") for x in sides]
+        met = met.unionByName(_meet_heavy(*heavy, t)) if sent.value.max(initial=0) > HEAVY else met
+    else:
+        marked = [x.join(odd, "id", "left").withColumn("odd", F.col("odd").isNotNull()).drop("heavy") for x in sides]
+        met = _meet(marked[0].where("odd"), marked[1], t).unionByName(_meet(marked[0].where("not odd"), marked[1].where("odd"), t))
+    return met.groupBy("a", "b").agg(F.sum("part").alias("met")).where(F.col("met") >= WHOLE).select("a", "b")
+
+
+def _meet(smaller: DataFrame, larger: DataFrame, t: Fraction, more: Column | None = None, keys: tuple[str, ...] = ("cell",)) -> DataFrame:
+    """(a, b, part) for every common cell of two records whose sizes allow the threshold, the smaller one (of equal ones
+    the one with the smaller id) in the first role; enough cells make up WHOLE parts."""
+    a, b = (side.select(*[F.col(c).alias(f"{c}_{k}") for c in side.columns if c not in keys], *keys) for side, k in ((smaller, "a"), (larger, "b")))
+    n = {k: F.shiftright(f"n_meet_{k}", 3) for k in "ab"}
+    meet = F.least(*[F.col(f"n_meet_{k}").bitwiseAND(7) for k in "ab"])
+    order = (n["a"] < n["b"]) | ((n["a"] == n["b"]) & (F.col("id_a") < F.col("id_b")))
+    fit = n["a"].cast("long") * t.denominator >= n["b"].cast("long") * t.numerator
+    wanted = order & fit & ~F.coalesce(F.col("alike_a") == F.col("alike_b"), F.lit(False))
+    met = a.join(b, list(keys)).where(wanted if more is None else wanted & more)
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), (WHOLE / meet).cast("int").alias("part"))
+
+
+def _meet_heavy(smaller: DataFrame, larger: DataFrame, t: Fraction) -> DataFrame:
     """As ``_meet``, for cells of many records. Records of the value of ``alike`` that is most common
     in a cell aren't paired among themselves, so one of each pair is of another value: only those
-    are set against all."""
-    sizes = heavy.where("alike is not null").groupBy("cell", "alike").agg(F.count("*").alias("k"))
+    are set against all. Every cell is joined in SALTS parts of its second side."""
+    both = stage(smaller.withColumn("role", F.lit(SMALLER)).unionByName(larger.withColumn("role", F.lit(LARGER))).drop("heavy"), "heavy")
+    sizes = both.where("alike is not null").groupBy("cell", "alike").agg(F.count("*").alias("k"))
     most = sizes.groupBy("cell").agg(F.max_by("alike", F.struct("k", "alike")).alias("most"))
-    marked = stage(heavy.join(most, "cell", "left").withColumn("major", F.coalesce(F.col("alike") == F.col("most"), F.lit(False))).drop("most"), "heavy")
-    return _meet(marked.where(~F.col("major")), marked, t, F.col("major_b") | (F.col("id_a") < F.col("id_b")))
+    marked = both.join(most, "cell", "left").withColumn("major", F.coalesce(F.col("alike") == F.col("most"), F.lit(False))).drop("most")
+    marked = stage(marked, "marked")
+    a, b = (marked.where(F.col("role") == role).drop("role") for role in (SMALLER, LARGER))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    keys = ("cell", "salt")
+
+    def salted(x: DataFrame) -> DataFrame:
+        return x.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+
+    one = _meet(a.where("not major").withColumn("salt", salts), salted(b), t, None, keys)
+    return one.unionByName(_meet(salted(a.where("major")), b.where("not major").withColumn("salt", salts), t, None, keys))
+
+
+def _verify(pairs: DataFrame, base: DataFrame, column: str, read: Reader, t: Fraction) -> DataFrame:
+    """Candidates whose sketches are near enough and whose tokens are similar. Only records of candidates are looked at."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
+    kept = base.select("id", column).join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
+    def run(batches):
+        for batch in _slices(batches):
+            rows = batch.num_rows
+            record, tokens = read(batch.column(1))
+            with np.errstate(over="ignore"):
+                hashes = mix(tokens.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * (BITS // 64)), pa.array(sketches(record, hashes, rows).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(record, minlength=rows).astype(np.int32)), bits, _list(rows, record, tokens)], ["id", "n", "bits", "tokens"])
 
-def _verify(pairs: DataFrame, base: DataFrame, t: Fraction) -> DataFrame:
-    sides = [base.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab"]
+    met = stage(spread(kept).mapInArrow(run, "id long, n int, bits array<long>, tokens array<long>"), "sketches")
+    sides = [met.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab"]
     distance = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     most = (F.col("n_a") + F.col("n_b")) * (t.denominator - t.numerator)  # of the symmetric difference, times (den + num)
     near = pairs.join(sides[0], "a").join(sides[1], "b").where(distance * (t.denominator + t.numerator) <= most).select("a", "b")
     near = stage(near, "near")
-    tokens = [base.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("tokens").alias(f"tokens_{k}")) for k in "ab"]
+    tokens = [met.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("tokens").alias(f"tokens_{k}")) for k in "ab"]
     wide = near.join(tokens[0], "a").join(tokens[1], "b").withColumn("shared", F.size(F.array_intersect("tokens_a", "tokens_b")))
     wide = wide.withColumn("either", F.col("n_a") + F.col("n_b") - F.col("shared"))
     return wide.where(F.col("shared") * t.denominator >= F.col("either") * t.numerator).select("a", "b", "shared", "either")

@@ -169,25 +169,23 @@ def p5_shares(spark: SparkSession, sf: str) -> DataFrame:
 WINDOW = 5
 
 
-def windows(rows: DataFrame) -> DataFrame:
-    """(id, tokens, alike) of (id, sequence, alike): the distinct runs of WINDOW residues without X, as numbers."""
-
-    def run(batches):
-        place = 26 ** np.arange(WINDOW - 1, -1, -1)
-        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
-            out = []
-            for text in batch.column(1).to_pylist():
-                residues = np.frombuffer((text or "").encode(), np.uint8).astype(np.int64) - 65
-                if len(residues) < WINDOW:
-                    out.append(np.zeros(0, np.int64))
-                    continue
-                runs = np.lib.stride_tricks.sliding_window_view(residues, WINDOW)
-                out.append(np.unique((runs @ place)[(runs != 23).all(axis=1)]))
-            sizes = np.cumsum([0, *map(len, out)]).astype(np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), tokens, batch.column(2)], ["id", "tokens", "alike"])
-
-    return spread(rows.select("id", "sequence", "alike")).mapInArrow(run, "id long, tokens array<long>, alike string")
+def windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, window) of a column of residues: the distinct runs of WINDOW letters without X, as numbers, in order."""
+    data = pa.array(column.fill_null("")) if column.null_count else column
+    sizes = np.diff(np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1])
+    start = np.frombuffer(data.buffers()[1], np.int32)[data.offset]
+    total = int(sizes.sum())
+    if total < WINDOW:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    letters = np.frombuffer(data.buffers()[2], np.uint8)[start : start + total].astype(np.int64) - 65
+    row = np.repeat(np.arange(len(data)), sizes)
+    code, clean = np.zeros(total - WINDOW + 1, np.int64), row[: total - WINDOW + 1] == row[WINDOW - 1 :]
+    for k in range(WINDOW):
+        part = letters[k : total - WINDOW + 1 + k]
+        code = code * 26 + part
+        clean &= part != 23
+    both = np.unique(row[: len(code)][clean] * 26**WINDOW + code[clean])
+    return both // 26**WINDOW, both % 26**WINDOW
 
 
 def residues(c: Column) -> Column:
@@ -206,9 +204,9 @@ def _sequences(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     distinct, members = _sequences(spark, sf)
     members = stage(members, "members")
-    tokens = stage(windows(distinct), "windows")  # so that no stage needs the workers of two Python functions
-    pairs = similar_pairs(tokens, Fraction(1, 2), "alike").select("a", "b")
-    own = tokens.where("alike is null and size(tokens) > 0").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    pairs = similar_pairs(distinct, Fraction(1, 2), "alike", column="sequence", read=windows).select("a", "b")
+    whole = F.col("sequence").rlike(f"[A-WYZ]{{{WINDOW}}}")  # has a window
+    own = distinct.where(F.col("alike").isNull() & whole).select(F.col("id").alias("a"), F.col("id").alias("b"))
     sides = [members.select(F.col("id").alias(k), F.col("cluster_id").alias(f"cluster_{k}")) for k in "ab"]
     found = pairs.unionByName(own).join(sides[0], "a").join(sides[1], "b").where("cluster_a <> cluster_b")
     return found.select(F.least("cluster_a", "cluster_b").alias("cluster_a"), F.greatest("cluster_a", "cluster_b").alias("cluster_b")).distinct()
@@ -223,7 +221,7 @@ def p3_sequences(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "entity_sequences").select("row_id", residues(F.col("sequence")).alias("sequence"))
     distinct = rows.where("sequence <> ''").select("sequence", F.lit(None).cast("string").alias("alike")).distinct()
     distinct = stage(distinct.withColumn("id", F.monotonically_increasing_id()), "sequences")
-    pairs = stage(similar_pairs(stage(windows(distinct), "windows"), Fraction(1, 2)).select("a", "b"), "links")
+    pairs = stage(similar_pairs(distinct, Fraction(1, 2), column="sequence", read=windows).select("a", "b"), "links")
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
     classes = distinct.join(ends, "id", "left").select("sequence", F.sha2("sequence", 256).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     return rows.join(classes, "sequence", "left").select("row_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))

@@ -4,10 +4,11 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pairloom.llm import parity
-from pairloom.llm.parity import band_of, cells_of, mix, similar_pairs, sketches
+from pairloom.llm.parity import _Cells, band_of, cells_of, mix, similar_pairs, sketches, token_sets
 
 SETS = "id long, tokens array<long>, alike string"
 
@@ -36,7 +37,7 @@ def found(spark, rows, t, alike=None):
     return {(r["a"], r["b"]): (r["shared"], r["either"]) for r in similar_pairs(df, t, alike).collect()}
 
 
-@pytest.mark.parametrize("t", [Fraction(1, 2), Fraction(4, 5), Fraction(2, 5), Fraction(1)])
+@pytest.mark.parametrize("t", [Fraction(1, 2), Fraction(4, 5), Fraction(2, 5), Fraction(9, 10), Fraction(1)])
 def test_all_pairs(spark, t):
     rng = random.Random(8)
     for kinds, most in ((40, 6), (3000, 60)):
@@ -44,22 +45,61 @@ def test_all_pairs(spark, t):
         assert found(spark, rows, t) == brute(rows, t)
 
 
-def test_pairs_across_bands(spark, monkeypatch):
+@pytest.mark.parametrize("t", [Fraction(1, 2), Fraction(4, 5)])
+def test_pairs_across_bands(spark, monkeypatch, t):
     monkeypatch.setattr(parity, "FIRST", 8)
-    monkeypatch.setattr(parity, "GROW", 2)
     rng = random.Random(9)
     rows = list(enumerate(sets(rng, 120, 500, 50)))
-    assert found(spark, rows, Fraction(1, 2)) == brute(rows, Fraction(1, 2))
+    assert found(spark, rows, t) == brute(rows, t)
 
 
-def test_records_that_are_not_regular(spark, monkeypatch):
-    """So few cells that most tokens share one: those records meet on plain tokens."""
-    monkeypatch.setattr(parity, "FIRST", 16)
-    monkeypatch.setattr(parity, "CELLS", 1)
-    monkeypatch.setattr(parity, "GROW", 64)
+def test_records_whose_tokens_fall_together(spark, monkeypatch):
+    """So few cells that no cell must agree: those records meet in one-token cells."""
     rng = random.Random(10)
     rows = list(enumerate(sets(rng, 80, 300, 16)))
-    assert found(spark, rows, Fraction(1, 2)) == brute(rows, Fraction(1, 2))
+    monkeypatch.setattr(parity, "FIRST", 16)
+    monkeypatch.setattr(parity, "PER", 8)
+    odd = [i for i, s in rows if not _Cells(pa.array([sorted(s)]), token_sets, Fraction(4, 5), True).regular()[0]]
+    assert 10 < len(odd) < 80
+    assert found(spark, rows, Fraction(4, 5)) == brute(rows, Fraction(4, 5))
+
+
+def test_cells_of_several_tokens_are_rarer(monkeypatch):
+    """Records that share many common tokens by chance agree in fewer cells if a cell holds several."""
+    rng = random.Random(11)
+    column = pa.array([sorted(rng.sample(range(200), 64)) for _ in range(200)])
+    met = {}
+    for several in (False, True):
+        cells = _Cells(column, token_sets, Fraction(4, 5), several)
+        record, signature, agree = next(cells.role(parity.SMALLER))
+        assert (agree > 0).all() and cells.regular().all()
+        assert (len(record) < 0.6 * cells.n.sum()) == several
+        _, counts = np.unique(signature, return_counts=True)
+        met[several] = int((counts * (counts - 1)).sum())
+    assert met[True] < met[False] / 5
+
+
+@pytest.mark.parametrize("t", [Fraction(1, 2), Fraction(4, 5), Fraction(9, 10)])
+@pytest.mark.parametrize("several", [False, True])
+def test_cells_that_must_agree_do(t, several):
+    rng = random.Random(13)
+    if several and t < parity.SEVERAL:
+        return
+    for _ in range(300):
+        a = {rng.randrange(10_000) for _ in range(rng.randint(1, 90))}
+        b = set(a)
+        for x in rng.sample(sorted(a), rng.randint(0, len(a) // 3)):
+            b.discard(x)
+        b |= {rng.randrange(10_000) for _ in range(rng.randint(0, len(a) // 4))}
+        if not b or len(a & b) * t.denominator < len(a | b) * t.numerator:
+            continue
+        a, b = sorted((a, b), key=len)
+        cells = _Cells(pa.array([sorted(a), sorted(b)]), token_sets, t, several)
+        small = {int(x) for r, s, _ in cells.role(parity.SMALLER) for x in s[r == 0]}
+        least = min(int(g[0]) for _, _, g in cells.role(parity.SMALLER))
+        record, signature, agree = next(cells.role(parity.LARGER))
+        large = {int(x) for x in signature[record == 1]}
+        assert len(small & large) >= max(least, int(agree[1]))
 
 
 def test_alike_nulls_repeats_empty_and_bounds(spark):
@@ -102,4 +142,4 @@ def test_sketch_bounds_the_difference():
         owner, signature = cells_of(record, hashes, np.zeros(len(record), np.int64))
         mine, other = set(signature[owner == 0]), set(signature[owner == 1])
         assert len(mine - other) <= len(a ^ b)
-    assert band_of(np.array([1, 1024, 1025, 16384, 16385])).tolist() == [0, 0, 1, 1, 2]
+    assert band_of(np.array([1, 32, 33, 64, 65, 129])).tolist() == [0, 0, 1, 1, 2, 3]
