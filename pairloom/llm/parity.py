@@ -43,7 +43,7 @@ BUCKETS, PARTS = 1 << 21, 64
 #: Cells that so many records or more share (by their bucket) are joined in SALTS parts (see ``_meet_heavy``).
 HEAVY, SALTS = 500, 16
 #: Records worked on at a time.
-SLICE = 2000
+SLICE = 2_000
 #: Up to so many candidates are sent to the records; more are joined.
 BROADCAST_PAIRS = 1_000_000
 SMALLER, LARGER = 0, 1
@@ -163,6 +163,10 @@ def _slices(batches) -> Iterator[pa.RecordBatch]:
     return (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE))
 
 
+def _bucket(signature: np.ndarray) -> np.ndarray:
+    return (signature & np.uint64(BUCKETS - 1)).view(np.int64)
+
+
 def cell_counts(records: DataFrame, column: str, read: Reader, t: Fraction, several: bool) -> np.ndarray:
     """In how many cells each of BUCKETS buckets occurs, over all records.
 
@@ -171,10 +175,18 @@ def cell_counts(records: DataFrame, column: str, read: Reader, t: Fraction, seve
 
     def count(batches):
         table = np.zeros(BUCKETS, np.int64)
+        waiting: list[np.ndarray] = []
+
+        def note(least: int) -> None:
+            if sum(map(len, waiting)) >= least:
+                table[:] += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
+                waiting.clear()
+
         for batch in _slices(batches):
-            cells = _Cells(batch.column(0), read, t, several)
-            for _, signature, _ in cells.role(SMALLER):
-                table += np.bincount((signature % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+            for _, signature, _ in _Cells(batch.column(0), read, t, several).role(SMALLER):
+                waiting.append(_bucket(signature))
+            note(2 * BUCKETS)
+        note(1)
         table = np.minimum(table, 2**32 - 1).astype(np.uint32)
         if table.any():
             parts = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in table.reshape(PARTS, -1)]
@@ -197,38 +209,43 @@ def cell_counts(records: DataFrame, column: str, read: Reader, t: Fraction, seve
 
 
 #: n_meet holds a record's size and, in the lowest three bits, how many offered cells a pair must share.
-_OFFERS = "cell long, id long, n_meet int, heavy boolean, irregular boolean, alike long"
+_OFFERS = "role int, cell long, id long, n_meet int, alike long"
 
 
-def _offers(records: DataFrame, column: str, read: Reader, t: Fraction, several: bool, sent, role: int) -> DataFrame:
-    """The cells that each record offers in a role: of those that others have too the rarest, as many as it must."""
+def _offers(records: DataFrame, column: str, read: Reader, t: Fraction, several: bool, sent, roles: tuple[int, ...], heavy: bool) -> DataFrame:
+    """The cells that each record offers in its roles: of those that others have too the rarest, as many as it must.
+    Only those of buckets with more than HEAVY cells are given, or only the others. Records in which no cell must agree offer none."""
 
     def offer(batches):
         table = sent.value
         for batch in _slices(batches):
             cells = _Cells(batch.column(1), read, t, several)
-            regular = cells.regular()
-            for record, signature, agree in cells.role(role):
-                meet = np.clip(agree, 1, MEET)
-                many = np.bincount(record, minlength=cells.rows) - np.maximum(agree, 0) + meet
-                count = table[(signature % np.uint64(BUCKETS)).astype(np.int64)]
-                order = np.lexsort((signature, count, record))
-                record, signature, count = record[order], signature[order], count[order]
-                first = np.searchsorted(record, np.arange(cells.rows))
-                kept = (np.arange(len(record)) - first[record] < many[record]) & (count > 1)
-                record, signature, count = record[kept], signature[kept], count[kept]
-                at = pa.array(record)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(signature.view(np.int64)),
-                        batch.column(0).take(at),
-                        pa.array((cells.n[record] * 8 + meet[record]).astype(np.int32)),
-                        pa.array(count > HEAVY),
-                        pa.array(~regular[record]),
-                        batch.column(2).take(at),
-                    ],
-                    ["cell", "id", "n_meet", "heavy", "irregular", "alike"],
-                )
+            regular = cells.regular() if several else None
+            for role in roles:
+                for record, signature, agree in cells.role(role):
+                    meet = np.clip(agree, 1, MEET)
+                    many = np.bincount(record, minlength=cells.rows) - np.maximum(agree, 0) + meet
+                    if several:
+                        many = np.where(regular, many, 0)
+                    count = np.minimum(table[_bucket(signature)], 2**20 - 1).astype(np.uint64)
+                    # one word a cell: by record, then rarest first, then in the order of cells, which is the same for all records
+                    words = np.sort(record.astype(np.uint64) << np.uint64(50) | count << np.uint64(30) | np.arange(len(record), dtype=np.uint64))
+                    at, count = (words & np.uint64(2**30 - 1)).view(np.int64), words >> np.uint64(30) & np.uint64(2**20 - 1)
+                    record, signature = record[at], signature[at]
+                    first = np.searchsorted(record, np.arange(cells.rows))
+                    kept = (np.arange(len(record)) - first[record] < many[record]) & (count > 1) & ((count > HEAVY) == heavy)
+                    record = record[kept]
+                    own = pa.array(record)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(record), role, np.int32)),
+                            pa.array(signature[kept].view(np.int64)),
+                            batch.column(0).take(own),
+                            pa.array((cells.n[record] * 8 + meet[record]).astype(np.int32)),
+                            batch.column(2).take(own),
+                        ],
+                        ["role", "cell", "id", "n_meet", "alike"],
+                    )
 
     return spread(records.select("id", column, "alike")).mapInArrow(offer, _OFFERS)
 
@@ -272,16 +289,16 @@ def _irregular(base: DataFrame, column: str, read: Reader, t: Fraction) -> DataF
 def _candidates(base: DataFrame, column: str, read: Reader, t: Fraction, several: bool, odd: DataFrame | None = None) -> DataFrame:
     """(a, b) of the records that share enough offered cells; with ``odd`` one of them at least is among these."""
     sent = base.sparkSession.sparkContext.broadcast(cell_counts(base, column, read, t, several))
-    smaller, larger = (_offers(base, column, read, t, several, sent, role) for role in (SMALLER, LARGER))
-    if several:
-        smaller, larger = (x.where("not irregular") for x in (smaller, larger))
-    sides = [x.drop("irregular") for x in (smaller, larger)]
+    sides = [_offers(base, column, read, t, several, sent, (role,), False).drop("role") for role in (SMALLER, LARGER)]
+    heavy = stage(_offers(base, column, read, t, several, sent, (SMALLER, LARGER), True), "heavy") if sent.value.max(initial=0) > HEAVY else None
     if odd is None:
-        met = _meet(*[x.where("not heavy") for x in sides], t)
-        heavy = [x.where("heavy") for x in sides]
-        met = met.unionByName(_meet_heavy(*heavy, t)) if sent.value.max(initial=0) > HEAVY else met
+        met = _meet(*sides, t)
+        if heavy is not None and not heavy.isEmpty():
+            met = met.unionByName(_meet_heavy(heavy, t))
     else:
-        marked = [x.join(odd, "id", "left").withColumn("odd", F.col("odd").isNotNull()).drop("heavy") for x in sides]
+        if heavy is not None:
+            sides = [x.unionByName(heavy.where(F.col("role") == role).drop("role")) for x, role in zip(sides, (SMALLER, LARGER))]
+        marked = [x.join(odd, "id", "left").withColumn("odd", F.col("odd").isNotNull()) for x in sides]
         met = _meet(marked[0].where("odd"), marked[1], t).unionByName(_meet(marked[0].where("not odd"), marked[1].where("odd"), t))
     return met.groupBy("a", "b").agg(F.sum("part").alias("met")).where(F.col("met") >= WHOLE).select("a", "b")
 
@@ -299,11 +316,10 @@ def _meet(smaller: DataFrame, larger: DataFrame, t: Fraction, more: Column | Non
     return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), (WHOLE / meet).cast("int").alias("part"))
 
 
-def _meet_heavy(smaller: DataFrame, larger: DataFrame, t: Fraction) -> DataFrame:
+def _meet_heavy(both: DataFrame, t: Fraction) -> DataFrame:
     """As ``_meet``, for cells of many records. Records of the value of ``alike`` that is most common
     in a cell aren't paired among themselves, so one of each pair is of another value: only those
     are set against all. Every cell is joined in SALTS parts of its second side."""
-    both = stage(smaller.withColumn("role", F.lit(SMALLER)).unionByName(larger.withColumn("role", F.lit(LARGER))).drop("heavy"), "heavy")
     sizes = both.where("alike is not null").groupBy("cell", "alike").agg(F.count("*").alias("k"))
     most = sizes.groupBy("cell").agg(F.max_by("alike", F.struct("k", "alike")).alias("most"))
     marked = both.join(most, "cell", "left").withColumn("major", F.coalesce(F.col("alike") == F.col("most"), F.lit(False))).drop("most")
