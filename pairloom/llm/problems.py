@@ -167,6 +167,7 @@ def p5_shares(spark: SparkSession, sf: str) -> DataFrame:
 # p3: clusters whose sequences are nearly the same
 
 WINDOW = 5
+BITS_OF_WINDOW = (26**WINDOW).bit_length()
 
 
 def windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -184,8 +185,11 @@ def windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         part = letters[k : total - WINDOW + 1 + k]
         code = code * 26 + part
         clean &= part != 23
-    both = np.unique(row[: len(code)][clean] * 26**WINDOW + code[clean])
-    return both // 26**WINDOW, both % 26**WINDOW
+    both = np.sort((row[: len(code)] << BITS_OF_WINDOW | code)[clean])
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    both = both[new]
+    return both >> BITS_OF_WINDOW, both & (1 << BITS_OF_WINDOW) - 1
 
 
 def residues(c: Column) -> Column:
