@@ -203,7 +203,7 @@ def cell_counts(records: DataFrame, column: str, read: Reader, t: Fraction, seve
 
     schema = "part int, counts binary"
     table = np.zeros((PARTS, BUCKETS // PARTS), np.uint32)
-    for r in spread(records.select(column)).mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():  # PARTS rows
+    for r in records.select(column).mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():  # PARTS rows
         table[r["part"]] = np.frombuffer(r["counts"], np.uint32)
     return table.ravel()
 
@@ -247,7 +247,7 @@ def _offers(records: DataFrame, column: str, read: Reader, t: Fraction, several:
                         ["role", "cell", "id", "n_meet", "alike"],
                     )
 
-    return spread(records.select("id", column, "alike")).mapInArrow(offer, _OFFERS)
+    return records.select("id", column, "alike").mapInArrow(offer, _OFFERS)
 
 
 def similar_pairs(
@@ -257,7 +257,7 @@ def similar_pairs(
 
     ``records`` has ``id`` (long, unique) and ``tokens`` (array of long), or another ``column``
     from which ``read`` gets the tokens: (row, token) arrays in order of the rows, each token
-    once a row. It is read several times, so it should be stored. Repeated tokens count once;
+    once a row. It is read several times, so it should be stored, spread over the cores. Repeated tokens count once;
     records without tokens, null tokens and null ids take no part. Records should be distinct: equal
     ones are pairs too. Pairs whose column ``alike`` holds the same value that isn't null are not
     wanted and not made. The threshold must lie in (1/3, 1].
@@ -283,7 +283,7 @@ def _irregular(base: DataFrame, column: str, read: Reader, t: Fraction) -> DataF
             there = np.flatnonzero(~_Cells(batch.column(1), read, t, True).regular())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(there))], ["id"])
 
-    return spread(base.select("id", column)).mapInArrow(run, "id long")
+    return base.select("id", column).mapInArrow(run, "id long")
 
 
 def _candidates(base: DataFrame, column: str, read: Reader, t: Fraction, several: bool, odd: DataFrame | None = None) -> DataFrame:
