@@ -7,16 +7,25 @@ modelled count.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.residues import mask
 from pairloom.functions.text import after_last, before_last, split_ids
+from pairloom.functions.variants import truthy_text
+from pairloom.operators import candidates as cand
 from pairloom.operators import profile
 from pairloom.operators.clustering import greedy
-from pairloom.operators.fasta import group_sequences, several_clusters
+from pairloom.operators.extraction import first_entities, overflow
+from pairloom.operators.fasta import fasta_records, group_sequences, several_clusters, write_fasta
 from pairloom.operators.ordinals import with_ordinal
 from pairloom.operators.representatives import select_representatives
+from pairloom.plans import curation
+from pairloom.session import shared_dir, stage
+from pairloom.sources import archive
+from pairloom.sources.mmcif import parse_structures
 from pairloom.sources.tsv import read_tsv, write_tsv
 
 QUERIES = {}
@@ -37,39 +46,48 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_CONDITIONS = [("l_returnflag", "exact_match", "R"), ("l_linestatus", "exact_match", "F"), ("l_quantity", "less", 25)]
+
+
 @query("""
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM lineitem
 WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity < 25
 """)
 def q01_conjunction(spark, sf):
-    rows = table(spark, sf, "lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (F.col("l_quantity") < 25))
+    """A search of three conditions, evaluated on rows."""
+    rows = table(spark, sf, "lineitem").where(archive.as_column(archive.conjunction([archive.condition(*c) for c in _CONDITIONS])))
     return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
 
 
-def _optional(rows: DataFrame, strict: bool) -> DataFrame:
-    rows = rows.where((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (F.col("l_quantity") < 25))
-    return rows.where("l_discount = 0") if strict else rows
-
-
 @query("""
 SELECT false AS strict, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity < 25
 UNION ALL
 SELECT true, count(*) FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity < 25 AND l_discount = 0
 """)
 def q02_optional_condition(spark, sf):
+    """The same with and without one more condition."""
     rows = table(spark, sf, "lineitem")
-    parts = [_optional(rows, x).agg(F.count("*").alias("n")).select(F.lit(x).alias("strict"), "n") for x in (False, True)]
-    return parts[0].unionByName(parts[1])
+    leaves = [archive.condition(*c) for c in _CONDITIONS]
+    more = archive.condition("l_discount", "equals", 0)
+    parts = [(x, rows.where(archive.as_column(archive.conjunction(leaves + [more] * x)))) for x in (False, True)]
+    counts = [part.agg(F.count("*").alias("n")).select(F.lit(x).alias("strict"), "n") for x, part in parts]
+    return counts[0].unionByName(counts[1])
 
 
-@query("SELECT DISTINCT upper(c_mktsegment) AS segment FROM customer ORDER BY 1")
+@query("SELECT DISTINCT upper(c_mktsegment) AS assembly_id FROM customer WHERE c_mktsegment <> '' ORDER BY 1")
 def q03_distinct_ids(spark, sf):
-    return table(spark, sf, "customer").select(F.upper("c_mktsegment").alias("segment")).distinct().orderBy("segment")
+    return archive.distinct_ids(table(spark, sf, "customer"), "c_mktsegment")
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+@query("""
+SELECT ((k - 1) // 8 + 1)::bigint AS batch_no, id AS assembly_id FROM (
+  SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT DISTINCT upper(c_name) AS id FROM customer)
+) WHERE k <= 100
+""")
 def q04_ordered_limit(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
+    """The first hundred ids in batches of eight."""
+    first = archive.limit_ids(archive.distinct_ids(table(spark, sf, "customer"), "c_name"), 100)
+    return archive.batches(first, 8).select("batch_no", F.explode("ids").alias("assembly_id"))
 
 
 @query("""
@@ -93,46 +111,66 @@ def q06_split_ids(spark, sf):
 
 @query("SELECT vec_id, coalesce(list_min(list_filter(embedding, lambda x: NOT isnan(x)))::double, 'infinity'::double) AS least FROM embeddings")
 def q07_least_or_infinity(spark, sf):
-    least = F.array_min(F.filter("embedding", lambda x: ~F.isnan(x))).cast("double")
-    return table(spark, sf, "embeddings").select("vec_id", F.coalesce(least, F.lit(float("inf"))).alias("least"))
+    """A vector as a document's list of resolutions."""
+    rows = table(spark, sf, "embeddings").withColumn("resolution_combined", F.col("embedding").cast("array<double>"))
+    doc = F.to_json(F.struct(F.struct(F.struct("resolution_combined").alias("rcsb_entry_info")).alias("entry")))
+    return rows.select("vec_id", cand.resolution(F.parse_json(doc)).alias("least"))
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """(l_orderkey, lines): an order's lines in order, each with its supplier's nation."""
+    nations = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey", "n_name")
+    rows = table(spark, sf, "lineitem").join(nations, "l_suppkey")
+    fields = ["l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("l_quantity"), "l_returnflag", "s_nationkey", "n_name"]
+    return rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("lines"))  # an order's own lines
+
+
+_LINES = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey"
 
 
-@query("SELECT l_orderkey, string_agg(l_returnflag, ';' ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS flags FROM lineitem GROUP BY l_orderkey")
+@query(f"SELECT l_orderkey, string_agg(l_returnflag, ';' ORDER BY i) AS flags FROM ({_LINES}) GROUP BY l_orderkey")
 def q08_ordered_join(spark, sf):
-    listed = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")))
-    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(listed, lambda x: x["l_returnflag"]), ";").alias("flags"))
-    return rows
+    """An order's flags as a document's list of methods."""
+    doc = F.to_json(F.struct(F.struct(F.struct(F.col("lines.l_returnflag").alias("experimental_method")).alias("rcsb_entry_info")).alias("entry")))
+    return _lines(spark, sf).select("l_orderkey", cand.method(F.parse_json(doc)).alias("flags"))
 
 
-@query("""
-WITH hit AS (
-  SELECT user_id, arg_min(event_id, row(ts, event_id)) AS first_id FROM events WHERE event_type = 'purchase' AND value >= 50 GROUP BY user_id
-), users AS (SELECT DISTINCT user_id FROM events)
-SELECT user_id, coalesce(first_id::varchar, 'singleton:' || user_id::varchar) AS group_id FROM users LEFT JOIN hit USING (user_id)
+@query(f"""
+SELECT l_orderkey, coalesce('P' || arg_min(l_partkey, i) FILTER (WHERE l_returnflag = 'R' AND l_quantity >= 25), 'singleton:O' || l_orderkey) AS cluster FROM ({_LINES}) GROUP BY l_orderkey
 """)
 def q09_first_match_or_singleton(spark, sf):
-    events = table(spark, sf, "events")
-    fits = (F.col("event_type") == "purchase") & (F.col("value") >= 50)
-    first = F.min_by(F.when(fits, F.col("event_id")), F.when(fits, F.struct("ts", "event_id")))
-    return events.groupBy("user_id").agg(first.alias("first_id")).select(
-        "user_id", F.coalesce(F.col("first_id").cast("string"), F.concat(F.lit("singleton:"), F.col("user_id").cast("string"))).alias("group_id")
+    """An order's lines as the group memberships of an entity."""
+    member = F.transform(
+        "lines",
+        lambda x: F.struct(
+            F.when(x["l_returnflag"] == "R", "sequence_identity").otherwise("other").alias("aggregation_method"),
+            F.when(x["l_quantity"] >= 25, F.lit(100)).otherwise(F.lit(90)).alias("similarity_cutoff"),
+            F.concat(F.lit("P"), x["l_partkey"]).alias("group_id"),
+        ),
     )
+    entity = F.to_json(F.struct(F.concat(F.lit("O"), "l_orderkey").alias("rcsb_id"), member.alias("rcsb_polymer_entity_group_membership")))
+    return _lines(spark, sf).select("l_orderkey", cand.cluster(F.parse_json(entity)).alias("cluster"))
 
 
-@query("""
-WITH a AS (
-  SELECT l_orderkey, string_agg(DISTINCT l_suppkey::varchar, ';' ORDER BY l_suppkey::varchar) FILTER (WHERE l_returnflag = 'R') AS main,
-         string_agg(DISTINCT l_suppkey::varchar, ';' ORDER BY l_suppkey::varchar) FILTER (WHERE l_returnflag = 'A') AS other
-  FROM lineitem GROUP BY l_orderkey
-) SELECT l_orderkey, coalesce(main, other, '') AS accessions FROM a
+@query(f"""
+SELECT l_orderkey, coalesce(string_agg(DISTINCT l_suppkey::varchar, ';' ORDER BY l_suppkey::varchar) FILTER (WHERE l_returnflag = 'R'),
+  string_agg(DISTINCT l_suppkey::varchar, ';' ORDER BY l_suppkey::varchar) FILTER (WHERE l_returnflag = 'A'), '') AS accessions,
+  string_agg(DISTINCT n_name, ';' ORDER BY n_name) AS species, coalesce(string_agg(DISTINCT s_nationkey::varchar, ';' ORDER BY s_nationkey::varchar) FILTER (WHERE s_nationkey <> 0), '') AS taxonomy
+FROM ({_LINES}) GROUP BY l_orderkey
 """)
 def q10_set_with_fallback(spark, sf):
-    name = F.col("l_suppkey").cast("string")
-    per = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.collect_set(F.when(F.col("l_returnflag") == "R", name)).alias("main"), F.collect_set(F.when(F.col("l_returnflag") == "A", name)).alias("other")
+    """An order's suppliers as the accessions of an entity, its nations as organisms."""
+    def part(flag: str, build):
+        return F.transform(F.filter("lines", lambda x: x["l_returnflag"] == flag), lambda x: build(x["l_suppkey"].cast("string")))
+
+    entity = F.struct(
+        part("R", lambda v: F.struct(F.struct(v.alias("uniprot_id")).alias("rcsb_uniprot_container_identifiers"))).alias("uniprots"),
+        F.struct(part("A", lambda v: F.struct(F.lit("UniProt").alias("database_name"), v.alias("database_accession"))).alias("reference_sequence_identifiers")).alias("rcsb_polymer_entity_container_identifiers"),
+        F.transform("lines", lambda x: F.struct(x["n_name"].alias("ncbi_scientific_name"), x["s_nationkey"].alias("ncbi_taxonomy_id"))).alias("rcsb_entity_source_organism"),
     )
-    chosen = F.when(F.size("main") > 0, F.col("main")).otherwise(F.col("other"))
-    return per.select("l_orderkey", F.array_join(F.array_sort(chosen), ";").alias("accessions"))
+    read = _lines(spark, sf).select("l_orderkey", F.parse_json(F.to_json(entity)).alias("e"))
+    e = F.col("e")
+    return read.select("l_orderkey", cand.accessions(e).alias("accessions"), cand.organisms(e, "ncbi_scientific_name").alias("species"), cand.organisms(e, "ncbi_taxonomy_id").alias("taxonomy"))
 
 
 _DIMERS = """
@@ -150,9 +188,66 @@ def _dimers(spark: SparkSession, sf: str) -> DataFrame:
     return per.where("n = 2").select("l_orderkey", "entity_1", "entity_2", kind.alias("dimer_type"), "modeled")
 
 
-@query(_DIMERS)
+def _name(suppkey) -> F.Column:
+    """The entity that a supplier plays: its number is one of three."""
+    return F.concat(F.lit("S"), suppkey, F.lit("_"), suppkey % 3 + 1)
+
+
+def _derived(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order as an assembly document, derived: lines are chains, suppliers entities (every tenth no protein)."""
+    def entity(x, i):
+        own = x["s_nationkey"] % 5 != 0
+        member = F.struct(F.lit("sequence_identity").alias("aggregation_method"), F.lit(100).alias("similarity_cutoff"), F.concat(F.lit("N"), x["s_nationkey"]).alias("group_id"))
+        return F.struct(
+            _name(x["l_suppkey"]).alias("rcsb_id"),
+            F.struct(F.when(x["l_suppkey"] % 10 == 3, "RNA").otherwise("Protein (only)").alias("rcsb_entity_polymer_type")).alias("entity_poly"),
+            F.struct(F.array(F.concat(F.lit("C"), i)).alias("asym_ids")).alias("rcsb_polymer_entity_container_identifiers"),
+            F.array(F.struct(F.concat(x["l_returnflag"], x["l_partkey"]).alias("rcsb_id"))).alias("uniprots"),
+            F.array(F.struct(x["n_name"].alias("ncbi_scientific_name"), x["s_nationkey"].alias("ncbi_taxonomy_id"))).alias("rcsb_entity_source_organism"),
+            F.when(own, F.array(member)).alias("rcsb_polymer_entity_group_membership"),
+        )
+
+    prices = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")
+    n = F.size("lines")
+    doc = F.struct(
+        F.concat(F.lit("o"), "l_orderkey", F.lit("-1")).alias("rcsb_id"),
+        F.struct(
+            F.aggregate("lines", F.lit(0), lambda a, x: a + x["l_quantity"]).alias("modeled_polymer_monomer_count"), n.alias("polymer_entity_instance_count"), n.alias("polymer_entity_instance_count_protein")
+        ).alias("rcsb_assembly_info"),
+        F.struct(n.cast("string").alias("oligomeric_count")).alias("pdbx_struct_assembly"),
+        F.array(F.struct(F.array_join(F.transform("lines", lambda x, i: F.concat(F.lit("C"), i)), ", ").alias("asym_id_list"))).alias("pdbx_struct_assembly_gen"),
+        F.struct(
+            F.struct(F.array("o_totalprice").alias("resolution_combined"), F.col("lines.l_returnflag").alias("experimental_method")).alias("rcsb_entry_info"), F.transform("lines", entity).alias("polymer_entities")
+        ).alias("entry"),
+    )
+    return cand.derive(_lines(spark, sf).join(prices, "l_orderkey").select(F.to_json(doc).alias("payload")), files_base="f")
+
+
+_DERIVED = f"""
+lines AS ({_LINES}), orders_of AS (
+  SELECT l_orderkey, count(*) AS n, sum(l_quantity::int)::int AS modeled, string_agg(l_returnflag, ';' ORDER BY i) AS flags, any_value(o_totalprice) AS price FROM lines JOIN orders ON o_orderkey = l_orderkey GROUP BY 1
+), entities AS (
+  SELECT l_orderkey, 'S' || l_suppkey || '_' || (l_suppkey % 3 + 1) AS id, CASE s_nationkey % 5 WHEN 0 THEN 'singleton:S' || l_suppkey || '_' || (l_suppkey % 3 + 1) ELSE 'N' || s_nationkey END AS cluster,
+    l_returnflag || l_partkey AS uniprot, n_name AS species, CASE s_nationkey WHEN 0 THEN '' ELSE s_nationkey::varchar END AS taxonomy
+  FROM lines JOIN orders_of USING (l_orderkey) WHERE n = 2 AND l_suppkey % 10 <> 3 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY i DESC) = 1
+), pairs AS (
+  SELECT l_orderkey, count(*) AS k, min(id) AS entity_1, max(id) AS entity_2, arg_min(cluster, id) AS c1, arg_max(cluster, id) AS c2, arg_min(uniprot, id) || '|' || arg_max(uniprot, id) AS uniprot_pair,
+    arg_min(species, id) || '|' || arg_max(species, id) AS species_pair, arg_min(taxonomy, id) || '|' || arg_max(taxonomy, id) AS taxonomy_pair
+  FROM entities GROUP BY 1
+), selected AS (
+  SELECT l_orderkey, 'O' || l_orderkey || '-1' AS assembly_id, 'O' || l_orderkey AS pdb_id, entity_1, entity_2, entity_1 || ',' || entity_2 AS entity_pair, CASE k WHEN 1 THEN 'homo' ELSE 'hetero' END AS dimer_type,
+    least(c1, c2) || ',' || greatest(c1, c2) AS cluster_pair_100pct, least(c1, c2) AS low, greatest(c1, c2) AS high, uniprot_pair, species_pair, taxonomy_pair, modeled, price, flags, 'o' || l_orderkey || '-assembly1.cif.gz' AS file
+  FROM pairs JOIN orders_of USING (l_orderkey)
+)"""
+
+
+@query(f"""
+WITH {_DERIVED} SELECT assembly_id, entity_pair, dimer_type, cluster_pair_100pct, uniprot_pair, species_pair, taxonomy_pair, modeled AS modeled_polymer_monomer_count, price AS resolution_best_angstrom,
+  flags AS experimental_method, '2' AS oligomeric_count, file AS local_filename, 'f/' || file AS download_url FROM selected
+""")
 def q11_dimers(spark, sf):
-    return _dimers(spark, sf)
+    names = "assembly_id entity_pair dimer_type cluster_pair_100pct uniprot_pair species_pair taxonomy_pair modeled_polymer_monomer_count resolution_best_angstrom experimental_method oligomeric_count local_filename download_url"
+    return cand.candidates(_derived(spark, sf)).select(*names.split())
 
 
 _PAIRED = f"""
@@ -178,43 +273,87 @@ def q12_representatives(spark, sf):
     return select_representatives(rows, "pair", order).drop("pair")
 
 
-@query("""
-SELECT l_orderkey, l_linenumber, l_partkey, s_suppkey FROM lineitem JOIN (SELECT s_suppkey FROM supplier WHERE contains(s_name, '1')) ON l_suppkey = s_suppkey
+@query(f"""
+WITH {_DERIVED} SELECT 'O' || l_orderkey || '-1' AS assembly_id, CASE n WHEN 2 THEN 'entity_count' ELSE 'instance_count' END AS reject
+FROM orders_of WHERE l_orderkey NOT IN (SELECT l_orderkey FROM selected)
 """)
 def q13_chain_to_entity(spark, sf):
-    entities = table(spark, sf, "supplier").where(F.col("s_name").contains("1")).select("s_suppkey")
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("s_suppkey"))
-    return lines.join(entities, "s_suppkey").select("l_orderkey", "l_linenumber", "l_partkey", "s_suppkey")
+    """Orders that give no candidate, with the reason."""
+    return cand.rejects(_derived(spark, sf))
 
 
-@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_quantity > 10)")
 def q14_not_present(spark, sf):
-    there = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf, "orders").select("o_orderkey").join(there, "o_orderkey", "left_anti")
+    """Orders as files to fetch; lines as the files there are, small ones empty."""
+    lines = table(spark, sf, "lineitem").where("l_returnflag = 'R'")
+    present = lines.select(F.concat("l_orderkey", F.lit(".cif.gz")).alias("file"), F.greatest(F.col("l_quantity") - 10, F.lit(0)).alias("size"))
+    wanted = table(spark, sf, "orders").select("o_orderkey", F.concat("o_orderkey", F.lit(".cif.gz")).alias("local_filename"))
+    return archive.missing_files(wanted, present).select("o_orderkey")
 
 
-@query(f"""
-WITH parts AS (
-  SELECT l_orderkey, 0 AS pos, entity_1 AS entity, cluster_1 AS cluster_id FROM ({_PAIRED}) UNION ALL SELECT l_orderkey, 1, entity_2, cluster_2 FROM ({_PAIRED})
-) SELECT entity, pos, l_orderkey, cluster_id FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY l_orderkey, pos) AS k FROM parts) WHERE k = 1
-""")
+_FIRST = """
+named AS (
+  SELECT l_orderkey, file, pdb_id, 0 AS pos, entity_1 AS entity, low AS cluster_id FROM selected UNION ALL SELECT l_orderkey, file, pdb_id, 1, entity_2, high FROM selected
+), first AS (
+  SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY entity ORDER BY pdb_id, pos) = 1
+)"""
+
+
+@query(f"WITH {_DERIVED}, {_FIRST} SELECT entity, cluster_id, file, pos FROM first")
 def q15_zip_first_seen(spark, sf):
-    nations = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-    sides = [nations.select(F.col("s_suppkey").alias(f"entity_{k}"), F.col("s_nationkey").alias(f"nation_{k}")) for k in (1, 2)]
-    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
-    rows = _dimers(spark, sf).join(sides[0], "entity_1").join(sides[1], "entity_2").join(orders, "l_orderkey")
-    zipped = F.arrays_zip(F.array("entity_1", "entity_2").alias("entity"), F.array_sort(F.array("nation_1", "nation_2")).alias("cluster_id"))
-    parts = rows.select("l_orderkey", F.posexplode(zipped).alias("pos", "x")).select("l_orderkey", "pos", "x.entity", "x.cluster_id")
-    ranked = parts.withColumn("k", F.row_number().over(Window.partitionBy("entity").orderBy("l_orderkey", "pos")))
-    return ranked.where("k = 1").select("entity", "pos", "l_orderkey", "cluster_id")
+    return first_entities(cand.candidates(_derived(spark, sf)), ["pdb_id", "assembly_number"]).select("entity", "cluster_id", "file", "pos")
+
+
+def _structures(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order of two lines as a structure file, parsed: the lines are chains and, where their number is new, sequences.
+
+    Entity numbers are raised by ten and remapped if the first line's part is even. Some residues are absent, and one may lie beyond the sequence.
+    """
+    def number(x):
+        return x["l_suppkey"] % 3 + 1 + F.when(F.col("lines")[0]["l_partkey"] % 2 == 0, F.lit(10)).otherwise(F.lit(0))
+
+    def text(rows) -> F.Column:
+        return F.array_join(rows, "\n")
+
+    lines = F.col("lines")
+    chains = F.transform(lines, lambda x, i: F.concat(F.lit("C"), i, F.lit(" "), number(x)))
+    fresh = F.when(lines[0]["l_suppkey"] % 3 == lines[1]["l_suppkey"] % 3, F.slice(lines, 1, 1)).otherwise(lines)
+    codes = F.array(*[F.lit(c) for c in ("ALA", "GLY", "UNK", "TRP")])
+    residues = F.flatten(F.transform(fresh, lambda x: F.transform(F.sequence(F.lit(1), x["l_quantity"]), lambda j: F.concat(number(x), F.lit(" "), F.get(codes, ((j + x["l_partkey"]) % 4).cast("int"))))))
+    atoms = F.flatten(
+        F.transform(
+            lines,
+            lambda x, i: F.transform(F.filter(F.sequence(F.lit(0), x["l_quantity"] + 1), lambda j: (j * 7 + x["l_suppkey"]) % 3 != 0), lambda j: F.concat(F.lit("C"), i, F.lit(" "), j)),
+        )
+    )
+    remap = F.when(lines[0]["l_partkey"] % 2 == 0, F.lit("loop_\n_pdbx_entity_remapping.entity_id\n_pdbx_entity_remapping.orig_entity_id\n11 1\n12 2\n13 3\n#\n")).otherwise(F.lit(""))
+    content = F.concat(
+        F.lit("data_x\n"), remap, F.lit("loop_\n_struct_asym.id\n_struct_asym.entity_id\n"), text(chains), F.lit("\n#\nloop_\n_entity_poly_seq.entity_id\n_entity_poly_seq.mon_id\n"), text(residues),
+        F.lit("\n#\nloop_\n_atom_site.label_asym_id\n_atom_site.label_seq_id\n"), text(atoms), F.lit("\nC0 .\n#\n"),
+    )
+    files = _lines(spark, sf).where(F.size("lines") == 2)
+    return parse_structures(files.select(F.concat(F.lit("/files/o"), "l_orderkey", F.lit("-assembly1.cif.gz")).alias("path"), F.encode(content, "utf-8").alias("content")))
 
 
-@query("""
-SELECT n_nationkey, coalesce(r_regionkey + 100, n_regionkey) AS mapped FROM nation LEFT JOIN (SELECT r_regionkey FROM region WHERE r_regionkey <> 2) ON r_regionkey = n_regionkey
+_FILES = """
+chains AS (
+  SELECT l_orderkey, i, l_suppkey, l_quantity::int AS own, l_suppkey % 3 + 1 AS number FROM lines JOIN orders_of USING (l_orderkey) WHERE n = 2
+), sequences AS (
+  SELECT l_orderkey, l_suppkey % 3 + 1 AS number, arg_min(l_quantity::int, i) AS n, arg_min(l_partkey, i) AS part FROM lines GROUP BY ALL
+)"""
+
+
+@query(f"""
+WITH {_DERIVED}, {_FIRST}, {_FILES}
+SELECT entity AS entity_name, cluster_id, (SELECT string_agg(substr('AGXW', (j + s.part) % 4 + 1, 1), '' ORDER BY j) FROM range(1, s.n + 1) r(j)) AS sequence, m.mask AS binary_mask
+FROM first f JOIN sequences s ON s.l_orderkey = f.l_orderkey AND s.number = string_split(entity, '_')[2]::bigint JOIN (
+  SELECT c.l_orderkey, c.number, string_agg('C' || c.i || ': ' || (SELECT string_agg(CASE WHEN (j * 7 + c.l_suppkey) % 3 <> 0 AND j <= c.own + 1 THEN '1' ELSE '0' END, '' ORDER BY j) FROM range(1, s.n + 1) r(j)) || ';', ' ' ORDER BY c.i) AS mask
+  FROM chains c JOIN sequences s USING (l_orderkey, number) GROUP BY ALL
+) m ON m.l_orderkey = f.l_orderkey AND m.number = s.number
 """)
 def q16_remap(spark, sf):
-    remap = table(spark, sf, "region").where("r_regionkey <> 2").select(F.col("r_regionkey").alias("n_regionkey"), (F.col("r_regionkey") + 100).alias("new"))
-    return table(spark, sf, "nation").join(remap, "n_regionkey", "left").select("n_nationkey", F.coalesce("new", "n_regionkey").alias("mapped"))
+    """Sequences and masks of the entities, each from the first file that names it."""
+    return curation.sequences(cand.candidates(_derived(spark, sf)), _structures(spark, sf))
 
 
 @query("""
@@ -226,10 +365,14 @@ def q17_mask(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(mask(F.collect_set("l_linenumber"), F.lit(7)).alias("mask"))
 
 
-@query("SELECT l_orderkey, l_linenumber - 1 AS idx FROM lineitem WHERE l_linenumber - 1 < 4 AND l_linenumber >= 1")
+@query(f"""
+WITH {_DERIVED}, {_FILES}
+SELECT 'o' || c.l_orderkey || '-assembly1.cif.gz' AS file, 'C' || c.i AS asym_id, count(*) AS beyond
+FROM chains c JOIN sequences s USING (l_orderkey, number), range(0, 60) r(j) WHERE j > s.n AND j <= c.own + 1 AND (j * 7 + c.l_suppkey) % 3 <> 0 GROUP BY ALL
+""")
 def q18_bounded_index(spark, sf):
-    idx = F.col("l_linenumber") - 1
-    return table(spark, sf, "lineitem").where((idx < 4) & (idx >= 0)).select("l_orderkey", idx.alias("idx"))
+    """Residue numbers beyond the sequence, by file and chain."""
+    return overflow(stage(_structures(spark, sf), "structures"))
 
 
 _SOURCES = "(SELECT text, source, min(doc_id) AS first FROM documents WHERE source IS NOT NULL GROUP BY 1, 2)"
@@ -316,26 +459,50 @@ def q27_letter_share(spark, sf):
     return profile.letter_share_by_length(table(spark, sf, "documents"), "text", "e", 50).select("length", F.round("mean_percent", 6).alias("mean_percent"))
 
 
-@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS int) AS k FROM events")
+@query("SELECT event_id, CASE WHEN json_extract_string(props, '$.k')::double <> 0 THEN json_extract_string(props, '$.k') END AS k FROM events")
 def q28_json(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "int").alias("k"))
+    return table(spark, sf, "events").select("event_id", truthy_text(F.try_parse_json("props"), "$.k").alias("k"))
 
 
 @query("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders")
 def q29_tsv_round_trip(spark, sf):
     """Written as TSV into the shared folder and read back with its schema."""
-    from uuid import uuid4
-
-    from pairloom.session import shared_dir
-
     rows = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     path = f"{shared_dir(spark)}/pairloom/tsv-{uuid4().hex}"
     write_tsv(rows, path)
     return read_tsv(spark, path, rows.schema)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE p AS (SELECT DISTINCT entity_1 AS a, entity_2 AS b FROM ({_DIMERS}) WHERE entity_1 <> entity_2), s AS (
+  SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier
+), g AS (
+  SELECT 0::bigint AS k, []::bigint[] AS chosen
+  UNION ALL
+  SELECT s.k, CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.b = s.id AND list_contains(g.chosen, p.a)) THEN g.chosen ELSE list_append(g.chosen, s.id) END FROM g JOIN s ON s.k = g.k + 1
+), c AS (
+  SELECT unnest(chosen) AS id FROM g WHERE k = (SELECT count(*) FROM supplier)
+)
+SELECT s.id, coalesce(c.id, (SELECT min(p.a) FROM p WHERE p.b = s.id AND p.a IN (SELECT id FROM c))) AS representative FROM s LEFT JOIN c ON c.id = s.id
+""")
 def q30_greedy(spark, sf):
     """Suppliers in order of their keys; two are similar if an order of two lines names both."""
     pairs = _dimers(spark, sf).where("dimer_type = 'hetero'").select(F.col("entity_1").alias("a"), F.col("entity_2").alias("b")).distinct()
     return greedy(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")), pairs)
+
+
+@query("""
+WITH e AS (SELECT DISTINCT s_nationkey, s_name, min(s_suppkey) OVER (PARTITION BY s_nationkey, s_name) AS f FROM supplier), g AS (
+  SELECT n_name AS sequence, string_agg(s_name, ' ' ORDER BY f, s_name) AS names FROM e JOIN nation ON n_nationkey = s_nationkey GROUP BY 1
+), r AS (
+  SELECT row_number() OVER (ORDER BY sequence) - 1 AS k, * FROM g
+)
+SELECT '>' || k || ';' || sequence || ';' || names AS value FROM r UNION ALL SELECT sequence FROM r
+""")
+def q31_fasta_round_trip(spark, sf):
+    """Nations as sequences of their suppliers, written as FASTA into the shared folder and read as lines."""
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("sequence"), F.col("n_name").alias("cluster_id"))
+    rows = table(spark, sf, "supplier").join(nations, "s_nationkey").select("sequence", F.col("s_name").alias("entity_name"), "cluster_id", "s_suppkey")
+    path = f"{shared_dir(spark)}/pairloom/fasta-{uuid4().hex}"
+    write_fasta(fasta_records(group_sequences(rows, "s_suppkey")), path)
+    return spark.read.text(path).select("value")

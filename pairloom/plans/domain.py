@@ -10,6 +10,7 @@ from pairloom.operators import profile
 from pairloom.operators.fasta import fasta_records, group_sequences, several_clusters, several_sequences
 from pairloom.operators.representatives import select_representatives
 from pairloom.plans import curation
+from pairloom.plans.derivation_sql import DERIVED
 from pairloom.plans.problems import table
 from pairloom.session import stage
 
@@ -27,21 +28,28 @@ def query(sql: str | None = None):
     return add
 
 
-@query()
+@query(f"WITH {DERIVED.replace('SOURCE', 'assembly')} SELECT * EXCLUDE (fetched_at, key) FROM candidates")
 def d01_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Candidate rows of all landed documents, with the landing row."""
     docs = table(spark, sf, "assembly").select("landing_id", "payload")
     return cand.candidates(stage(cand.derive(docs), "derived")).drop("rank_resolution")
 
 
-@query()
+@query(f"WITH {DERIVED.replace('SOURCE', 'assembly')} SELECT reject, count(*) AS n FROM judged WHERE reject IS NOT NULL GROUP BY 1")
 def d02_rejects(spark: SparkSession, sf: str) -> DataFrame:
     """How many documents give no candidate, by reason."""
     docs = table(spark, sf, "assembly").select("landing_id", "payload")
     return cand.derive(docs).where("reject is not null").groupBy("reject").agg(F.count("*").alias("n"))
 
 
-@query()
+_LATEST = "(SELECT * FROM assembly QUALIFY assembly_id IS NULL OR row_number() OVER (PARTITION BY upper(assembly_id) ORDER BY fetched_at DESC NULLS LAST, landing_id DESC NULLS LAST) = 1)"
+
+
+@query(f"""
+WITH {DERIVED.replace('SOURCE', _LATEST)} SELECT * EXCLUDE (landing_id, fetched_at, key) FROM candidates
+QUALIFY row_number() OVER (PARTITION BY cluster_pair_100pct ORDER BY coalesce(resolution_best_angstrom, 'infinity'::double), modeled_polymer_monomer_count DESC, pdb_id, assembly_number,
+  entity_pair, uniprot_pair, species_pair, taxonomy_pair, dimer_type, resolution_best_angstrom, experimental_method, oligomeric_count, entity_clusters) = 1
+""")
 def d03_selected(spark: SparkSession, sf: str) -> DataFrame:
     """The representatives of the latest documents."""
     return curation.curate(curation.latest_documents(table(spark, sf, "assembly"))).selected

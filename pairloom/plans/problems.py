@@ -69,6 +69,37 @@ UNION ALL SELECT landing_id, 'membership', pos::int, k::int, json_extract_string
 UNION ALL SELECT landing_id, 'organism', pos::int, k::int, x FROM t WHERE trim(x) <> ''
 UNION ALL SELECT landing_id, 'gen', pos::int, (generate_subscripts(l, 1) - 1)::int, unnest(l) FROM a
 """
+_WALK = f"""
+WITH RECURSIVE {_ROOTS.replace("unnest(json_extract(j, '$.data.assemblies[*]'))", "unnest(CASE json_type(j, '$.data.assemblies') WHEN 'ARRAY' THEN json_extract(j, '$.data.assemblies[*]') ELSE [json_extract(j, '$.data.assemblies')] END)")}, placed AS (
+  SELECT landing_id, row_number() OVER (PARTITION BY landing_id) - 1 AS k, j FROM r
+), tree AS (
+  SELECT landing_id, k, t.id, t.parent AS above, t.key, t.type, t.atom, row_number() OVER (PARTITION BY landing_id ORDER BY k, t.id) - 1 AS node FROM placed, json_tree(placed.j) AS t
+), walk AS (
+  SELECT landing_id, k, id, node, -1::bigint AS parent, -1::bigint AS owner, '' AS path, NULL::varchar AS label, k AS ordinal, type, atom FROM tree WHERE above IS NULL
+  UNION ALL
+  SELECT t.landing_id, t.k, t.id, t.node, w.node, CASE w.type WHEN 'OBJECT' THEN w.node ELSE w.owner END,
+    CASE w.type WHEN 'ARRAY' THEN w.path ELSE CASE w.path WHEN '' THEN '' ELSE w.path || '.' END || t.key END, CASE w.type WHEN 'ARRAY' THEN w.label ELSE t.key END,
+    CASE w.type WHEN 'ARRAY' THEN t.key::bigint ELSE 0 END, t.type, t.atom
+  FROM tree t JOIN walk w ON w.landing_id = t.landing_id AND w.k = t.k AND w.id = t.above
+), nodes AS (
+  SELECT landing_id, node::int AS node, parent::int AS parent, owner::int AS owner, path, label, ordinal::int AS ordinal,
+    CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind,
+    CASE WHEN type NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN json_extract_string(atom, '$') END AS scalar
+  FROM walk
+)"""
+SQL["p1_nodes"] = f"{_WALK} SELECT * FROM nodes"
+
+
+def _entities_sql(path: str, columns: dict[str, str]) -> str:
+    """Objects with the scalars below them; fields are at most one object away."""
+    fields = ", ".join(
+        f"(SELECT string_agg(s.scalar, ';' ORDER BY s.node) FROM nodes s LEFT JOIN nodes x ON x.landing_id = s.landing_id AND x.node = s.owner"
+        f" WHERE s.landing_id = o.landing_id AND s.scalar IS NOT NULL AND s.path = '{path}.{p}' AND {'x.owner' if '.' in p else 's.owner'} = o.node) AS {n}"
+        for n, p in columns.items()
+    )
+    return f"{_WALK} SELECT landing_id, node, owner AS parent_node, ordinal AS pos, {fields} FROM nodes o WHERE kind = 'object' AND path = '{path}'"
+
+
 SQL["p1_unreadable"] = "SELECT landing_id FROM assembly WHERE payload IS NULL OR NOT json_valid(payload)"
 
 
@@ -84,6 +115,8 @@ ENTITY_COLUMNS = {
     "asym_ids": "rcsb_polymer_entity_container_identifiers.asym_ids",
 }
 MEMBER_COLUMNS = {x: x for x in ("aggregation_method", "similarity_cutoff", "group_id")}
+SQL["p1_entities"] = _entities_sql(ENTITY, ENTITY_COLUMNS)
+SQL["p1_memberships"] = _entities_sql(CHILDREN[1].path, MEMBER_COLUMNS)
 
 
 def p1_entities(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import operator
 import os
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 from urllib import error as url_error
 from urllib import request as url_request
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -84,11 +86,30 @@ def condition(attribute: str, operator: str, value) -> dict:
     return {"type": "terminal", "service": "text", "parameters": {"attribute": attribute, "operator": operator, "value": value}}
 
 
+def conjunction(leaves: list[dict]) -> dict:
+    """All of the leaves must hold."""
+    return {"type": "group", "logical_operator": "and", "nodes": leaves}
+
+
+def as_column(query: dict, columns: Callable[[str], Column] = F.col) -> Column:
+    """A search expression as a condition on landed rows: what the archive would evaluate, evaluated here.
+
+    ``columns`` gives an attribute's column. Used as a filter: a missing value fulfils no
+    condition, and a group without conditions holds for every row.
+    """
+    if query["type"] == "group":
+        parts = [as_column(q, columns) for q in query["nodes"]]
+        return reduce(operator.and_ if query["logical_operator"] == "and" else operator.or_, parts) if parts else F.lit(True)
+    p = query["parameters"]
+    compare = {"exact_match": operator.eq, "equals": operator.eq, "less": operator.lt, "less_or_equal": operator.le, "greater": operator.gt, "greater_or_equal": operator.ge}
+    return compare[p["operator"]](columns(p["attribute"]), p["value"])
+
+
 def search_body(no_ligands: bool = False) -> dict:
     """The whole search: all conditions must hold; experimental structures only, all hits, compact."""
     leaves = [condition(*c) for c in (*CONDITIONS, *([NO_LIGANDS] if no_ligands else []))]
     options = {"return_all_hits": True, "results_content_type": ["experimental"], "results_verbosity": "compact"}
-    return {"query": {"type": "group", "logical_operator": "and", "nodes": leaves}, "return_type": "assembly", "request_options": options}
+    return {"query": conjunction(leaves), "return_type": "assembly", "request_options": options}
 
 
 def hit_ids(answer: dict) -> list[str]:
@@ -98,6 +119,11 @@ def hit_ids(answer: dict) -> list[str]:
     return sorted({str(n).upper() for n in names if n})
 
 
+def distinct_ids(rows: DataFrame, id: str = "assembly_id") -> DataFrame:
+    """The distinct upper-case ids in order; nulls and empty ids are left out."""
+    return rows.select(F.upper(id).alias("assembly_id")).where("assembly_id <> ''").distinct().orderBy("assembly_id")
+
+
 def metadata_query() -> str:
     """The request for the documents of a list of ids, with just the fields that are used."""
     return "query Documents($ids: [String!]!) {\n  assemblies(assembly_ids: $ids) {\n" + selection(ASSEMBLY_FIELDS, 4) + "\n  }\n}"

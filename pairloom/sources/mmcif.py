@@ -137,7 +137,12 @@ def rows(text: str) -> list[tuple[str, int, str, str]]:
 
 def read_structures(spark: SparkSession, path: str) -> DataFrame:
     """STRUCTURE_ROWS of all files below ``path``; ``file`` is a file's name. An unreadable file gives one ``error`` row; a file of no bytes gives none and so counts as missing."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.cif*").load(path).select("path", "content")
+    return parse_structures(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.cif*").load(path))
+
+
+def parse_structures(files: DataFrame) -> DataFrame:
+    """STRUCTURE_ROWS of files given as (path, content); other columns are not read, null contents give no row."""
+    files = files.select("path", "content").where("content is not null")
 
     def run(batches):
         for batch in batches:
