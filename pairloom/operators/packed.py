@@ -1,11 +1,11 @@
 """Several values packed in one field: one row a value, with its place.
 
 A field is scanned into atoms: quoted spans, which stay whole, and runs of other text between
-separators. How atoms join to values is a lattice. Separators outside quotes normally cut, white
-space normally doesn't; a lattice is contested where the column itself speaks against that: an
-uncut span occurs elsewhere as a quoted value, or every part of a text with inner white space
-occurs elsewhere as a value. Value frequencies are counted over the whole column; expectation
-maximisation over the contested lattices refines them, and Viterbi picks each one's cuts.
+separators and white space. How neighbouring atoms join to values is a lattice: a span of as many
+atoms as any value of the column has is a possible value. Value frequencies are learned from the
+whole column by expectation maximisation over the lattices of all distinct sides with more than
+one path, starting from the usual cuts (separators outside quotes cut, white space doesn't), and
+Viterbi picks each side's cuts. Sides with one path are fixed evidence.
 """
 
 from __future__ import annotations
@@ -177,27 +177,45 @@ def inner(text: str, seps: str) -> int:
     return sum(c in seps for c in text)
 
 
-def lattice(text: str, mode: str) -> list[tuple[int, int, str]]:
-    """All (first atom, last atom, value) of a side; quoted atoms are never joined to others."""
+def lattice(text: str, mode: str, longest: int | None = None) -> list[tuple[int, int, str, bool]]:
+    """(first atom, last atom, value, usual) of a side; quoted atoms are never joined to others.
+
+    Spans of more than ``longest`` atoms are no values, but for those of the usual cut; None means no limit.
+    """
     slots = cut(text, BARS + STRONG if mode == PAIR else STRONG)
     atoms = finest(slots, text)
+    usual = {(a.start, a.end) for _, a in default_values(text, slots, mode)}
+    ends = {a.end: k for k, a in enumerate(atoms)}
+    reach = _reach(atoms, usual, ends)
     out = []
     for i, a in enumerate(atoms):
-        out.append((i, i, a.value))
-        for j in range(i + 1, len(atoms) if not a.quoted else 0):
+        out.append((i, i, a.value, (a.start, a.end) in usual))
+        if a.quoted:
+            continue
+        far = len(atoms) if longest is None else i + longest
+        for j in range(i + 1, min(len(atoms), max(far, reach.get(i, i) + 1))):
             if atoms[j].quoted:
                 break
-            out.append((i, j, text[a.start : atoms[j].end]))
+            if j < far or j == reach[i]:
+                out.append((i, j, text[a.start : atoms[j].end], (a.start, atoms[j].end) in usual))
     return out
 
 
+def _reach(atoms: list[Atom], usual: set[tuple[int, int]], ends: dict[int, int]) -> dict[int, int]:
+    """By the first atom of a usual value its last one."""
+    starts = {a.start: k for k, a in enumerate(atoms)}
+    return {starts[s]: ends[e] for s, e in usual if s in starts and e in ends}
+
+
 #: Log penalties of a value never counted: for being new, for each separator and each white space in it.
 NEW, PER_STRONG, PER_SPACE = 4.0, 6.0, 1.0
 
 
 def score(value: str, count: float, total: float) -> float:
-    fresh = math.exp(-NEW - PER_STRONG * inner(value, BARS + STRONG) - PER_SPACE * len(value.split()[1:]))
-    return math.log((count + fresh) / (total + 1.0))
+    """Log probability of a value. A new one with a separator in it is worth less than the new values it could be cut into, however large the column."""
+    missed = inner(value, BARS + STRONG)
+    fresh = -NEW - missed * (PER_STRONG + NEW + math.log(total + 1.0)) - PER_SPACE * len(value.split()[1:])
+    return math.log(count + math.exp(max(fresh, -700.0))) - math.log(total + 1.0)
 
 
 def posterior(segments: list[tuple[int, int, float]]) -> list[float]:
@@ -253,7 +271,7 @@ def default_values(text: str, slots: list[list[Atom]], mode: str) -> list[tuple[
 
 
 def values(text: str | None, mode: str, decide) -> Iterator[tuple[int, int, str]]:
-    """(side_no, value_no, part_value) of a field; ``decide(side text)`` gives contested cuts or None."""
+    """(side_no, value_no, part_value) of a field; ``decide(side text)`` gives learned cuts, or None for the usual ones."""
     if text is None:
         return
     for side_no, (part, slots) in enumerate(sides(text, mode), 1):
@@ -275,14 +293,11 @@ def values(text: str | None, mode: str, decide) -> Iterator[tuple[int, int, str]
 
 
 def _split(batches, read, schema):
-    names = [f.name for f in schema]
+    arrow = T_to_arrow(schema)
     for batch in batches:
-        at, out = [], []
-        for i, row in enumerate(zip(*[c.to_pylist() for c in batch.columns])):
-            for x in read(row):
-                at.append(i)
-                out.append(x)
-        yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in out], T_to_arrow(schema)) if out else pa.RecordBatch.from_pylist([], T_to_arrow(schema))
+        out = [x for row in zip(*[c.to_pylist() for c in batch.columns]) for x in read(row)]
+        columns = zip(*out) if out else [()] * len(arrow)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
 
 def T_to_arrow(schema: T.StructType) -> pa.Schema:
@@ -309,75 +324,69 @@ def column_values(texts: DataFrame) -> DataFrame:
     return found.groupBy("table_name", "field_name", "value").agg(F.max("quoted").alias("quoted"), F.sum("n").alias("n"))
 
 
-def contested_sides(texts: DataFrame, counts: DataFrame) -> DataFrame:
-    """(table_name, field_name, mode, side, n): the side texts that the column's values contest."""
-    special = "[" + "".join("\\" + c for c in BARS + STRONG) + "]"
-    supported = counts.where(F.col("quoted") & F.col("value").rlike(special)).select("table_name", "field_name", "value")
-    spaced = counts.where(F.col("value").rlike(r"\S\s+\S") & ~F.col("quoted")).select("table_name", "field_name", F.col("value").alias("whole"))
-    parts = spaced.select("*", F.explode(F.array_distinct(F.split("whole", r"\s+"))).alias("value"))
-    known = parts.join(counts.select("table_name", "field_name", "value", F.lit(1).alias("known")), ["table_name", "field_name", "value"], "left")
-    loose = known.groupBy("table_name", "field_name", "whole").agg(F.count_if(F.col("known").isNull()).alias("unknown")).where("unknown = 0")
-    marks = supported.unionByName(loose.select("table_name", "field_name", F.col("whole").alias("value")))
-    schema = T._parse_datatype_string("table_name string, field_name string, mode string, side string, n long, value string")
-    rows = bounded_rows(marks, BROADCAST_ROWS)
-    if rows is not None and not rows:
-        return texts.sparkSession.createDataFrame([], "table_name string, field_name string, mode string, side string, n long")
-    small = None if rows is None else {tuple(r) for r in rows}
+def longest_values(counts: DataFrame) -> dict[tuple[str, str], int]:
+    """(table, field) -> the most atoms that a value has, if quotes and separators are taken as they are. A row a column."""
+    parts = "[\\s" + "".join("\\" + c for c in BARS + STRONG) + "]+"
+    atoms = F.size(F.filter(F.split("value", parts), lambda x: x != ""))
+    return {(r[0], r[1]): r[2] for r in counts.groupBy("table_name", "field_name").agg(F.max(atoms)).collect()}
 
-    def read(row):
-        table, field, mode, text, n = row
-        for part, slots in sides(text, mode):
-            if sum(len(s) for s in slots) > 1 or any(" " in a.value or len(a.value.split()) > 1 for s in slots for a in s):
-                for v in {v for i, j, v in lattice(part, mode) if j > i}:
-                    if small is None or (table, field, v) in small:
-                        yield table, field, mode, part, n, v
 
-    spans = texts.select("table_name", "field_name", "mode", "text", "n").mapInArrow(lambda it: _split(it, read, schema), schema)
-    if small is None:
-        spans = spans.join(marks, ["table_name", "field_name", "value"], "left_semi")
-    once = spans.groupBy("table_name", "field_name", "mode", "side", "value").agg(F.sum("n").alias("n"))
-    return once.groupBy("table_name", "field_name", "mode", "side").agg(F.max("n").alias("n"))
+SIDES = "table_name string, field_name string, mode string, side string, n long"
+LATTICES = "sid long, table_name string, field_name string, side string, n long, segments array<struct<i: int, j: int, value: string, usual: boolean>>"
 
 
-SEGMENTS = "table_name string, field_name string, mode string, side string, n long, i int, j int, value string, is_default boolean"
+def lattices(texts: DataFrame, longest: dict[tuple[str, str], int]) -> DataFrame:
+    """LATTICES: every distinct side with more than one path, how often it occurs and its possible values."""
+    schema, wide = T._parse_datatype_string(SIDES), T._parse_datatype_string(LATTICES)
 
+    def ambiguous(row):
+        table, field, mode, text, n = row
+        if longest.get((table, field), 1) < 2:
+            return
+        for part, _ in sides(text, mode):
+            found = lattice(part, mode, longest[table, field])
+            if found and found[-1][0] + 1 < len(found):
+                yield table, field, mode, part, n
 
-def learn(texts: DataFrame, counts: DataFrame, contested: DataFrame, rounds: int = 3) -> DataFrame:
-    """(table_name, field_name, side, cuts): Viterbi's cuts of every contested side.
+    def spans(row):
+        sid, table, field, mode, side, n = row
+        yield sid, table, field, side, n, [{"i": i, "j": j, "value": v, "usual": u} for i, j, v, u in lattice(side, mode, longest[table, field])]
 
-    Counts of uncontested cuts are fixed evidence; each round adds the expected counts of the
-    contested lattices under the counts of the round before.
-    """
-    key = ["table_name", "field_name", "side"]
-    schema = T._parse_datatype_string(SEGMENTS)
+    found = texts.select("table_name", "field_name", "mode", "text", "n").mapInArrow(lambda it: _split(it, ambiguous, schema), schema)
+    once = found.groupBy("table_name", "field_name", "mode", "side").agg(F.sum("n").alias("n")).select(F.monotonically_increasing_id().alias("sid"), "*")
+    return once.mapInArrow(lambda it: _split(it, spans, wide), wide)
 
-    def read(row):
-        table, field, mode, side, n = row
-        slots = cut(side, BARS + STRONG if mode == PAIR else STRONG)
-        usual = {(a.start, a.end) for _, a in default_values(side, slots, mode)}
-        atoms = finest(slots, side)
-        for i, j, v in lattice(side, mode):
-            yield table, field, mode, side, n, i, j, v, (atoms[i].start, atoms[j].end) in usual
-
-    expect, best = F.pandas_udf(_expect, "array<double>"), F.pandas_udf(_best, "array<array<int>>")
-    segments = stage(contested.mapInArrow(lambda it: _split(it, read, schema), schema), "segments")
-    own = segments.where("is_default").groupBy("table_name", "field_name", "value").agg(F.sum("n").alias("own"))
-    seen = segments.select("table_name", "field_name", "value").distinct()
-    base = counts.join(seen, ["table_name", "field_name", "value"], "left_semi").join(own, ["table_name", "field_name", "value"], "left")
-    base = base.select("table_name", "field_name", "value", F.greatest(F.lit(0), F.col("n") - F.coalesce("own", F.lit(0))).cast("double").alias("c"))
+
+def learn(counts: DataFrame, found: DataFrame, rounds: int = 2) -> DataFrame:
+    """(table_name, field_name, side, cuts, changed): Viterbi's cuts of every side of ``found``, and whether they are not the usual ones.
+
+    Counts of the other sides are fixed evidence; each round adds the expected counts of the
+    lattices under the counts of the round before. What a side itself adds is left out of its own
+    evidence, else long values that occur but once would confirm themselves.
+    """
+    name = ["table_name", "field_name", "value"]
+    expect, best = F.pandas_udf(_expect, "array<double>"), F.pandas_udf(_best, "struct<cuts: array<array<int>>, changed: boolean>")
+    x = [F.col(f"x.{c}").alias(c) for c in ("i", "j", "value", "usual")]
+    segments = found.select("sid", "table_name", "field_name", "n", F.explode("segments").alias("x")).select("sid", "table_name", "field_name", "n", *x, F.col("x.usual").cast("double").alias("p"))
+    own = segments.groupBy(*name).agg(F.sum(F.col("p") * F.col("n")).alias("own"))
+    fixed = own.join(counts, name, "left").select(*name, F.greatest(F.lit(0.0), F.coalesce("n", F.lit(0)) - F.col("own")).alias("c"))
+    fixed = stage(fixed, "evidence")
     total = counts.groupBy("table_name", "field_name").agg(F.sum("n").cast("double").alias("total"))  # a row a column
-    c = base
     for k in range(rounds + 1):
-        last = k == rounds
-        scored = segments.join(c, ["table_name", "field_name", "value"], "left").join(F.broadcast(total), ["table_name", "field_name"], "left")
-        grouped = scored.groupBy(*key, "n").agg(
-            F.sort_array(F.collect_list(F.struct("i", "j", "value", F.coalesce("c", F.lit(0.0)).alias("c")))).alias("segs"), F.first("total").alias("total")
-        )
-        if last:
-            return grouped.select(*key, best(F.col("segs"), F.col("total")).alias("cuts"))
-        expected = grouped.select(*key, "n", F.explode(F.arrays_zip(F.col("segs.value").alias("value"), expect(F.col("segs"), F.col("total")).alias("p"))).alias("x"))
-        more = expected.groupBy("table_name", "field_name", F.col("x.value").alias("value")).agg(F.sum(F.col("x.p") * F.col("n")).alias("c"))
-        c = stage(base.unionByName(more).groupBy("table_name", "field_name", "value").agg(F.sum("c").alias("c")), "counts")
+        added = segments.where("p > 0").select(*name, (F.col("p") * F.col("n")).alias("c"))
+        c = fixed.unionByName(added).groupBy(*name).agg(F.sum("c").alias("c")).where("c > 0")
+        scored = segments.join(c, name, "left").join(F.broadcast(total), ["table_name", "field_name"], "left")
+        others = F.greatest(F.lit(0.0), F.coalesce("c", F.lit(0.0)) - F.col("p") * F.col("n"))
+        grouped = scored.groupBy("sid").agg(
+            F.sort_array(F.collect_list(F.struct("i", "j", "value", "usual", others.alias("c")))).alias("segs"),
+            F.first("total").alias("total"), F.first("n").alias("n"), F.first("table_name").alias("table_name"), F.first("field_name").alias("field_name"),
+        )
+        if k == rounds:
+            decided = grouped.select("sid", best(F.col("segs"), F.col("total")).alias("x")).select("sid", "x.*")
+            return found.select("sid", "table_name", "field_name", "side").join(decided, "sid").drop("sid")
+        met = F.arrays_zip(F.col("segs").alias("s"), expect(F.col("segs"), F.col("total")).alias("p"))
+        segments = grouped.select("sid", "table_name", "field_name", "n", F.explode(met).alias("x")).select("sid", "table_name", "field_name", "n", *[F.col(f"x.s.{f}").alias(f) for f in ("i", "j", "value", "usual")], "x.p")
+        segments = stage(segments, "segments")
     raise AssertionError
 
 
@@ -389,8 +398,10 @@ def _expect(segs: pd.Series, total: pd.Series) -> pd.Series:
     return pd.Series([posterior(_scored(s, t)) for s, t in zip(segs, total)])
 
 
-def _best(segs: pd.Series, total: pd.Series) -> pd.Series:
-    return pd.Series([[list(x) for x in viterbi(_scored(s, t))] for s, t in zip(segs, total)])
+def _best(segs: pd.Series, total: pd.Series) -> pd.DataFrame:
+    cuts = [viterbi(_scored(s, t)) for s, t in zip(segs, total)]
+    usual = [{(int(x["i"]), int(x["j"])) for x in s if x["usual"]} for s in segs]
+    return pd.DataFrame({"cuts": [[list(x) for x in c] for c in cuts], "changed": [set(c) != u for c, u in zip(cuts, usual)]})
 
 
 PARTS = "table_name string, row_id long, field_name string, side_no int, value_no int, part_value string"
@@ -421,8 +432,8 @@ def unpack(tables: dict[str, DataFrame], fields: list[Field]) -> DataFrame:
     texts = rows.groupBy("table_name", "field_name", "mode", "text").agg(F.count("*").alias("n"))
     texts = spread(stage(texts, "texts"))
     counts = stage(column_values(texts), "values")
-    contested = stage(contested_sides(texts, counts), "contested")
-    decided = None if contested.isEmpty() else stage(learn(texts, counts, contested), "cuts")
+    found = stage(lattices(texts, longest_values(counts)), "lattices")
+    decided = None if found.isEmpty() else stage(learn(counts, found), "cuts").where("changed").drop("changed")  # the others are cut as usual
     small = [] if decided is None else bounded_rows(decided, BROADCAST_ROWS)
     schema = T._parse_datatype_string(PARTS)
     if small is not None:
