@@ -479,18 +479,22 @@ def unpack(tables: dict[str, DataFrame], fields: list[Field]) -> DataFrame:
     return rows.join(found, ["table_name", "field_name", "text"]).select([f.name for f in schema])
 
 
-def pair_columns(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with ``side_1`` and ``side_2`` of the PAIR field ``column`` (null where a side has no value)."""
+def pair_columns(df: DataFrame, column: str, *, exact: bool = False) -> DataFrame:
+    """``df`` with ``side_1`` and ``side_2`` of the PAIR field ``column``, cut as usual (null where a side has no value).
+
+    With ``exact`` both are null unless the field holds just two values.
+    """
     schema = T.StructType([*df.schema, T.StructField("side_1", T.StringType()), T.StructField("side_2", T.StringType())])
     at, names = df.columns.index(column), [*df.columns, "side_1", "side_2"]
 
     def run(batches):
         for batch in batches:
-            out: list[list[str | None]] = [[], []]
-            for text in batch.column(at).to_pylist():
-                got = {side: v for side, no, v in values(text, PAIR, lambda _: None) if no == 1}
-                out[0].append(got.get(1))
-                out[1].append(got.get(2))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.string()) for x in out)], names)
+            memo: dict[str | None, tuple[str | None, str | None]] = {}
+            for text in batch.column(at).unique().to_pylist():
+                found = list(values(text, PAIR, lambda _: None))
+                got = {side: v for side, no, v in found if no == 1}
+                memo[text] = (got.get(1), got.get(2)) if not exact or len(found) == len(got) == 2 else (None, None)
+            one, two = zip(*map(memo.__getitem__, batch.column(at).to_pylist())) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(one, pa.string()), pa.array(two, pa.string())], names)
 
     return df.mapInArrow(run, schema)
