@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators.joins import join_heavy
 from pairloom.operators.ordinals import with_ordinal
-from pairloom.session import bounded_rows, stage
+from pairloom.session import bounded_rows, stage, unstage
 
 
 def components(nodes: DataFrame, edges: DataFrame, id: str = "id") -> DataFrame:
@@ -28,10 +28,10 @@ def components(nodes: DataFrame, edges: DataFrame, id: str = "id") -> DataFrame:
     now = stage(own.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while (mark := _mark(now)) != before and mark[0]:
-        before = mark
-        now = stage(_large(now, mark[0]), "large")
-        count = _mark(now)[0]
-        now = stage(_small(now, count), "small")
+        before, last = mark, now
+        large = stage(_large(now, mark[0]), "large")
+        now = stage(_small(large, large.count()), "small")
+        unstage(last, large)
     return all_nodes.join(now.select(F.col("u").alias(id), "v"), id, "left").select(id, F.coalesce("v", id).alias("group_id"))
 
 

@@ -15,7 +15,7 @@ from pairloom.llm.leaks import leaks
 from pairloom.llm.mixing import measure, mix, source_name, targets_of
 from pairloom.llm.parity import similar_pairs
 from pairloom.llm.sentences import sentences
-from pairloom.llm.survivors import Bundle, survivors
+from pairloom.llm.survivors import Alternatives, Bundle, consistent_records, survivors
 from pairloom.operators.packed import pair_columns
 from pairloom.session import bounded_rows, spread, stage
 
@@ -28,21 +28,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 # p2: one record per unordered cluster pair
 
-#: What parts the two sides of a pair, and what may stand around a side.
-PARTING, AROUND = r"[,;|¦｜，；&/\t]", r"^[\s\x{A0}\"'\[\]]+|[\s\x{A0}\"'\[\]]+$"
-
-
-def pair_of(c: Column) -> Column:
-    """The two sides in order, or null where there aren't two."""
-    parts = F.filter(F.transform(F.split(c, PARTING), lambda x: F.regexp_replace(x, AROUND, "")), lambda x: x.rlike(r"[\p{L}\p{N}]"))
-    return F.when(F.size(parts) == 2, F.array_sort(parts))
-
-
-def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "candidate")
-    return rows.withColumn("_pair", pair_of(F.col("cluster_pair_100pct"))).withColumns(
-        {"cluster_1": F.col("_pair")[0], "cluster_2": F.col("_pair")[1], "assembly": F.upper(F.col("assembly_id"))}
-    )
+def _candidates(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    """Rows with their unordered pair; rows whose field doesn't hold just two values have none."""
+    names = ["candidate_id", "assembly_id", "revised_at", "resolution_best_angstrom", "modeled_polymer_monomer_count", "experimental_method", *more]
+    rows = pair_columns(spread(table(spark, sf, "candidate").select("cluster_pair_100pct", *names)), "cluster_pair_100pct", exact=True)
+    pair = {"cluster_1": F.least("side_1", "side_2"), "cluster_2": F.greatest("side_1", "side_2"), "assembly": F.upper("assembly_id")}
+    return rows.where("side_1 is not null").withColumns(pair).drop("side_1", "side_2", "cluster_pair_100pct")
 
 
 def _resolution() -> Column:
@@ -60,25 +51,65 @@ def _bundles(values: bool) -> list[Bundle]:
     ]
 
 
-def _survivors(spark: SparkSession, sf: str, bundles: list[Bundle]) -> DataFrame:
+def _survivors(rows: DataFrame, bundles: list[Bundle]) -> DataFrame:
     number, pdb = after_last(F.col("assembly"), "-"), before_last(F.col("assembly"), "-")
-    found = survivors(_candidates(spark, sf), ["cluster_1", "cluster_2"], "assembly", [pdb, number], bundles, ["revised_at"], "candidate_id")
-    return found.where("n >= 2").drop("n").withColumnRenamed("assembly", "assembly_id")
+    return survivors(rows, ["cluster_1", "cluster_2"], "assembly", [pdb, number], bundles, ["revised_at"], "candidate_id").where("n >= 2").drop("n")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _survivors(spark, sf, _bundles(False))
+    return _survivors(_candidates(spark, sf), _bundles(False)).withColumnRenamed("assembly", "assembly_id")
+
+
+def _two_kinds(text: str | None, bars: str = "|") -> str | None:
+    """homo or hetero by whether the two sides are equal; None where there aren't two."""
+    parts = [p.strip().strip("\"'[]").casefold() for p in (text or "").replace("¦", bars).replace("｜", bars).split(bars)]
+    return None if len(parts) != 2 or not all(parts) else "homo" if parts[0] == parts[1] else "hetero"
+
+
+def _naming(held: tuple, _: str) -> dict | None:
+    sides = _two_kinds(held[0], ",")
+    said = (held[1] or "").strip().casefold() or sides
+    return None if sides and said != sides else {"kind": said} if said else {}
+
+
+def _sided(held: tuple, _: str) -> dict:
+    """Different sides speak for two entities; equal ones for neither."""
+    return {"kind": "hetero"} if any(_two_kinds(x) == "hetero" for x in held) else {}
+
+
+def _origin(held: tuple, assembly: str) -> dict:
+    return {**_sided(held, assembly), **({f"taxonomy of {held[0].casefold()}": held[1] or ""} if held[0] else {})}
+
+
+def _place(held: tuple, _: str) -> dict:
+    return {"file": held[1].casefold(), **({"file of url": held[1].casefold()} if held[0].casefold().endswith(held[1].casefold()) else {"file of url": ""})}
+
+
+def _roots(assembly: str) -> dict:
+    pdb, _, number = assembly.rpartition("-")
+    name = f"{pdb}-assembly{number}.cif.gz".casefold()
+    return {"file": name, "file of url": name}
+
+
+RECORD_FIELDS = ("entity_pair", "dimer_type", "uniprot_pair", "species_pair", "taxonomy_pair", "download_url", "local_filename")
 
 
 def p2_records(spark: SparkSession, sf: str) -> DataFrame:
-    """The surviving records with their values; names and links are taken as whole bundles too."""
-    named = ("entity_pair", "uniprot_pair", "species_pair", "taxonomy_pair", "dimer_type")
-    place = ("download_url", "local_filename")
-    more = [
-        Bundle("naming", named, F.col("entity_pair").rlike(r"[\p{L}\p{N}]")),
-        Bundle("place", place, F.col("download_url").isNotNull() & F.col("local_filename").isNotNull()),
+    """The surviving records with their values. Names, accessions, origin and place are whole bundles of
+    the assembly's rows that don't contradict each other: entities that are the same have the same
+    accessions and species, a species one taxonomy, an assembly one file."""
+    rows = stage(_candidates(spark, sf, *RECORD_FIELDS), "candidates")
+    best = stage(_survivors(rows, _bundles(True)), "survivors")
+    has = {x: F.col(x).rlike(r"[\p{L}\p{N}]") for x in RECORD_FIELDS}
+    bundles = [
+        Alternatives("naming", ("entity_pair", "dimer_type"), has["entity_pair"], _naming),
+        Alternatives("partners", ("uniprot_pair",), has["uniprot_pair"], _sided),
+        Alternatives("origin", ("species_pair", "taxonomy_pair"), has["species_pair"], _origin),
+        Alternatives("place", ("download_url", "local_filename"), has["download_url"] & has["local_filename"], _place),
     ]
-    return _survivors(spark, sf, _bundles(True) + more)
+    keys = ["cluster_1", "cluster_2", "assembly"]
+    more = consistent_records(rows, best, keys[:2], "assembly", bundles, ["revised_at"], "candidate_id", _roots)
+    return best.join(more, keys).withColumnRenamed("assembly", "assembly_id")
 
 
 SQL["p2_found"] = r"""

@@ -1,5 +1,6 @@
 """Survivors, components and splits against brute force."""
 
+import itertools
 import math
 import random
 from datetime import datetime
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm import problems
 from pairloom.llm.components import assign_splits, components, share_out, stratify
-from pairloom.llm.survivors import Bundle, bound, survivors
+from pairloom.llm.survivors import Alternatives, Bundle, branch_and_bound, consistent_records, survivors
 
 CANDIDATES = "candidate_id long, pair string, assembly string, res double, n int, method string, at timestamp, other string"
 
@@ -72,13 +73,50 @@ def test_p2_edges(spark):
     assert len(long["method"]) == 100_000 and long["res"] == 1.0
 
 
-def test_p2_bound():
-    assert bound((1, 2), None) and bound((1, 1), (1, 2)) and not bound((2, 0), (1, 9)) and not bound((1, 2), (1, 2))
-
-
-def test_p2_normalised_pairs(spark):
-    df = spark.createDataFrame([("b , a",), ('"a";"b"',), ("a",), (None,), ("",), ("a,b,c",)], "c string")
-    assert [r[0] for r in df.select(problems.pair_of(F.col("c"))).collect()] == [["a", "b"], ["a", "b"], None, None, None, None]
+def all_records(bundles):
+    """The greatest trust of a consistent record, over all of them."""
+    best = 0.0
+    for picked in itertools.product(*[[None, *range(len(b))] for b in bundles]):
+        known, good = {}, True
+        for b, k in zip(bundles, picked):
+            for a, v in (b[k][1] if k is not None else {}).items():
+                good &= known.setdefault(a, v) == v
+        if good:
+            best = max(best, sum(b[k][0] for b, k in zip(bundles, picked) if k is not None))
+    return best
+
+
+def test_p2_branch_and_bound_against_all_records():
+    rng = random.Random(6)
+    fewer = 0
+    for _ in range(400):
+        bundles = [[(rng.randint(1, 9) + 0.5 * (k == 0), {a: rng.choice("xy") for a in rng.sample("pqr", rng.randint(0, 2))}) for k in range(rng.randint(0, 4))] for _ in range(rng.randint(1, 5))]
+        trust, picked, nodes = branch_and_bound(bundles)
+        assert trust == all_records(bundles) == sum(b[k][0] for b, k in zip(bundles, picked) if k is not None)
+        fewer += nodes < math.prod(len(b) + 1 for b in bundles)
+    assert fewer > 300
+    free = [[(5.0 - k, {}) for k in range(9)] for _ in range(8)]
+    assert branch_and_bound(free)[2] < 30  # of 10**8 records
+
+
+def test_p2_a_dependency_changes_the_record(spark):
+    """Most rows say homo, but the accessions and species that go with them are those of two entities."""
+    rows = [(1, "A,A", "homo", "U|V", "s|t"), (2, "A,A", "homo", "U|V", "s|t"), (3, "A,B", "hetero", "U|V", "s|t"), (4, "A,B", "hetero", None, None)]
+    df = spark.createDataFrame([("p", "X-1", i, *r) for i, *r in rows] + [("p", "Y-1", 9, "Z,Z", "homo", "Q|Q", None)], "g string, a string, id long, pair string, kind string, acc string, sp string")
+    own = [
+        Alternatives("naming", ("pair", "kind"), F.col("pair").isNotNull(), lambda h, _: {"kind": h[1]}),
+        Alternatives("partners", ("acc",), F.col("acc").isNotNull(), lambda h, _: {"kind": "hetero"} if len(set(h[0].split("|"))) > 1 else {}),
+        Alternatives("origin", ("sp",), F.col("sp").isNotNull(), lambda h, _: {}),
+    ]
+    one = df.where("a = 'X-1'").select("g", "a").distinct()
+    got = consistent_records(df, one, ["g"], "a", own, [], "id").collect()
+    assert [tuple(r) for r in got] == [("p", "X-1", 4, "A,B", "hetero", 3, "U|V", 3, "s|t")]
+    loose = [Alternatives(b.name, b.fields, b.present, lambda h, _: {}) for b in own]
+    got = consistent_records(df, one, ["g"], "a", loose, [], "id").first()
+    assert got["naming_row"] == 4  # two rows each: the later value
+    refused = consistent_records(df, one, ["g"], "a", own, [], "id", lambda _: {"kind": "homo"}).first()
+    assert refused["pair"] == "A,A" and refused["partners_row"] == -1 and refused["sp"] == "s|t"
+    assert consistent_records(df.limit(0), one, ["g"], "a", own, [], "id").first()["naming_row"] == -1
 
 
 def union_find(nodes, edges):
@@ -178,6 +216,6 @@ def test_p2_records_hold_the_values_of_their_rows(spark, sf):
     for r in records:
         same = found[r["cluster_1"], r["cluster_2"]]
         assert all(r[k] == same[k] for k in same.asDict())
-        for bundle, fields in (("resolution", ["resolution_best_angstrom"]), ("method", ["experimental_method"]), ("naming", ["entity_pair", "species_pair"]), ("place", ["download_url", "local_filename"])):
+        for bundle, fields in (("resolution", ["resolution_best_angstrom"]), ("method", ["experimental_method"]), ("naming", ["entity_pair", "dimer_type"]), ("partners", ["uniprot_pair"]), ("origin", ["species_pair", "taxonomy_pair"]), ("place", ["download_url", "local_filename"])):
             row = rows.get(r[f"{bundle}_row"])
             assert row is None or (all(r[f] == row[f] for f in fields) and row["assembly_id"].upper() == r["assembly_id"])
