@@ -7,7 +7,7 @@ script, and a penalty where it cuts a quotation. The chain of spans with the lar
 from left to right over all spans, starts that can never win again being left out.
 
 The weights of words come from the corpus (``learn``): a word opens well if it stands after sure
-ends more often than the words of its letter case do; a word before a full stop closes as often
+ends, and not elsewhere, more often than the words of its letter case do; a word before a full stop closes as often
 as what follows it opens (expectation maximisation over both, the fixed lists being priors); a
 single letter is a label if it stands without a stop after the word before it.
 """
@@ -445,11 +445,10 @@ def units(text: str | None, lexicon: Lexicon = NOTHING) -> list[tuple[int, int]]
 # What the corpus says
 
 _START = re.compile(rf"(?:\A|\n[^\S\n]*\n|[!?؟।])\s*({_OPENER.pattern})")
-_MIDDLE = re.compile(rf"(?<=[^\s.!?…।؟:;\"“„«»()\[\]][ \n]){_OPENER.pattern}")
-_PAIR = re.compile(rf"(\S+)\.\s+(?=({_OPENER.pattern}))")
+_PAIR = re.compile(rf"(?<!\S)(\S+)\.\s+(?=({_OPENER.pattern}))")
 _LABEL = re.compile(rf"(?<!\S)[(“„«\"]?({_OPENER.pattern})[ \n](?=[A-ZА-Я](\.|[\s,;:)]))")
 _SURE = re.compile(rf"[!?{CASELESS_STOPS}]+\s*|(?<=\w\w\w\w)\.\s+(?=[^\W\d_a-z])|\n\s*\n|(?<=[ก-๛])[^\S\r\n]+(?=[ก-๛])")
-START, MIDDLE, PAIR, LABEL, LENGTH = range(5)
+START, ANYWHERE, PAIR, LABEL, LENGTH = range(5)
 COUNTS = "kind int, a string, b string, n long"
 #: Occurrences that the habit of a word's letter case counts as; the most that a word's opening is moved; less is not kept; steps of a log length.
 HABIT, MOST, LEAST, STEPS = 10.0, 2.0, 0.25, 10
@@ -461,17 +460,22 @@ BROADCAST_WORDS = 200_000
 
 def count(texts: list[str | None]) -> Counter:
     """(kind, a, b) of what ``learn`` needs, counted."""
-    found: Counter = Counter()
+    starts, anywhere, pairs, labels, lengths = Counter(), Counter(), Counter(), Counter(), Counter()
     for text in texts:
         if not text:
             continue
-        found.update((START, w, "") for w in _START.findall(text))
-        found.update((MIDDLE, w, "") for w in _MIDDLE.findall(text))
-        found.update((PAIR, w.lstrip(OPENING_MARKS).lower(), v) for w, v in _PAIR.findall(text))
-        found.update((LABEL, w.lower(), "." if stop == "." else "") for w, stop in _LABEL.findall(text))
-        for part in _SURE.split(text):
-            if part and (part := part.strip()):
-                found[LENGTH, script(part), str(int(math.log(len(part)) * STEPS))] += 1
+        starts.update(_START.findall(text))
+        anywhere.update(_OPENER.findall(text))
+        pairs.update(_PAIR.findall(text))
+        labels.update(_LABEL.findall(text))
+        lengths.update((script(part), len(part)) for part in map(str.strip, _SURE.split(text)) if part)
+    found = Counter({(kind, w, ""): n for kind, own in ((START, starts), (ANYWHERE, anywhere)) for w, n in own.items()})
+    for (w, v), n in pairs.items():
+        found[PAIR, w.lstrip(OPENING_MARKS).lower(), v] += n
+    for (w, stop), n in labels.items():
+        found[LABEL, w.lower(), "." if stop == "." else ""] += n
+    for (kind, size), n in lengths.items():
+        found[LENGTH, kind, str(int(math.log(size) * STEPS))] += n
     return found
 
 
@@ -520,9 +524,9 @@ def learn(docs: DataFrame, text: str) -> tuple[DataFrame, dict[str, tuple[float,
         first = F.substring(c, 1, 1)
         return F.when(F.lower(first) != first, "upper").when(F.upper(first) != first, "lower").otherwise("other")
 
-    words = counts.where(F.col("kind").isin(START, MIDDLE, PAIR)).groupBy(F.when(F.col("kind") == PAIR, F.col("b")).otherwise(F.col("a")).alias("a"))
-    words = words.agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(x) for k, x in ((START, "s"), (MIDDLE, "m"), (PAIR, "p"))])
-    words = words.withColumn("case", case("a"))
+    words = counts.where(F.col("kind").isin(START, ANYWHERE, PAIR)).groupBy(F.when(F.col("kind") == PAIR, F.col("b")).otherwise(F.col("a")).alias("a"))
+    words = words.agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(x) for k, x in ((START, "s"), (ANYWHERE, "w"), (PAIR, "p"))])
+    words = words.withColumns({"case": case("a"), "m": F.greatest(F.lit(0), F.col("w") - F.col("s") - F.col("p"))})
     habits = words.groupBy("case").agg(((F.sum("s") + 1) / (F.sum("m") + 1)).alias("r"))  # three rows
     moved = F.log((F.col("s") + HABIT * F.col("r")) / (F.col("m") + HABIT) / F.col("r"))
     opens = words.where("s + p > 0").join(F.broadcast(habits), "case").select("a", F.greatest(F.lit(-MOST), F.least(F.lit(MOST), moved)).alias("x"))
