@@ -69,8 +69,8 @@ def clean(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
-#: Inputs of fewer bytes a core are small.
-SMALL = 32 << 20
+#: Inputs of fewer bytes a core are small: their files are read in fewer partitions than there are cores.
+SMALL = 4 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
