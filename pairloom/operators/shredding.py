@@ -189,23 +189,32 @@ def child_keys(nodes: DataFrame, children: list[Child]) -> DataFrame:
     """(doc, child, parent_pos, child_pos, key_text): one row per key value of a child element.
 
     Null and blank values give no row but count as places. Object nodes meet their scalar
-    children on (doc, owner) and their parent object on (doc, node).
+    children on (doc, node), and what hangs on a parent object meets it likewise: each join is one
+    grouping of both kinds of rows, which holds an object and its own children.
     """
     def of(field: Column, value) -> Column:
         return F.coalesce(*[F.when(field == c.path, F.lit(value(c))) for c in children])
 
-    objects = nodes.where((F.col("kind") == OBJECT) & F.col("path").isin([c.path for c in children])).select(
-        "doc", "node", F.col("owner").alias("above"), "path", F.col("ordinal").alias("pos"), of(F.col("path"), lambda c: c.key_path).alias("key_path")
-    )
-    scalars = nodes.where(F.col("kind").isin(STRING, NUMBER, BOOLEAN) & F.col("path").isin([c.key_path for c in children])).where(strip("scalar") != "")
-    scalars = scalars.select("doc", F.col("owner").alias("node"), F.col("path").alias("key_path"), F.col("node").alias("leaf"), "scalar")
-    found = objects.join(scalars, ["doc", "node", "key_path"])
-    parents = nodes.where((F.col("kind") == OBJECT) & F.col("path").isin([c.parent_path for c in children if c.parent_path])).select(
-        "doc", F.col("node").alias("above"), F.col("ordinal").alias("above_pos")
-    )
+    kind, path = F.col("kind"), F.col("path")
+    is_object = (kind == OBJECT) & path.isin([c.path for c in children])
+    is_key = kind.isin(STRING, NUMBER, BOOLEAN) & path.isin([c.key_path for c in children]) & (strip("scalar") != "")
+    object_row = F.when(is_object, F.struct("path", F.col("owner").alias("above"), F.col("ordinal").alias("pos")))
+    scalar_row = F.when(is_key, F.struct("path", F.col("node").alias("leaf"), "scalar"))
+    rows = nodes.where(is_object | is_key).select("doc", F.when(is_object, F.col("node")).otherwise(F.col("owner")).alias("at"), object_row.alias("o"), scalar_row.alias("s"))
+    met = rows.groupBy("doc", F.col("at").alias("node")).agg(F.max("o").alias("o"), F.collect_list("s").alias("own"))  # an object's own keys
+    met = met.select("doc", "node", "o.*", F.explode("own").alias("s")).where(F.col("s.path") == of(path, lambda c: c.key_path))
+    found = met.select("doc", "node", "path", "above", "pos", F.col("s.leaf").alias("leaf"), F.col("s.scalar").alias("scalar"))
     linked = [c.path for c in children if c.parent_path]
-    up = F.when(F.col("path").isin(linked), F.col("above"))
-    found = found.withColumn("above", up).join(parents, ["doc", "above"], "left")
+    if linked:
+        parents = nodes.where((kind == OBJECT) & path.isin([c.parent_path for c in children if c.parent_path]))
+        parents = parents.select("doc", F.col("node").alias("at"), F.col("ordinal").alias("above_pos"), F.lit(None).alias("c"))
+        child = F.struct("node", "path", "pos", "leaf", "scalar")
+        below = found.where(path.isin(linked)).select("doc", F.col("above").alias("at"), F.lit(None).cast("int").alias("above_pos"), child.alias("c"))
+        joined = below.unionByName(parents).groupBy("doc", "at").agg(F.max("above_pos").alias("above_pos"), F.collect_list("c").alias("own"))  # an object's own children
+        joined = joined.select("doc", "above_pos", F.explode("own").alias("c")).select("doc", "c.*", "above_pos")
+        found = joined.unionByName(found.where(~path.isin(linked)).select(*joined.columns[:-1], F.lit(None).cast("int").alias("above_pos")))
+    else:
+        found = found.withColumn("above_pos", F.lit(None).cast("int"))
     plain = found.where(~F.col("path").isin([c.path for c in children if c.tokens])).select(
         "doc", of(F.col("path"), lambda c: c.name).alias("child"), F.coalesce("above_pos", F.lit(0)).alias("parent_pos"), F.col("pos").alias("child_pos"), F.col("scalar").alias("key_text")
     )

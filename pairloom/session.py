@@ -76,10 +76,11 @@ SMALL = 4 << 20
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, if by the sizes of its files it is small and may lie in few partitions.
 
-    Nothing is run to find out: the size is the optimizer's estimate.
+    Nothing is run to find out: what is read has its size in the plan.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return df.repartition(cores) if size < SMALL * cores else df
 
 
