@@ -284,6 +284,22 @@ FROM near JOIN s AS k ON k.q = x JOIN s AS l ON l.q = y WHERE k.cluster_id < l.c
 """
 
 
+SQL["p3_sequences"] = r"""
+WITH s AS (
+  SELECT row_id, nullif(regexp_replace(upper(sequence), '[^A-Z]', '', 'g'), '') AS q FROM entity_sequences
+), v AS (
+  SELECT * FROM (SELECT DISTINCT q, substr(q, i::int, 5) AS t FROM (SELECT DISTINCT q FROM s WHERE length(q) >= 5), range(1, length(q) - 3) r(i)) WHERE NOT contains(t, 'X')
+), n AS (
+  SELECT q, count(*) AS n FROM v GROUP BY q
+), pairs AS (
+  SELECT a.q AS x, b.q AS y, count(*) AS c FROM v a JOIN v b ON a.t = b.t AND a.q <> b.q GROUP BY 1, 2
+), links AS (
+  SELECT x AS q, count(*) AS links FROM pairs JOIN n AS p ON p.q = x JOIN n AS r ON r.q = y WHERE 2 * c >= p.n + r.n - c GROUP BY 1
+)
+SELECT row_id, sha256(s.q) AS class_id, coalesce(links, 0) AS links FROM s LEFT JOIN links USING (q)
+"""
+
+
 # p6: held-out items in documents
 
 
