@@ -138,4 +138,40 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return packed.unpack({n: table(spark, sf, n) for n in ("candidate", "selected_assemblies")}, PACKED)
 
 
+_SEPARATORS = packed.BARS + ",;/&+，；／＆＋、"
+_HIDDEN = "".join(chr(0xE000 + i) for i in range(len(_SEPARATORS)))
+_BLANK = r"[\s\x{A0}\x{3000}]"
+
+
+def _bare_sql(x: str) -> str:
+    """Without white space, brackets around and quotes around; hidden separators shown again."""
+    trimmed = rf"regexp_replace({x}, '^({_BLANK}|[\[{{])+|({_BLANK}|[\]}}])+$', '', 'g')"
+    return f"translate(trim(CASE WHEN regexp_matches({trimmed}, '^[\"“„«＂''].*[\"”“»＂'']$') THEN replace(substr({trimmed}, 2, length({trimmed}) - 2), '\"\"', '\"') ELSE {trimmed} END), '{_HIDDEN}', '{_SEPARATORS}')"
+
+
+#: Separators within quotes are hidden before the text is split; a field that is one quotation of two values is opened.
+SQL["p4_found"] = rf"""
+WITH f AS (
+  SELECT 'selected_assemblies' AS table_name, selected_id AS row_id, 'entity_pair' AS field_name, true AS pair, entity_pair AS t FROM selected_assemblies
+  UNION ALL SELECT 'selected_assemblies', selected_id, 'cluster_pair_100pct', true, cluster_pair_100pct FROM selected_assemblies
+  UNION ALL SELECT 'candidate', candidate_id, 'uniprot_pair', false, uniprot_pair FROM candidate
+  UNION ALL SELECT 'candidate', candidate_id, 'species_pair', false, species_pair FROM candidate
+), o AS (
+  SELECT * REPLACE (CASE WHEN pair AND regexp_matches(trim(t), '^"[^"]+"$') THEN substr(trim(t), 2, length(trim(t)) - 2) ELSE t END AS t) FROM f WHERE t IS NOT NULL
+), h AS (
+  SELECT *, array_to_string(list_transform(regexp_extract_all(t, '"(?:[^"]|"")*"|“[^”]*”|«[^»]*»|[^"“«]+|["“«]'), lambda q: CASE WHEN length(q) > 1 AND regexp_matches(q, '^["“«]') THEN translate(q, '{_SEPARATORS}', '{_HIDDEN}') ELSE q END), '') AS x FROM o
+), s AS (
+  SELECT *, CASE WHEN pair THEN regexp_split_to_array(x, '[{_SEPARATORS}\t]') ELSE regexp_split_to_array(x, '[{packed.BARS}]') END AS parts FROM h
+), w AS (
+  SELECT *, CASE WHEN pair AND len(parts) = 1 AND len(regexp_split_to_array(trim(x), '{_BLANK}+')) = 2 THEN regexp_split_to_array(trim(x), '{_BLANK}+') ELSE parts END AS own FROM s
+), e AS (
+  SELECT table_name, row_id, field_name, pair, unnest(own) AS side, generate_subscripts(own, 1) AS k, len(own) AS n FROM w
+), v AS (
+  SELECT table_name, row_id, field_name, k, CASE WHEN pair THEN [side] ELSE regexp_split_to_array(side, '[,;/&+，；／＆＋、\t\n]') END AS l FROM e
+), p AS (
+  SELECT table_name, row_id, field_name, k, list_filter(list_transform(l, lambda z: {_bare_sql('z')}), lambda z: regexp_matches(z, '[\p{{L}}\p{{N}}]')) AS l FROM v
+)
+SELECT table_name, row_id, field_name, least(k, 2)::int AS side_no, generate_subscripts(l, 1)::int AS value_no, unnest(l) AS part_value FROM p
+"""
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_nodes, p1_entities, p1_memberships, p1_unreadable, p4_found)}
