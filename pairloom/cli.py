@@ -28,12 +28,12 @@ def _curate(spark: SparkSession, o: argparse.Namespace) -> None:
     else:
         if not (o.search_url and o.metadata_url):
             raise SystemExit("--documents, or --search-url and --metadata-url, must be given")
-        ids = archive.hit_ids(archive.post_json(o.search_url, archive.search_body(o.no_ligands)))
         if o.limit < 0:
             raise SystemExit("--limit must not be negative")
-        ids = ids[: o.limit] if o.limit else ids
-        log.info("%d assemblies found", len(ids))
-        docs = archive.read_documents(spark, o.metadata_url, ids, o.batch_size)
+        ids = stage(archive.distinct_ids(archive.search_ids(spark, o.search_url, o.no_ligands)), "ids")
+        log.info("%d assemblies found", ids.count())
+        batched = archive.batches(archive.limit_ids(ids, o.limit), o.batch_size)
+        docs = stage(archive.fetch_documents(batched, o.metadata_url), "documents")
     out = curation.curate(docs, files_base=o.files_base)
     for name, rows in (("all_candidate_assemblies", out.candidates), ("selected_assemblies", out.selected)):
         write_tsv(rows.drop("entity_clusters").orderBy("pdb_id", "assembly_number"), f"{o.outdir}/{name}.tsv", one_file=o.one_file)

@@ -15,8 +15,9 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def shares(df: DataFrame, column: str) -> DataFrame:
     """``value_counts`` with the share in percent, to one decimal."""
-    whole = df.where(F.col(column).isNotNull()).count()
-    return value_counts(df, column).withColumn("percent", F.round(F.try_divide(F.lit(100.0) * F.col("n"), F.lit(whole)), 1))
+    counts = value_counts(df, column)
+    whole = counts.agg(F.sum("n")).scalar()
+    return counts.withColumn("percent", F.round(F.try_divide(F.lit(100.0) * F.col("n"), whole), 1)).orderBy(F.desc("n"), "value")
 
 
 def duplicates(df: DataFrame, column: str, order: list[str], salts: int = 32) -> DataFrame:
@@ -46,13 +47,11 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     A range of one value puts all in bin 1; no values give no rows."""
     if bins < 1:
         raise ValueError("at least one bin")
-    lo, hi = df.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
-    grid = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
-    if lo is None:
-        return grid.limit(0).withColumn("n", F.lit(0).cast("long"))
     value = F.col(column).cast("double")
-    at = F.least(F.floor((value - lo) * bins / F.lit(hi - lo)) + 1, F.lit(bins)) if hi > lo else F.lit(1)
+    lo, hi = (df.agg(f(value)).scalar() for f in (F.min, F.max))
+    at = F.when(hi > lo, F.least(F.floor((value - lo) * bins / (hi - lo)) + 1, F.lit(bins))).otherwise(1)
     counted = df.where(F.col(column).isNotNull()).select(at.cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    grid = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin")).where(lo.isNotNull())
     return grid.join(F.broadcast(counted), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -11,6 +11,7 @@ from functools import reduce
 from urllib import error as url_error
 from urllib import request as url_request
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -226,6 +227,21 @@ def read_documents(spark: SparkSession, url: str, ids: list[str], batch_size: in
     return spark.read.format("archive_documents").options(url=url, ids=json.dumps(ids), batch_size=str(batch_size)).load()
 
 
+def fetch_documents(batched: DataFrame, url: str, retries: int = 4) -> DataFrame:
+    """(payload): the documents of the ids in ``batched`` (column ``ids``, see ``batches``), one request a batch, sent by the
+    tasks. Ids that the archive doesn't know give no row. Every reading of the result asks again, so it should be stored."""
+
+    def run(parts):
+        for part in parts:
+            found = []
+            for ids in part.column(0).to_pylist():
+                answer = post_json(url, {"query": metadata_query(), "variables": {"ids": ids}}, retries=retries)
+                found += [json.dumps(doc) for doc in documents_of(answer) if doc is not None]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["payload"])
+
+    return batched.select("ids").mapInArrow(run, "payload string")
+
+
 def missing_files(selected: DataFrame, present: DataFrame) -> DataFrame:
     """The rows whose ``local_filename`` isn't among the non-empty files of ``present`` (file, size)."""
     there = present.where("size > 0").select(F.col("file").alias("local_filename"))

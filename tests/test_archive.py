@@ -110,3 +110,20 @@ def test_p13_o6_batches_and_limit(spark):
         archive.limit_ids(ids, -1)
     with pytest.raises(ValueError):
         archive.batches(ids, 0)
+
+
+def test_search_limit_batches_and_documents_are_one_plan(spark, url):
+    ids = archive.distinct_ids(archive.search_ids(spark, url + "/search"))
+    assert [r[0] for r in ids.collect()] == ["A-2", "B-1"]
+    got = archive.fetch_documents(archive.batches(spark.createDataFrame([("A",), ("B",), ("GONE",), ("C",)], "assembly_id string"), 3), url + "/docs").collect()
+    want = archive.read_documents(spark, url + "/docs", ["A", "B", "C", "GONE"], batch_size=3).collect()
+    assert sorted(r["payload"] for r in got) == sorted(r["payload"] for r in want) and got
+    assert archive.fetch_documents(archive.batches(ids.limit(0), 3), url + "/docs").count() == 0
+
+
+def test_search_expressions_on_rows(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("a", None)], "x string, n int")
+    leaves = [archive.condition("x", "exact_match", "a"), archive.condition("n", "less_or_equal", 1)]
+    assert rows.where(archive.as_column(archive.conjunction(leaves))).count() == 1
+    either = {"type": "group", "logical_operator": "or", "nodes": leaves}
+    assert rows.where(archive.as_column(either)).count() == 2 and rows.where(archive.as_column(archive.conjunction([]))).count() == 4
