@@ -193,8 +193,10 @@ def _name(suppkey) -> F.Column:
     return F.concat(F.lit("S"), suppkey, F.lit("_"), suppkey % 3 + 1)
 
 
-def _derived(spark: SparkSession, sf: str) -> DataFrame:
-    """Every order as an assembly document, derived: lines are chains, suppliers entities (every tenth no protein)."""
+def _derived(spark: SparkSession, sf: str, pairs: bool = False) -> DataFrame:
+    """Every order as an assembly document, derived: lines are chains, suppliers entities (every tenth no protein).
+
+    With ``pairs`` only orders of two lines become documents, as the archive's search would ask."""
     def entity(x, i):
         own = x["s_nationkey"] % 5 != 0
         member = F.struct(F.lit("sequence_identity").alias("aggregation_method"), F.lit(100).alias("similarity_cutoff"), F.concat(F.lit("N"), x["s_nationkey"]).alias("group_id"))
@@ -220,7 +222,8 @@ def _derived(spark: SparkSession, sf: str) -> DataFrame:
             F.struct(F.array("o_totalprice").alias("resolution_combined"), F.col("lines.l_returnflag").alias("experimental_method")).alias("rcsb_entry_info"), F.transform("lines", entity).alias("polymer_entities")
         ).alias("entry"),
     )
-    return cand.derive(_lines(spark, sf).join(prices, "l_orderkey").select(F.to_json(doc).alias("payload")), files_base="f")
+    lines = _lines(spark, sf)
+    return stage(cand.derive((lines.where(n == 2) if pairs else lines).join(prices, "l_orderkey").select(F.to_json(doc).alias("payload")), files_base="f"), "derived")
 
 
 _DERIVED = f"""
@@ -301,7 +304,7 @@ named AS (
 
 @query(f"WITH {_DERIVED}, {_FIRST} SELECT entity, cluster_id, file, pos FROM first")
 def q15_zip_first_seen(spark, sf):
-    return first_entities(cand.candidates(_derived(spark, sf)), ["pdb_id", "assembly_number"]).select("entity", "cluster_id", "file", "pos")
+    return first_entities(cand.candidates(_derived(spark, sf, True)), ["pdb_id", "assembly_number"]).select("entity", "cluster_id", "file", "pos")
 
 
 def _structures(spark: SparkSession, sf: str) -> DataFrame:
@@ -353,7 +356,7 @@ FROM first f JOIN sequences s ON s.l_orderkey = f.l_orderkey AND s.number = stri
 """)
 def q16_remap(spark, sf):
     """Sequences and masks of the entities, each from the first file that names it."""
-    return curation.sequences(cand.candidates(_derived(spark, sf)), _structures(spark, sf))
+    return curation.sequences(cand.candidates(_derived(spark, sf, True)), _structures(spark, sf))
 
 
 @query("""
