@@ -16,10 +16,13 @@ agree, the rarest s - g + k hold k cells of every partner.
 Where t is at least SEVERAL, a cell holds up to PER tokens, which makes cells of common tokens
 rare. A record whose tokens fell together so that no cell must agree meets all others in one-token
 cells. Below SEVERAL differences may touch every such cell, and all cells hold one token.
+Sequences, whose tokens are their windows, meet by runs of windows instead (``runs``); only those
+for which no run must be common meet the others by cells.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
@@ -28,11 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.session import spread, stage
+from pairloom.llm.runs import LAST, MEET, PACKED, RunReader, least, meet, pack, parts_of, scatter, unneeded
+from pairloom.session import stage
 
 BITS = 1024
-#: Offered cells that a pair must share: chance rarely gives several.
-MEET = 4
 WHOLE = 12
 #: From this threshold on cells hold several tokens, at most about PER.
 SEVERAL, PER = Fraction(4, 5), 2
@@ -44,8 +46,8 @@ BUCKETS, PARTS = 1 << 21, 64
 HEAVY, SALTS = 500, 16
 #: Records worked on at a time.
 SLICE = 2_000
-#: Up to so many candidates are sent to the records; more are joined.
-BROADCAST_PAIRS = 1_000_000
+#: Up to so many candidates, or irregular records, are sent to the records; more are joined.
+BROADCAST_PAIRS = 250_000
 SMALLER, LARGER = 0, 1
 
 Reader = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
@@ -110,12 +112,6 @@ def token_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return row[first], value[first]
 
 
-def _list(rows: int, record: np.ndarray, values: np.ndarray) -> pa.Array:
-    """A list column; ``record`` is sorted."""
-    offsets = np.searchsorted(record, np.arange(rows + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-
-
 class _Cells:
     """The cells of a slice of records, and how many of them must agree."""
 
@@ -168,7 +164,17 @@ def _bucket(signature: np.ndarray) -> np.ndarray:
 
 
 def cell_counts(records: DataFrame, column: str, read: Reader, t: Fraction, several: bool) -> np.ndarray:
-    """In how many cells each of BUCKETS buckets occurs, over all records.
+    """In how many cells each of BUCKETS buckets occurs, over all records."""
+
+    def buckets(data: pa.Array) -> Iterator[np.ndarray]:
+        for _, signature, _ in _Cells(data, read, t, several).role(SMALLER):
+            yield _bucket(signature)
+
+    return bucket_counts(records, column, buckets)
+
+
+def bucket_counts(records: DataFrame, column: str, buckets: Callable[[pa.Array], Iterator[np.ndarray]]) -> np.ndarray:
+    """How often each of BUCKETS buckets occurs, over all records.
 
     Every task counts its own and sends its table, packed; the tables are summed part by part.
     """
@@ -183,8 +189,7 @@ def cell_counts(records: DataFrame, column: str, read: Reader, t: Fraction, seve
                 waiting.clear()
 
         for batch in _slices(batches):
-            for _, signature, _ in _Cells(batch.column(0), read, t, several).role(SMALLER):
-                waiting.append(_bucket(signature))
+            waiting.extend(buckets(batch.column(0)))
             note(2 * BUCKETS)
         note(1)
         table = np.minimum(table, 2**32 - 1).astype(np.uint32)
@@ -212,9 +217,10 @@ def cell_counts(records: DataFrame, column: str, read: Reader, t: Fraction, seve
 _OFFERS = "role int, cell long, id long, n_meet int, alike long"
 
 
-def _offers(records: DataFrame, column: str, read: Reader, t: Fraction, several: bool, sent, roles: tuple[int, ...], heavy: bool) -> DataFrame:
+def _offers(base: DataFrame, column: str, read: Reader, t: Fraction, several: bool, sent, roles: tuple[int, ...], heavy: bool | None, least: int = 2) -> DataFrame:
     """The cells that each record offers in its roles: of those that others have too the rarest, as many as it must.
-    Only those of buckets with more than HEAVY cells are given, or only the others. Records in which no cell must agree offer none."""
+    Only those of buckets with more than HEAVY cells are given, or only the others, or all; none of buckets with fewer than ``least``.
+    Records in which no cell must agree offer none."""
 
     def offer(batches):
         table = sent.value
@@ -233,7 +239,9 @@ def _offers(records: DataFrame, column: str, read: Reader, t: Fraction, several:
                     at, count = (words & np.uint64(2**30 - 1)).view(np.int64), words >> np.uint64(30) & np.uint64(2**20 - 1)
                     record, signature = record[at], signature[at]
                     first = np.searchsorted(record, np.arange(cells.rows))
-                    kept = (np.arange(len(record)) - first[record] < many[record]) & (count > 1) & ((count > HEAVY) == heavy)
+                    kept = (np.arange(len(record)) - first[record] < many[record]) & (count >= least)
+                    if heavy is not None:
+                        kept &= (count > HEAVY) == heavy
                     record = record[kept]
                     own = pa.array(record)
                     yield pa.RecordBatch.from_arrays(
@@ -247,11 +255,17 @@ def _offers(records: DataFrame, column: str, read: Reader, t: Fraction, several:
                         ["role", "cell", "id", "n_meet", "alike"],
                     )
 
-    return records.select("id", column, "alike").mapInArrow(offer, _OFFERS)
+    return base.select("id", column, "alike").mapInArrow(offer, _OFFERS)
 
 
 def similar_pairs(
-    records: DataFrame, threshold: Fraction | float = Fraction(4, 5), alike: str | None = None, *, column: str = "tokens", read: Reader = token_sets
+    records: DataFrame,
+    threshold: Fraction | float = Fraction(4, 5),
+    alike: str | None = None,
+    *,
+    column: str = "tokens",
+    read: Reader = token_sets,
+    runs: RunReader | None = None,
 ) -> DataFrame:
     """(a, b, shared, either): all pairs of records, a < b, whose token sets have a Jaccard similarity of at least ``threshold``.
 
@@ -260,46 +274,94 @@ def similar_pairs(
     once a row. It is read several times, so it should be stored, spread over the cores. Repeated tokens count once;
     records without tokens, null tokens and null ids take no part. Records should be distinct: equal
     ones are pairs too. Pairs whose column ``alike`` holds the same value that isn't null are not
-    wanted and not made. The threshold must lie in (1/3, 1].
+    wanted and not made. The threshold must lie in (1/3, 1]. With ``runs`` the tokens are the
+    windows of sequences, which meet by their runs; the threshold is then at least 1/2.
     """
     t = Fraction(threshold).limit_denominator(10_000)
     if not Fraction(1, 3) < t <= 1:
         raise ValueError("the threshold must lie in (1/3, 1]")
+    if runs and t < Fraction(1, 2):
+        raise ValueError("with runs the threshold must lie in [1/2, 1]")
     kind = F.when(F.col(alike).isNotNull(), F.xxhash64(alike)) if alike else F.lit(None).cast("long")
     base = records.select("id", column, kind.alias("alike")).where(F.col("id").isNotNull() & F.col(column).isNotNull())
-    several = t >= SEVERAL
-    pairs = _candidates(base, column, read, t, several)
-    if several:  # records in which no cell must agree meet all others in one-token cells
-        irregular = stage(_irregular(base, column, read, t), "irregular")
+    several = t >= SEVERAL and not runs
+    pairs = _met_by_runs(base, column, runs, t) if runs else _candidates(base, column, read, t, several)
+    if several or runs:  # records in which no cell must agree, or no run, meet all others in one-token cells
+        irregular = stage(_irregular(base, column, read, t, runs), "irregular")
         if not irregular.isEmpty():
-            odd = irregular.withColumn("odd", F.lit(True))
-            pairs = pairs.unionByName(_candidates(base, column, read, t, False, odd))
-    return _verify(stage(pairs.distinct() if several else pairs, "candidates"), base, column, read, t)
+            pairs = pairs.unionByName(_odd_candidates(base, column, read, t, irregular)).distinct()
+    return _verify(stage(pairs, "candidates"), base, column, read, t)
+
+
+def _met_by_runs(base: DataFrame, column: str, runs: RunReader, t: Fraction) -> DataFrame:
+    """(a, b) of the regular sequences that share enough of the runs they offer."""
+
+    def cells(data: pa.Array) -> Iterator[np.ndarray]:
+        yield _bucket(mix(runs(data, False)[1]))
 
+    table = bucket_counts(base, column, cells)
+    sent = base.sparkSession.sparkContext.broadcast(table)
+    parts = parts_of(int(table.sum(dtype=np.int64)))
+
+    def slices(batches):
+        for batch in _slices(batches):
+            record, run, n, own, partner = runs(batch.column(1))
+            agree = least(n, own, partner, t)
+            count = np.minimum(sent.value[_bucket(mix(run))], 2**20 - 1).astype(np.uint64)
+            words = np.sort(record.astype(np.uint64) << np.uint64(50) | count << np.uint64(30) | np.arange(len(record), dtype=np.uint64))
+            at, count = (words & np.uint64(2**30 - 1)).view(np.int64), words >> np.uint64(30) & np.uint64(2**20 - 1)
+            record, run = record[at], run[at]
+            place = np.minimum(np.searchsorted(record, np.arange(len(n)), side="right")[record] - 1 - np.arange(len(record)), LAST)
+            kept = (agree[record] > 0) & (place >= unneeded(agree)[record]) & (count > 1)
+            alike = batch.column(2)
+            null = alike.is_null().to_numpy(zero_copy_only=False)
+            yield record[kept], scatter(run[kept]), place[kept], batch.column(0).to_numpy(), n, own, partner, alike.fill_null(0).to_numpy(), null
+
+    packed = base.select("id", column, "alike").mapInArrow(lambda batches: pack(slices(batches), parts), PACKED)
+    met = packed.groupBy("part").applyInArrow(lambda offers: meet(offers, t, WHOLE), "a long, b long, part int")
+    return _enough(met)
+
+
+def _irregular(base: DataFrame, column: str, read: Reader, t: Fraction, runs: RunReader | None = None) -> DataFrame:
+    def odd(data: pa.Array) -> np.ndarray:
+        if runs is None:
+            return ~_Cells(data, read, t, True).regular()
+        n, own, partner = runs(data)[2:]
+        return (least(n, own, partner, t) < 1) & (n > 0)
 
-def _irregular(base: DataFrame, column: str, read: Reader, t: Fraction) -> DataFrame:
     def run(batches):
         for batch in _slices(batches):
-            there = np.flatnonzero(~_Cells(batch.column(1), read, t, True).regular())
+            there = np.flatnonzero(odd(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(there))], ["id"])
 
     return base.select("id", column).mapInArrow(run, "id long")
 
 
-def _candidates(base: DataFrame, column: str, read: Reader, t: Fraction, several: bool, odd: DataFrame | None = None) -> DataFrame:
-    """(a, b) of the records that share enough offered cells; with ``odd`` one of them at least is among these."""
+def _candidates(base: DataFrame, column: str, read: Reader, t: Fraction, several: bool) -> DataFrame:
+    """(a, b) of the records that share enough offered cells."""
     sent = base.sparkSession.sparkContext.broadcast(cell_counts(base, column, read, t, several))
     sides = [_offers(base, column, read, t, several, sent, (role,), False).drop("role") for role in (SMALLER, LARGER)]
-    heavy = stage(_offers(base, column, read, t, several, sent, (SMALLER, LARGER), True), "heavy") if sent.value.max(initial=0) > HEAVY else None
-    if odd is None:
-        met = _meet(*sides, t)
-        if heavy is not None and not heavy.isEmpty():
+    met = _meet(*sides, t)
+    if sent.value.max(initial=0) > HEAVY:
+        heavy = stage(_offers(base, column, read, t, several, sent, (SMALLER, LARGER), True), "heavy")
+        if not heavy.isEmpty():
             met = met.unionByName(_meet_heavy(heavy, t))
-    else:
-        if heavy is not None:
-            sides = [x.unionByName(heavy.where(F.col("role") == role).drop("role")) for x, role in zip(sides, (SMALLER, LARGER))]
-        marked = [x.join(odd, "id", "left").withColumn("odd", F.col("odd").isNotNull()) for x in sides]
-        met = _meet(marked[0].where("odd"), marked[1], t).unionByName(_meet(marked[0].where("not odd"), marked[1].where("odd"), t))
+    return _enough(met)
+
+
+def _odd_candidates(base: DataFrame, column: str, read: Reader, t: Fraction, irregular: DataFrame) -> DataFrame:
+    """(a, b) of the records that share enough one-token cells, one of them at least irregular. Cells are in order
+    of the irregular records' counts: what these haven't comes first and isn't offered, so most records offer nothing."""
+    few = irregular.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
+    odd = F.broadcast(irregular) if few else irregular
+    sent = base.sparkSession.sparkContext.broadcast(cell_counts(base.join(odd, "id", "left_semi"), column, read, t, False))
+    offers = _offers(base, column, read, t, False, sent, (SMALLER, LARGER), None, 1).join(odd.withColumn("odd", F.lit(True)), "id", "left")
+    offers = stage(offers.withColumn("odd", F.col("odd").isNotNull()), "odd")
+    a, b = (offers.where(F.col("role") == role).drop("role") for role in (SMALLER, LARGER))
+    return _enough(_meet(a.where("odd"), b, t).unionByName(_meet(a.where("not odd"), b.where("odd"), t)))
+
+
+def _enough(met: DataFrame) -> DataFrame:
     return met.groupBy("a", "b").agg(F.sum("part").alias("met")).where(F.col("met") >= WHOLE).select("a", "b")
 
 
@@ -336,27 +398,28 @@ def _meet_heavy(both: DataFrame, t: Fraction) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, base: DataFrame, column: str, read: Reader, t: Fraction) -> DataFrame:
-    """Candidates whose sketches are near enough and whose tokens are similar. Only records of candidates are looked at."""
+    """Candidates whose sketches are near enough and whose tokens are similar. Only records of candidates are moved, as they were read."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
     kept = base.select("id", column).join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
-    def run(batches):
-        for batch in _slices(batches):
-            rows = batch.num_rows
-            record, tokens = read(batch.column(1))
-            with np.errstate(over="ignore"):
-                hashes = mix(tokens.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * (BITS // 64)), pa.array(sketches(record, hashes, rows).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(record, minlength=rows).astype(np.int32)), bits, _list(rows, record, tokens)], ["id", "n", "bits", "tokens"])
-
-    met = stage(spread(kept).mapInArrow(run, "id long, n int, bits array<long>, tokens array<long>"), "sketches")
-    sides = [met.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab"]
-    distance = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    most = (F.col("n_a") + F.col("n_b")) * (t.denominator - t.numerator)  # of the symmetric difference, times (den + num)
-    near = pairs.join(sides[0], "a").join(sides[1], "b").where(distance * (t.denominator + t.numerator) <= most).select("a", "b")
-    near = stage(near, "near")
-    tokens = [met.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("tokens").alias(f"tokens_{k}")) for k in "ab"]
-    wide = near.join(tokens[0], "a").join(tokens[1], "b").withColumn("shared", F.size(F.array_intersect("tokens_a", "tokens_b")))
-    wide = wide.withColumn("either", F.col("n_a") + F.col("n_b") - F.col("shared"))
-    return wide.where(F.col("shared") * t.denominator >= F.col("either") * t.numerator).select("a", "b", "shared", "either")
+    def judged(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = batch.num_rows
+        sides = [read(batch.column(k)) for k in (2, 3)]
+        n = [np.bincount(record, minlength=rows) for record, _ in sides]
+        most = (n[0] + n[1]) * (t.denominator - t.numerator)  # of the symmetric difference, times (den + num)
+        with np.errstate(over="ignore"):
+            bits = [sketches(record, mix(tokens.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), rows) for record, tokens in sides]
+        near = np.bitwise_count((bits[0] ^ bits[1]).view(np.uint64)).sum(axis=1, dtype=np.int64) * (t.denominator + t.numerator) <= most
+        record, tokens = (np.concatenate([side[k][near[side[0]]] for side in sides]) for k in (0, 1))
+        order = np.lexsort((tokens, record))
+        record, tokens = record[order], tokens[order]
+        shared = np.bincount(record[1:][(record[1:] == record[:-1]) & (tokens[1:] == tokens[:-1])], minlength=rows)
+        either = n[0] + n[1] - shared
+        there = np.flatnonzero(near & (shared * t.denominator >= either * t.numerator))
+        ends = [batch.column(k).take(pa.array(there)) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([*ends, pa.array(shared[there].astype(np.int32)), pa.array(either[there].astype(np.int32))], ["a", "b", "shared", "either"])
+
+    sides = [kept.select(F.col("id").alias(k), F.col(column).alias(f"of_{k}")) for k in "ab"]
+    wide = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "of_a", "of_b")
+    return wide.mapInArrow(lambda batches: map(judged, _slices(batches)), "a long, b long, shared int, either int")

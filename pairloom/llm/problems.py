@@ -14,6 +14,7 @@ from pairloom.llm.components import assign_splits, components
 from pairloom.llm.leaks import leaks
 from pairloom.llm.mixing import measure, mix, source_name, targets_of
 from pairloom.llm.parity import similar_pairs
+from pairloom.llm.runs import runs
 from pairloom.llm.sentences import sentences
 from pairloom.llm.survivors import Alternatives, Bundle, consistent_records, survivors
 from pairloom.operators.packed import pair_columns
@@ -227,22 +228,27 @@ def residues(c: Column) -> Column:
     return F.regexp_replace(F.upper(c), "[^A-Z]", "")
 
 
+#: Up to so many clusters with several sequences are sent to the sequences; more are joined.
+BROADCAST_KINDS = 100_000
+
+
 def _sequences(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Distinct sequences with an id, their only cluster, if there is one, and as ``kind`` that
     cluster if it has other sequences too; (id, cluster_id) of all."""
     rows = table(spark, sf, "entity_sequences").select("cluster_id", residues(F.col("sequence")).alias("sequence"))
-    rows = rows.where(f"cluster_id is not null and length(sequence) >= {WINDOW}").distinct()
-    only = F.when(F.min("cluster_id") == F.max("cluster_id"), F.min("cluster_id"))
-    grouped = rows.groupBy("sequence").agg(only.alias("alike"))
-    several = grouped.where("alike is not null").groupBy("alike").agg(F.count("*").alias("n")).where("n > 1").select("alike", F.col("alike").alias("kind"))
-    distinct = stage(spread(grouped.join(several, "alike", "left")).withColumn("id", F.monotonically_increasing_id()), "sequences")
-    return distinct, rows.join(distinct, "sequence").select("id", "cluster_id")
+    rows = rows.where(f"cluster_id is not null and length(sequence) >= {WINDOW}")
+    grouped = rows.groupBy("sequence").agg(F.collect_set("cluster_id").alias("clusters"))
+    grouped = stage(spread(grouped).withColumn("id", F.monotonically_increasing_id()), "sequences")
+    distinct = grouped.select("id", "sequence", F.when(F.size("clusters") == 1, F.get("clusters", F.lit(0))).alias("alike"))
+    several = distinct.where("alike is not null").groupBy("alike").agg(F.count("*").alias("n")).where("n > 1").select("alike", F.col("alike").alias("kind"))
+    several = stage(several, "kinds")
+    few = several.limit(BROADCAST_KINDS + 1).count() <= BROADCAST_KINDS
+    return distinct.join(F.broadcast(several) if few else several, "alike", "left"), grouped.select("id", F.explode("clusters").alias("cluster_id"))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     distinct, members = _sequences(spark, sf)
-    members = stage(members, "members")
-    pairs = similar_pairs(distinct, Fraction(1, 2), "kind", column="sequence", read=windows).select("a", "b")
+    pairs = similar_pairs(distinct, Fraction(1, 2), "kind", column="sequence", read=windows, runs=runs).select("a", "b")
     whole = F.col("sequence").rlike(f"[A-WYZ]{{{WINDOW}}}")  # has a window
     own = distinct.where(F.col("alike").isNull() & whole).select(F.col("id").alias("a"), F.col("id").alias("b"))
     sides = [members.select(F.col("id").alias(k), F.col("cluster_id").alias(f"cluster_{k}")) for k in "ab"]
@@ -259,7 +265,7 @@ def p3_sequences(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "entity_sequences").select("row_id", residues(F.col("sequence")).alias("sequence"))
     distinct = rows.where("sequence <> ''").select("sequence", F.lit(None).cast("string").alias("alike")).distinct()
     distinct = stage(spread(distinct).withColumn("id", F.monotonically_increasing_id()), "sequences")
-    pairs = stage(similar_pairs(distinct, Fraction(1, 2), column="sequence", read=windows).select("a", "b"), "links")
+    pairs = stage(similar_pairs(distinct, Fraction(1, 2), column="sequence", read=windows, runs=runs).select("a", "b"), "links")
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
     classes = distinct.join(ends, "id", "left").select("sequence", F.sha2("sequence", 256).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     return rows.join(classes, "sequence", "left").select("row_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
